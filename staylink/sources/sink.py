@@ -1,0 +1,35 @@
+"""SRC-4: hand a stage over as parquet in the cluster's shared checkpoint folder.
+
+Part one of the analysis ends in the linked stays table and part two starts from
+it; writing a stage once cuts the lineage (a lost executor then recomputes from the
+written files, not from the raw tables), keeps the logical plans of later stages
+small, and lets later queries prune columns and push filters into the scan. The
+folder comes from the session's ``spark.checkpoint.dir`` (set only if unset).
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from staylink.config import scratch_dir
+
+
+def write_stage(df: DataFrame, name: str, *, partition_by: list[str] | None = None) -> str:
+    """Write ``df`` under ``<checkpoint dir>/stages/<name>-<unique>`` and return the path."""
+    path = scratch_dir(df.sparkSession, f"stages/{name}-{uuid.uuid4().hex[:12]}")
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write the stage once and continue from the written files (one job, computed once)."""
+    return df.sparkSession.read.parquet(write_stage(df, name))
+
+
+def read_stage(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

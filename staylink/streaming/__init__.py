@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analysis this library rebuilds reads finished batch extracts (CSV files of
+hospital episodes and deaths) and has no streaming operator, watermark, state or
+late-data rule. Every operator here is a batch ``DataFrame -> DataFrame``
+function; nothing is added that the analysis does not do.
+"""
