@@ -48,10 +48,12 @@ class Study:
     age_threshold: int = 65
     hip_pattern: str = r"^[12]-"
     transfer_modes: tuple[str, ...] = ("P",)
-    # Persons are split into blocks of this many days of episode start for every
-    # ordered per-person scan, so that one person with a huge history is spread
-    # over many tasks (see operators/scan.py).
+    # A person with more than ``hot_rows`` episodes is split into blocks of
+    # ``block_days`` days of episode start for every ordered per-person scan, so one
+    # huge history is spread over many tasks (see operators/scan.py). ``hot_rows=None``
+    # splits every person.
     block_days: int = 365
+    hot_rows: int | None = 1_000_000
     # Persons with more death records than one, named by hand for removal (DQ-6).
     exclude_persons: tuple[int, ...] = field(default_factory=tuple)
 
@@ -77,6 +79,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")

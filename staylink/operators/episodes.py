@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from staylink.config import EpisodeCols, Study
 from staylink.functions.dates import parse_dmy
 from staylink.functions.flags import pattern_flag, threshold_flag
-from staylink.operators.scan import drop_block, ordered_scan
+from staylink.operators.scan import drop_block, ordered_scan, plan_blocks
 
 
 def type_episodes(raw: DataFrame, cols: EpisodeCols = EpisodeCols(), date_parser=parse_dmy) -> DataFrame:
@@ -76,6 +76,7 @@ def sequence_episodes(
     and (person, hip_flag), without two more sorts.
     """
     hip = F.col("hip_flag") == 1
+    plan = plan_blocks(df, [cols.person], study.block_days, study.hot_rows)
     out = ordered_scan(
         df,
         [cols.person],
@@ -86,7 +87,7 @@ def sequence_episodes(
             "_first_hip": ("first_pos", hip),
         },
         block_date=cols.start,
-        block_days=study.block_days,
+        plan=plan,
         global_position="file_seq" if with_file_seq else None,
     )
     out = out.withColumns(
@@ -116,7 +117,7 @@ def file_sequence(df: DataFrame, cols: EpisodeCols = EpisodeCols(), study: Study
         cols.order(),
         {},
         block_date=cols.start,
-        block_days=study.block_days,
+        plan=plan_blocks(df, [cols.person], study.block_days, study.hot_rows),
         global_position="file_seq",
     )
     return drop_block(out)

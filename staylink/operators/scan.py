@@ -26,6 +26,13 @@ A task then holds one person's episodes of one block period, not a whole person.
 ``block_days`` sets that bound. A scan on the output of a scan reuses the same
 partitioning: no new shuffle of the rows.
 
+Splitting costs block tables and joins, so it is done only where it is needed.
+:func:`plan_blocks` counts rows per person (a partial aggregate, one small job)
+and returns a :class:`BlockPlan`: no person above ``hot_rows`` -> plain per-person
+windows (one shuffle by person, nothing else); a bounded list of hot persons ->
+only they are cut into blocks (the rest keep block 0); too many hot persons ->
+everyone is cut. The list is checked against ``max_hot`` before it is used.
+
 Optionally the scan also numbers all rows of the table in (person, order) order
 (``global_position``, WIN-1) without a window over the whole table: persons are
 cut into at most ``n_buckets`` ranges of ids, offsets are summed inside each range
@@ -36,6 +43,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -51,12 +59,59 @@ KINDS = ("count", "sum", "sum_before", "max", "max_before", "prev", "first_pos",
 Spec = tuple[str, Column | None]
 
 
-def with_block(df: DataFrame, date_col: str, block_days: int) -> DataFrame:
-    """Add the block number of each row (days since 1970 // block_days)."""
+@dataclass(frozen=True)
+class BlockPlan:
+    """How ordered scans cut a table: ``block_days=None`` keeps every key whole;
+    otherwise keys in ``hot`` (all keys if ``hot`` is None) are cut into blocks.
+    ``key_range`` (min, max of a single numeric key) is kept for global numbering."""
+
+    block_days: int | None
+    hot: tuple | None = None
+    key_range: tuple | None = None
+
+    @property
+    def blocked(self) -> bool:
+        return self.block_days is not None
+
+
+WHOLE = BlockPlan(None)
+
+
+def plan_blocks(
+    df: DataFrame, keys: Sequence[str], block_days: int, hot_rows: int | None, max_hot: int = 10000
+) -> BlockPlan:
+    """Decide the cut from the row count per key (``hot_rows=None``: always cut every key).
+
+    One job: counts per key (a partial aggregate) reduced to the number of hot keys and
+    the key range. Only when there are hot keys, a second job lists at most ``max_hot``.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    single = len(keys) == 1
+    limit = -1 if hot_rows is None else int(hot_rows)
+    stats = counts.agg(
+        F.count_if(F.col("_n") > limit).alias("_hot"),
+        *([F.min(keys[0]).alias("_lo"), F.max(keys[0]).alias("_hi")] if single else []),
+    ).first()
+    key_range = (stats["_lo"], stats["_hi"]) if single else None
+    if hot_rows is None:
+        return BlockPlan(int(block_days), None, key_range)
+    if stats["_hot"] == 0:
+        return BlockPlan(None, None, key_range)
+    if stats["_hot"] > max_hot or not single:
+        return BlockPlan(int(block_days), None, key_range)
+    hot = counts.filter(F.col("_n") > limit).select(keys[0]).collect()
+    return BlockPlan(int(block_days), tuple(r[0] for r in hot), key_range)
+
+
+def with_block(df: DataFrame, date_col: str, plan: BlockPlan, key: str | None = None) -> DataFrame:
+    """Add the block number of each row (days since 1970 // block_days; 0 for keys kept whole)."""
     if BLOCK in df.columns:
         return df
-    b = F.floor(F.datediff(F.col(date_col), F.lit(EPOCH)) / F.lit(int(block_days))).cast("int")
-    return df.withColumn(BLOCK, F.coalesce(b, F.lit(NULL_BLOCK)))
+    b = F.floor(F.datediff(F.col(date_col), F.lit(EPOCH)) / F.lit(int(plan.block_days))).cast("int")
+    b = F.coalesce(b, F.lit(NULL_BLOCK))
+    if plan.hot is not None:
+        b = F.when(F.col(key).isin(list(plan.hot)), b).otherwise(F.lit(0))
+    return df.withColumn(BLOCK, b)
 
 
 def _asc(c: str | Column) -> Column:
@@ -70,7 +125,7 @@ def ordered_scan(
     specs: Mapping[str, Spec],
     *,
     block_date: str,
-    block_days: int,
+    plan: BlockPlan,
     global_position: str | None = None,
     n_buckets: int = 1024,
 ) -> DataFrame:
@@ -89,16 +144,17 @@ def ordered_scan(
     call :func:`drop_block` at the end.
     """
     keys = list(keys)
-    df = with_block(df, block_date, block_days)
+    for name, (kind, _) in specs.items():
+        if kind not in KINDS:
+            raise ValueError(f"unknown scan kind {kind!r} for {name}")
+    if not plan.blocked:
+        return _whole_scan(df, keys, order, specs, global_position, n_buckets, plan)
+    df = with_block(df, block_date, plan, keys[0])
     order_cols = [_asc(c) for c in order]
     w_in = W.partitionBy(*keys, BLOCK).orderBy(*order_cols)
     upto = w_in.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = w_in.rowsBetween(W.unboundedPreceding, -1)
 
-    for name, (kind, _) in specs.items():
-        if kind not in KINDS:
-            raise ValueError(f"unknown scan kind {kind!r} for {name}")
-
     # Values are materialised once so the window and the block aggregate read the same thing.
     vals = {f"_v_{n}": e for n, (k, e) in specs.items() if e is not None}
     rn = "_rn"
@@ -172,7 +228,7 @@ def ordered_scan(
             raise ValueError("global_position needs a single numeric key")
         key = keys[0]
         totals = df.groupBy(key).agg(F.count(F.lit(1)).alias("_kn"))
-        lo, hi = df.agg(F.min(key), F.max(key)).first()
+        lo, hi = plan.key_range or df.agg(F.min(key), F.max(key)).first()
         offs = key_offsets(totals, key, "_kn", lo, hi, n_buckets)
         blocks = blocks.join(offs, key, "left").withColumn("_c_glob", F.col("_koff") + F.col("_c_cnt"))
         carry_cols.append("_c_glob")
@@ -202,6 +258,44 @@ def ordered_scan(
     return out.drop(*temp)
 
 
+def _whole_scan(df, keys, order, specs, global_position, n_buckets, plan) -> DataFrame:
+    """The same running values with plain windows over whole keys (no key is hot)."""
+    w = W.partitionBy(*keys).orderBy(*[_asc(c) for c in order])
+    upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    rows = df.withColumn("_rn", F.row_number().over(w))
+    out: dict[str, Column] = {}
+    for n, (kind, e) in specs.items():
+        if kind == "count":
+            out[n] = F.col("_rn").cast("int")
+        elif kind == "sum":
+            out[n] = F.coalesce(F.sum(e).over(upto), F.lit(0))
+        elif kind == "sum_before":
+            out[n] = F.coalesce(F.sum(e).over(before), F.lit(0))
+        elif kind == "max":
+            out[n] = F.max(e).over(upto)
+        elif kind == "max_before":
+            out[n] = F.max(e).over(before)
+        elif kind == "prev":
+            out[n] = F.lag(e).over(w)
+        elif kind == "first_pos":
+            out[n] = F.min(F.when(e, F.col("_rn"))).over(upto).cast("int")
+        elif kind == "last_pos":
+            out[n] = F.max(F.when(e, F.col("_rn"))).over(upto).cast("int")
+    rows = rows.withColumns(out) if out else rows
+    if global_position is not None:
+        if len(keys) != 1:
+            raise ValueError("global_position needs a single numeric key")
+        key = keys[0]
+        totals = df.groupBy(key).agg(F.count(F.lit(1)).alias("_kn"))
+        lo, hi = plan.key_range or df.agg(F.min(key), F.max(key)).first()
+        offs = key_offsets(totals, key, "_kn", lo, hi, n_buckets)
+        rows = rows.join(offs, key, "left").withColumn(
+            global_position, (F.col("_koff") + F.col("_rn")).cast("long")
+        ).drop("_koff")
+    return rows.drop("_rn")
+
+
 def key_offsets(totals: DataFrame, key: str, count_col: str, lo, hi, n_buckets: int = 1024) -> DataFrame:
     """Rows before each key in ascending key order: ``key, _koff``.
 
@@ -228,6 +322,7 @@ def segment_max(
     keys: Sequence[str],
     segment: str,
     values: Mapping[str, str | Column],
+    plan: BlockPlan,
 ) -> DataFrame:
     """Maximum of each of ``values`` over each segment (rows of a key with one ``segment`` number).
 
@@ -239,6 +334,10 @@ def segment_max(
     """
     keys = list(keys)
     names = list(values)
+    if not plan.blocked:
+        # Rows are already clustered by key: a window per (key, segment) moves nothing.
+        w = W.partitionBy(*keys, segment)
+        return df.withColumns({n: F.max(F.col(v) if isinstance(v, str) else v).over(w) for n, v in values.items()})
     w_seg = W.partitionBy(*keys, BLOCK, segment)
     rows = df.withColumns(
         {f"_m_{n}": F.max(F.col(v) if isinstance(v, str) else v).over(w_seg) for n, v in values.items()}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylink.config import EpisodeCols, Study
-from staylink.operators.scan import drop_block, ordered_scan, segment_max
+from staylink.operators.scan import drop_block, ordered_scan, plan_blocks, segment_max
 
 
 def transfer_stays(
@@ -28,7 +28,8 @@ def transfer_stays(
     ``stay_size``, ``admdate_first``, ``sepdate_last`` and ``totlos`` (days)."""
     modes = list(study.transfer_modes)
     start, end = F.col(cols.start), F.col(cols.end)
-    scan = dict(block_date=cols.start, block_days=study.block_days)
+    plan = plan_blocks(df, [cols.person], study.block_days, study.hot_rows)
+    scan = dict(block_date=cols.start, plan=plan)
     s = ordered_scan(
         df,
         [cols.person],
@@ -64,7 +65,7 @@ def transfer_stays(
         }
     )
     s = segment_max(
-        s, [cols.person], "stay_seq", {"sepdate_last": end, "stay_size": F.col("trans_seq") + 1}
+        s, [cols.person], "stay_seq", {"sepdate_last": end, "stay_size": F.col("trans_seq") + 1}, plan
     )
     s = s.withColumn("totlos", F.datediff("sepdate_last", "admdate_first")).drop(
         "_pos", "_prev_end", "_prev_mode", "_brk", "_stay_first"
@@ -95,7 +96,7 @@ def hip_stays(
         cols.order(),
         {"_hs": ("sum", first_hip.cast("int")), "_last_start": ("max", last_start)},
         block_date=cols.start,
-        block_days=study.block_days,
+        plan=plan_blocks(df, [cols.person], study.block_days, study.hot_rows),
     )
     s = s.withColumn(
         "hf_stays_all", F.when(F.col("_last_start.hip") == 1, F.col("_hs")).otherwise(0).cast("int")

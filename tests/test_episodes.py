@@ -61,9 +61,9 @@ def _tiny_seq(spark):
     return spark.createDataFrame(rows, "person_id long, episode_id long, start_date date, end_date date, hip_flag int")
 
 
-@pytest.mark.parametrize("block_days", [1, 30, 365, 100000])
-def test_tiny_seq(spark, block_days):
-    s = sequence_episodes(_tiny_seq(spark), study=Study(block_days=block_days))
+@pytest.mark.parametrize("block_days,hot_rows", [(1, None), (30, None), (365, None), (30, 3), (365, 10**6)])
+def test_tiny_seq(spark, block_days, hot_rows):
+    s = sequence_episodes(_tiny_seq(spark), study=Study(block_days=block_days, hot_rows=hot_rows))
     got = {r.episode_id: (r.file_seq, r.person_seq, r.hip_cumcount, r.post_index, r.index_seq, r.hip_seq)
            for r in s.collect()}
     assert got == {
@@ -87,11 +87,14 @@ def _random_episodes(spark, seed, n_persons=40, max_eps=30):
     return spark.createDataFrame(rows, "person_id long, episode_id long, start_date date, end_date date, hip_flag int")
 
 
-@pytest.mark.parametrize("seed,block_days", [(1, 7), (2, 90), (3, 365)])
-def test_sequences_equal_plain_windows(spark, seed, block_days):
-    """The blocked scan gives exactly the whole-person window numbers (section 5.3 invariants)."""
+@pytest.mark.parametrize(
+    "seed,block_days,hot_rows", [(1, 7, None), (2, 90, None), (3, 365, None), (4, 30, 100), (5, 30, 10**6)]
+)
+def test_sequences_equal_plain_windows(spark, seed, block_days, hot_rows):
+    """Blocked (all persons, or only the hot person 0) and whole scans give exactly the
+    whole-person window numbers (section 5.3 invariants)."""
     df = _random_episodes(spark, seed)
-    s = sequence_episodes(df, study=Study(block_days=block_days))
+    s = sequence_episodes(df, study=Study(block_days=block_days, hot_rows=hot_rows))
     o = ["start_date", "end_date", "episode_id"]
     w = W.partitionBy("person_id").orderBy(*o)
     ref = df.select(
@@ -119,7 +122,7 @@ def test_sequences_equal_plain_windows(spark, seed, block_days):
 
 def test_file_sequence_alone(spark):
     df = _random_episodes(spark, 5)
-    fs = file_sequence(df, study=Study(block_days=30))
+    fs = file_sequence(df, study=Study(block_days=30, hot_rows=None))
     n = df.count()
     assert fs.agg(F.min("file_seq"), F.max("file_seq"), F.countDistinct("file_seq")).first() == (1, n, n)
 
@@ -142,3 +145,13 @@ def test_tiny_cohort(spark):
     assert sorted(r.episode_id for r in c) == [1, 2]
     # hip_seq 1 is the episode at 64, kept as in the reference
     assert {r.episode_id: r.hip_seq for r in c} == {1: 1, 2: 2}
+
+
+def test_block_plan_finds_the_hot_person(spark):
+    from staylink.operators.scan import plan_blocks
+
+    df = _random_episodes(spark, 6)
+    assert plan_blocks(df, ["person_id"], 30, 100).hot == (3,)  # person 0 has 300 rows, id 0 * 7 + 3
+    assert not plan_blocks(df, ["person_id"], 30, 10**6).blocked
+    p = plan_blocks(df, ["person_id"], 30, None)
+    assert p.blocked and p.hot is None

@@ -20,15 +20,25 @@ def test_no_python_udf(spark, name):
 
 
 def test_sequences_shuffle_rows_by_person_and_block(spark):
-    a = Analysis(spark, SF001, materialize_stages=False)
+    from staylink.config import Study
     from staylink.operators.episodes import sequence_episodes
 
-    plan = _plan(sequence_episodes(a.episodes, with_file_seq=False))
+    a = Analysis(spark, SF001, materialize_stages=False)
+    plan = _plan(sequence_episodes(a.episodes, study=Study(hot_rows=None), with_file_seq=False))
     assert "hashpartitioning(person_id" in plan and "_blk" in plan
     # no exchange that gathers raw rows into one partition
     assert "SinglePartition" not in plan
 
 
+def test_whole_person_scan_is_one_window(spark):
+    from staylink.operators.episodes import sequence_episodes
+
+    a = Analysis(spark, SF001, materialize_stages=False)
+    plan = _plan(sequence_episodes(a.episodes, with_file_seq=False))
+    assert "_blk" not in plan and "SinglePartition" not in plan
+    assert plan.count("Exchange hashpartitioning(person_id") == 1
+
+
 def test_filters_reach_the_scan(spark):
     plan = _plan(Analysis(spark, SF001, materialize_stages=False).episodes)
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in plan
