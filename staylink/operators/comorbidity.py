@@ -83,6 +83,10 @@ def charlson_rows(text: str = CHARLSON_ICD10) -> list[tuple[str, str, int]]:
     return rows
 
 
+def charlson_prefix_lengths() -> list[int]:
+    return sorted({len(p) for p, _, _ in charlson_rows()})
+
+
 def charlson_map(spark: SparkSession) -> DataFrame:
     """The ICD-10 Charlson map as a table ``prefix, condition, weight``."""
     return spark.createDataFrame(charlson_rows(), MAP_SCHEMA)
@@ -96,14 +100,16 @@ def comorbidity_score(
     episode_col: str = "episode_id",
     code_col: str = "code",
     hierarchy: dict[str, str] | None = None,
+    prefix_lengths: list[int] | None = None,
 ) -> DataFrame:
     """Per index episode: ``cci_score`` (0 when nothing matches).
 
     ``diagnoses`` is a long table (episode, code); only the index episodes' rows are used.
-    ``code_map`` is a bounded table (prefix, condition, weight), broadcast.
+    ``code_map`` is a bounded table (prefix, condition, weight), broadcast. The prefix
+    lengths it uses are read from it (a small job) unless given.
     """
     hierarchy = CHARLSON_HIERARCHY if hierarchy is None else hierarchy
-    lengths = sorted(r[0] for r in code_map.select(F.length("prefix")).distinct().collect())
+    lengths = prefix_lengths or sorted(r[0] for r in code_map.select(F.length("prefix")).distinct().collect())
     ids = index.select(episode_col).distinct()
     code = F.upper(F.regexp_replace(F.col(code_col), r"[.\s]", ""))
     dx = diagnoses.select(episode_col, code.alias("_code")).join(ids, episode_col, "left_semi").distinct()

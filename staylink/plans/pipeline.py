@@ -4,10 +4,11 @@ Part one: episodes -> clean and flag -> sequences -> cohort -> deaths resolved -
 linked -> transfer stays (the table part two starts from). Part two: hip stays,
 length of stay, next admission, censoring, comorbidity, survival.
 
-Each stage is a DataFrame built on the previous one. Three stages are written
+Each stage is a DataFrame built on the previous one. Four stages are written
 once to the shared checkpoint folder and read back (SRC-4): the sequenced
-episodes, the linked episodes (end of part one) and the stays table (start of
-part two, the file the reference hands from one script to the other). That cuts
+episodes, the linked episodes (end of part one), the stays table (start of part
+two, the file the reference hands from one script to the other) and the scored
+index episodes (one row per person, the input of every survival step). That cuts
 the lineage, so a lost executor recomputes from those files rather than from the
 raw tables, and keeps the plans of the later stages small: an ordered scan refers
 to its input twice (rows and block table), so unmaterialised chains of scans would
@@ -105,8 +106,12 @@ class Analysis:
 
     @cached_property
     def scored(self) -> DataFrame:
-        """DOM-10 on the index episodes, with groups and labels."""
+        """DOM-10 on the index episodes, with groups and labels: the analysis table of
+        part two (one row per person), written once for the survival steps."""
         dx = fixtures.fx_diagnosis(self.spark, self.sf_dir)
         cmap = fixtures.fx_code_map(self.spark)
-        scored = comorbidity_score(self.readmission, dx, cmap, episode_col=self.cols.episode, hierarchy={})
-        return score_groups(scored)
+        lengths = sorted({len(p) for p, _, _ in fixtures.FX_CODE_MAP_ROWS})
+        scored = comorbidity_score(
+            self.readmission, dx, cmap, episode_col=self.cols.episode, hierarchy={}, prefix_lengths=lengths
+        )
+        return self._stage(score_groups(scored), "scored")
