@@ -58,19 +58,23 @@ class Study:
     exclude_persons: tuple[int, ...] = field(default_factory=tuple)
 
 
+_LOCAL_CHECKPOINT: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    The setting is read from the session; only when it is unset (local tests)
-    a fresh temporary folder is taken and set as the checkpoint dir.
+    The setting is read from the session. Only when it is unset (a local test run) a
+    fresh temporary folder is made the context's checkpoint dir, once per application.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="staylink-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    base = base.rstrip("/")
-    return f"{base}/{name}"
+        app = spark.sparkContext.applicationId
+        base = _LOCAL_CHECKPOINT.get(app)
+        if base is None:
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="staylink-ckpt-"))
+            base = _LOCAL_CHECKPOINT[app] = spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/{name}"
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "staylink") -> SparkSession:
@@ -90,6 +94,5 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        scratch_dir(spark, "")
+    scratch_dir(spark, "")
     return spark

@@ -283,6 +283,15 @@ _LOGRANK = " UNION ALL ".join(
     for i, lab in enumerate(["CCI 0", "CCI 1–2", "CCI 3+"])
 )
 
+# chi2 = u' V^-1 u with the last group left out: a 2 x 2 inverse in closed form (k = 3).
+_LOGRANK_TEST = f"""
+SELECT {_r('((o0 - e0) * (o0 - e0) * v11 - 2 * (o0 - e0) * (o1 - e1) * v01 + (o1 - e1) * (o1 - e1) * v00)'
+           ' / (v00 * v11 - v01 * v01)', 'chi2')},
+       CAST(2 AS INTEGER) AS df,
+       {_r('exp(-((o0 - e0) * (o0 - e0) * v11 - 2 * (o0 - e0) * (o1 - e1) * v01 + (o1 - e1) * (o1 - e1) * v00)'
+           ' / (v00 * v11 - v01 * v01) / 2)', 'p')}
+FROM lr"""
+
 FINAL: dict[str, str] = {
     "ingest_clean": "SELECT * FROM ep",
     "duplicate_report": " UNION ALL ".join(
@@ -362,6 +371,7 @@ FROM km""",
     "km_median": "SELECT cci_label, min(time_to_next) FILTER (WHERE surv <= 0.5 + 1e-9) AS median_time "
     "FROM km GROUP BY cci_label",
     "logrank": _LOGRANK,
+    "logrank_test": _LOGRANK_TEST,
 }
 
 

@@ -19,7 +19,14 @@ from staylink.operators.comorbidity import GROUP_LABELS
 from staylink.operators.deaths import death_vs_episodes, multi_records
 from staylink.operators.episodes import clean_episodes, file_sequence, type_episodes
 from staylink.operators.readmission import negative_times, outcome_table
-from staylink.operators.survival import km_at_times, km_median, km_table, logrank_parts, report_times
+from staylink.operators.survival import (
+    km_at_times,
+    km_median,
+    km_table,
+    logrank_parts,
+    logrank_test,
+    report_times,
+)
 from staylink.plans.pipeline import Analysis
 from staylink.sources import fixtures
 
@@ -276,6 +283,14 @@ def logrank(spark, sf_dir):
     return _round(logrank_parts(_a(spark, sf_dir).scored, "cci_label", GROUP_LABELS))
 
 
+def logrank_test_q(spark, sf_dir):
+    """SRV-3: chi-square, degrees of freedom and p-value. The k x k variance matrix (k = 3
+    groups) is the only thing that reaches the driver, for the solve."""
+    t = logrank_test(logrank_parts(_a(spark, sf_dir).scored, "cci_label", GROUP_LABELS))
+    schema = "chi2 double, df int, p double"
+    return _round(spark.createDataFrame([(float(t["chi2"]), int(t["df"]), float(t["p"]))], schema))
+
+
 QUERIES: dict[str, Query] = {
     "ingest_clean": ingest_clean,
     "duplicate_report": duplicate_report,
@@ -313,4 +328,5 @@ QUERIES: dict[str, Query] = {
     "km_at_times": km_at_times_q,
     "km_median": km_median_q,
     "logrank": logrank,
+    "logrank_test": logrank_test_q,
 }
