@@ -112,7 +112,7 @@ def comorbidity_score(
     lengths = prefix_lengths or sorted(r[0] for r in code_map.select(F.length("prefix")).distinct().collect())
     ids = index.select(episode_col).distinct()
     code = F.upper(F.regexp_replace(F.col(code_col), r"[.\s]", ""))
-    dx = diagnoses.select(episode_col, code.alias("_code")).join(ids, episode_col, "left_semi").distinct()
+    dx = diagnoses.select(episode_col, code.alias("_code")).join(ids, episode_col, "left_semi")
     cut = dx.select(
         episode_col, F.explode(F.array(*[F.substring("_code", 1, n) for n in lengths])).alias("prefix")
     ).distinct()

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from staylink.config import EpisodeCols, Study
 from staylink.operators.scan import drop_block, ordered_scan, plan_blocks, segment_max
+from staylink.sources.sink import materialize
 
 
 def transfer_stays(
@@ -47,6 +48,10 @@ def transfer_stays(
         prev_end.isNull() | (start > prev_end) | ((start == prev_end) & ~after_transfer), F.lit(True)
     )
     s = s.withColumn("_brk", new_stay)
+    if plan.blocked:
+        # Hot persons: each level of a blocked scan refers to its input twice, so the
+        # level is written once (block column included) and the next level reads it.
+        s = materialize(s, "stays-level1")
     s = ordered_scan(
         s,
         [cols.person],
@@ -64,6 +69,8 @@ def transfer_stays(
             "trans_seq": (F.col("_pos") - F.col("_stay_first")).cast("int"),
         }
     )
+    if plan.blocked:
+        s = materialize(s, "stays-level2")
     s = segment_max(
         s, [cols.person], "stay_seq", {"sepdate_last": end, "stay_size": F.col("trans_seq") + 1}, plan
     )

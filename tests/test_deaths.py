@@ -56,3 +56,15 @@ def test_exclusion_list(spark):
     resolved, dropped = resolve_deaths(deaths, ep, exclude=[1])
     assert sorted(r.person_id for r in dropped.collect()) == [1, 2]
     assert sorted(r.person_id for r in resolved.collect()) == [3, 5]
+
+
+def test_death_csv_ingest(spark, tmp_path):
+    from staylink.operators.deaths import type_deaths
+    from staylink.sources.csv import read_text_csv, write_text_csv
+
+    rows = [("7", "01/02/2010", "80"), ("7", "01/02/2010", "80"), ("8", "1FEB2011", "NA"), ("9", "31/02/2011", "70")]
+    path = str(tmp_path / "deaths")
+    write_text_csv(spark.createDataFrame(rows, "person_id string, death_date string, age_death string"), path)
+    d = type_deaths(read_text_csv(spark, path, ["person_id", "death_date", "age_death"]))
+    got = sorted(tuple(r) for r in d.collect())
+    assert got == [(7, dt.date(2010, 2, 1), 80), (8, dt.date(2011, 2, 1), None), (9, None, 70)]
