@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Day-month-year layouts accepted for text dates: 01/07/2005, 1/7/2005, 01-07-2005,
-# 01JUL2005, 01 Jul 2005. Month names are matched case-insensitively by the parser
+# 01JUL2005, 1JUL2005, 01 Jul 2005. Month names are matched case-insensitively by the parser
 # after the text is upper-cased and the name title-cased below.
-DMY_FORMATS: tuple[str, ...] = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "ddMMMyyyy", "d MMM yyyy")
+DMY_FORMATS: tuple[str, ...] = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "ddMMMyyyy", "dMMMyyyy", "d MMM yyyy")
 
 
 def _c(c: str | Column) -> Column:
