@@ -20,33 +20,92 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from staylink.config import DeathCols, EpisodeCols, Study
 from staylink.operators.cohort import select_cohort
-from staylink.operators.comorbidity import comorbidity_score, score_groups
-from staylink.operators.deaths import link_deaths, resolve_deaths
-from staylink.operators.episodes import add_flags, clean_episodes, sequence_episodes
+from staylink.operators.comorbidity import charlson_map, charlson_prefix_lengths, comorbidity_score, score_groups
+from staylink.operators.deaths import link_deaths, resolve_deaths, type_deaths
+from staylink.operators.episodes import add_flags, clean_episodes, sequence_episodes, type_episodes
 from staylink.operators.readmission import censor_times, index_episodes, next_admission
 from staylink.operators.stays import hip_stays, transfer_stays
 from staylink.sources import fixtures
+from staylink.sources.csv import read_text_csv
 from staylink.sources.sink import materialize
 
 
 class Analysis:
-    """Stages over the fixture views of one scale-factor folder."""
+    """Stages of the analysis.
+
+    Inputs are typed DataFrames (``episodes``, ``deaths``, a long ``diagnoses`` table and a
+    ``code_map``); any left out come from the fixture views of ``sf_dir``. Use
+    :meth:`from_csv` for text extracts with the course's own column names.
+    """
 
     def __init__(
         self,
         spark: SparkSession,
-        sf_dir: str,
+        sf_dir: str | None = None,
         study: Study = Study(),
         cols: EpisodeCols = EpisodeCols(),
         dcols: DeathCols = DeathCols(),
         *,
+        episodes: DataFrame | None = None,
+        deaths: DataFrame | None = None,
+        diagnoses: DataFrame | None = None,
+        code_map: DataFrame | None = None,
+        hierarchy: dict[str, str] | None = None,
+        prefix_lengths: list[int] | None = None,
         materialize_stages: bool = True,
     ):
         self.spark, self.sf_dir, self.study, self.cols, self.dcols = spark, sf_dir, study, cols, dcols
         self.materialize = materialize_stages
+        if sf_dir is None and (episodes is None or deaths is None):
+            raise ValueError("give sf_dir or both episodes and deaths")
+        self._episodes = episodes if episodes is not None else fixtures.fx_episode(spark, sf_dir)
+        self._deaths = deaths if deaths is not None else fixtures.fx_death(spark, sf_dir)
+        if code_map is None and diagnoses is None and sf_dir is not None:
+            # the fixture's own map; no hierarchy among its two conditions
+            self._diagnoses = fixtures.fx_diagnosis(spark, sf_dir)
+            self._code_map = fixtures.fx_code_map(spark)
+            self._hierarchy: dict[str, str] | None = {}
+            self._lengths = sorted({len(p) for p, _, _ in fixtures.FX_CODE_MAP_ROWS})
+        else:
+            self._diagnoses = diagnoses
+            self._code_map = code_map if code_map is not None else charlson_map(spark)
+            self._hierarchy = hierarchy
+            self._lengths = prefix_lengths or (charlson_prefix_lengths() if code_map is None else None)
+
+    @classmethod
+    def from_csv(
+        cls,
+        spark: SparkSession,
+        episodes_path: str,
+        deaths_path: str,
+        study: Study = Study(),
+        cols: EpisodeCols = EpisodeCols(),
+        dcols: DeathCols = DeathCols(),
+        *,
+        episode_columns: list[str] | None = None,
+        death_columns: list[str] | None = None,
+        diagnoses: DataFrame | None = None,
+        **kw,
+    ) -> Analysis:
+        """SRC-1: text extracts with a header row, day-month-year dates, ``NA`` for missing.
+
+        ``episode_columns`` / ``death_columns`` list the files' columns in order (default:
+        the names in ``cols`` / ``dcols``). Extra columns are kept as text.
+        """
+        ecols = episode_columns or [cols.person, cols.episode, cols.start, cols.end, cols.age, cols.code, cols.mode]
+        dcols_list = death_columns or [dcols.person, dcols.date, dcols.age]
+        raw = read_text_csv(spark, episodes_path, ecols)
+        if cols.episode not in ecols:
+            # No episode id in the extract: a hash of the whole row is the tiebreak. It is
+            # the same on every run; distinct rows differ in some column.
+            raw = raw.withColumn(cols.episode, F.xxhash64(*[F.col(c) for c in ecols]).cast("string"))
+        episodes = type_episodes(raw, cols)
+        deaths = type_deaths(read_text_csv(spark, deaths_path, dcols_list), dcols)
+        return cls(spark, None, study, cols, dcols, episodes=episodes, deaths=deaths, diagnoses=diagnoses, **kw)
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name) if self.materialize else df
@@ -55,8 +114,7 @@ class Analysis:
     @cached_property
     def episodes(self) -> DataFrame:
         """DOM-1 + DOM-2: distinct episodes inside the study period, with both flags."""
-        raw = fixtures.fx_episode(self.spark, self.sf_dir)
-        return add_flags(clean_episodes(raw, self.cols, self.study), self.cols, self.study)
+        return add_flags(clean_episodes(self._episodes, self.cols, self.study), self.cols, self.study)
 
     @cached_property
     def sequenced(self) -> DataFrame:
@@ -70,7 +128,7 @@ class Analysis:
 
     @cached_property
     def deaths(self) -> DataFrame:
-        return fixtures.fx_death(self.spark, self.sf_dir).distinct()
+        return self._deaths.distinct()
 
     @cached_property
     def resolution(self) -> tuple[DataFrame, DataFrame]:
@@ -107,11 +165,17 @@ class Analysis:
     @cached_property
     def scored(self) -> DataFrame:
         """DOM-10 on the index episodes, with groups and labels: the analysis table of
-        part two (one row per person), written once for the survival steps."""
-        dx = fixtures.fx_diagnosis(self.spark, self.sf_dir)
-        cmap = fixtures.fx_code_map(self.spark)
-        lengths = sorted({len(p) for p, _, _ in fixtures.FX_CODE_MAP_ROWS})
-        scored = comorbidity_score(
-            self.readmission, dx, cmap, episode_col=self.cols.episode, hierarchy={}, prefix_lengths=lengths
-        )
+        part two (one row per person), written once for the survival steps. Without a
+        diagnosis table every score is 0."""
+        if self._diagnoses is None:
+            scored = self.readmission.withColumn("cci_score", F.lit(0))
+        else:
+            scored = comorbidity_score(
+                self.readmission,
+                self._diagnoses,
+                self._code_map,
+                episode_col=self.cols.episode,
+                hierarchy=self._hierarchy,
+                prefix_lengths=self._lengths,
+            )
         return self._stage(score_groups(scored), "scored")
