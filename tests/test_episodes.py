@@ -155,3 +155,22 @@ def test_block_plan_finds_the_hot_person(spark):
     assert not plan_blocks(df, ["person_id"], 30, 10**6).blocked
     p = plan_blocks(df, ["person_id"], 30, None)
     assert p.blocked and p.hot is None
+
+
+def test_hot_person_is_spread_over_blocks(spark):
+    """A person with a third of all rows: the blocked scan's task groups stay small, and the
+    numbers equal the whole-person ones."""
+    from staylink.operators.scan import BLOCK, plan_blocks, with_block
+
+    df = _random_episodes(spark, 7, n_persons=60)
+    hot = df.withColumn("person_id", F.when(F.col("episode_id") % 3 == 0, F.lit(3)).otherwise(F.col("person_id")))
+    n, n_hot = hot.count(), hot.filter(F.col("person_id") == 3).count()
+    assert n_hot * 3 >= n
+    plan = plan_blocks(hot, ["person_id"], 90, hot_rows=n // 10)
+    assert plan.hot == (3,)
+    groups = with_block(hot, "start_date", plan, "person_id").groupBy("person_id", BLOCK).count()
+    assert groups.agg(F.max("count")).first()[0] < n_hot / 10
+    split = sequence_episodes(hot, study=Study(block_days=90, hot_rows=n // 10))
+    whole = sequence_episodes(hot, study=Study(hot_rows=10**9))
+    cols = ["episode_id", "file_seq", "person_seq", "hip_cumcount", "index_seq", "hip_seq"]
+    assert sorted(split.select(*cols).collect()) == sorted(whole.select(*cols).collect())
