@@ -67,13 +67,22 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     The setting is read from the session. Only when it is unset (a local test run) a
     fresh temporary folder is made the context's checkpoint dir, once per application.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
-        base = _LOCAL_CHECKPOINT.get(app)
-        if base is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="staylink-ckpt-"))
-            base = _LOCAL_CHECKPOINT[app] = spark.sparkContext.getCheckpointDir()
+        try:
+            sc = spark.sparkContext
+        except Exception:  # a remote (Connect) session has no context here
+            sc = None
+        base = sc.getCheckpointDir() if sc is not None else None
+        if not base:
+            key = sc.applicationId if sc is not None else "remote"
+            base = _LOCAL_CHECKPOINT.get(key)
+            if base is None:
+                base = tempfile.mkdtemp(prefix="staylink-ckpt-")
+                if sc is not None:
+                    sc.setCheckpointDir(base)
+                    base = sc.getCheckpointDir()
+                _LOCAL_CHECKPOINT[key] = base
     return f"{base.rstrip('/')}/{name}"
 
 
