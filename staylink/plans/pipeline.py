@@ -4,11 +4,12 @@ Part one: episodes -> clean and flag -> sequences -> cohort -> deaths resolved -
 linked -> transfer stays (the table part two starts from). Part two: hip stays,
 length of stay, next admission, censoring, comorbidity, survival.
 
-Each stage is a DataFrame built on the previous one. Four stages are written
-once to the shared checkpoint folder and read back (SRC-4): the sequenced
-episodes, the linked episodes (end of part one), the stays table (start of part
-two, the file the reference hands from one script to the other) and the scored
-index episodes (one row per person, the input of every survival step). That cuts
+Each stage is a DataFrame built on the previous one. Five stages are written
+once to the shared checkpoint folder and read back (SRC-4): the cleaned
+episodes, the sequenced episodes, the linked episodes (end of part one), the
+stays table (start of part two, the file the reference hands from one script to
+the other) and the scored index episodes (one row per person, the input of every
+survival step). That cuts
 the lineage, so a lost executor recomputes from those files rather than from the
 raw tables, and keeps the plans of the later stages small: an ordered scan refers
 to its input twice (rows and block table), so unmaterialised chains of scans would
@@ -114,7 +115,10 @@ class Analysis:
     @cached_property
     def episodes(self) -> DataFrame:
         """DOM-1 + DOM-2: distinct episodes inside the study period, with both flags."""
-        return add_flags(clean_episodes(self._episodes, self.cols, self.study), self.cols, self.study)
+        clean = add_flags(clean_episodes(self._episodes, self.cols, self.study), self.cols, self.study)
+        # Written once: the whole-row distinct is a full shuffle, and both the hot-person
+        # probe and the sequencing scan read this table.
+        return self._stage(clean, "episodes")
 
     @cached_property
     def sequenced(self) -> DataFrame:
