@@ -43,8 +43,18 @@ def _round(df: DataFrame, places: int = 6) -> DataFrame:
     )
 
 
+_ANALYSES: dict[tuple[str, str], Analysis] = {}
+
+
 def _a(spark: SparkSession, sf_dir: str) -> Analysis:
-    return Analysis(spark, sf_dir)
+    """One analysis per (Spark application, folder): its stages are computed from the
+    tables once, written to the checkpoint folder, and read by every later query."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _ANALYSES:
+        if len(_ANALYSES) >= 4:
+            _ANALYSES.pop(next(iter(_ANALYSES)))
+        _ANALYSES[key] = Analysis(spark, sf_dir)
+    return _ANALYSES[key]
 
 
 # ---- part one: ingest, flags, sequences, cohort ----------------------------------------
