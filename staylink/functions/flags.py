@@ -35,7 +35,7 @@ def if_else(cond: Column, yes, no) -> Column:
 
 
 def recode(c: str | Column, mapping: Mapping[str, str]) -> Column:
-    """Value-by-value recode; a value not in the mapping is kept (dplyr ``recode``)."""
+    """Value-by-value recode; a value not in the mapping is kept (as R's ``recode``)."""
     col = _c(c)
     out = None
     for k, v in mapping.items():
