@@ -58,6 +58,17 @@ def level_summary(df: DataFrame, col: str, label: str) -> DataFrame:
     )
 
 
+def summary_table(df: DataFrame, col: str, label: str, *, max_levels: int = 10) -> DataFrame:
+    """AGG-10 in full: a variable with fewer than ``max_levels`` distinct values is shown by
+    level (:func:`level_summary`); otherwise as one row ``variable, n, median, q1, q3``.
+    The distinct count is one small aggregate (a bounded number reaches the driver)."""
+    n_levels = df.agg(F.countDistinct(col)).first()[0]
+    if n_levels < max_levels:
+        return level_summary(df, col, label)
+    d = describe(df, col)
+    return d.select(F.lit(label).alias("variable"), "n", "median", "q1", "q3")
+
+
 def summary_by(df: DataFrame, by: str, col: str, label: str) -> DataFrame:
     """AGG-11 (``tbl_summary(by=)``): ``by, variable, level, n, percent`` with column percents
     (share within the stratum, 0..100). Rows with a null stratum are left out, as there."""
