@@ -312,6 +312,8 @@ FINAL: dict[str, str] = {
     "resolved_deaths": "SELECT * FROM resolved",
     "dropped_persons": "SELECT * FROM dropped",
     "linked": "SELECT person_id, episode_id, start_date, end_date, hip_seq, death_date, age_death FROM linked",
+    "linked_size": "SELECT CAST(count(DISTINCT person_id) AS BIGINT) AS n_persons, "
+    "CAST(count(*) AS BIGINT) AS n_episodes FROM linked",
     "transfer_stays": "SELECT person_id, episode_id, start_date, end_date, mode, stay_seq, trans_seq, stay_size, "
     "admdate_first, sepdate_last, totlos FROM stays",
     "stay_episode_freq": _freq("(SELECT trans_seq FROM stays WHERE hip_seq = 1)", "trans_seq"),

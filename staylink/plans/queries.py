@@ -146,6 +146,11 @@ def linked(spark, sf_dir):
     )
 
 
+def linked_size(spark, sf_dir):
+    """AGG-1 on the linked table: individuals and episodes after the death resolution."""
+    return cohort_size(_a(spark, sf_dir).linked)
+
+
 # ---- transfer stays ---------------------------------------------------------------------
 STAY_COLS = [
     "person_id", "episode_id", "start_date", "end_date", "mode", "stay_seq", "trans_seq",
@@ -316,6 +321,7 @@ QUERIES: dict[str, Query] = {
     "resolved_deaths": resolved_deaths,
     "dropped_persons": dropped_persons,
     "linked": linked,
+    "linked_size": linked_size,
     "transfer_stays": transfer_stays_q,
     "stay_episode_freq": stay_episode_freq,
     "stay_size_freq": stay_size_freq,
