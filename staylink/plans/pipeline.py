@@ -32,7 +32,7 @@ from staylink.operators.readmission import censor_times, index_episodes, next_ad
 from staylink.operators.stays import hip_stays, transfer_stays
 from staylink.sources import fixtures
 from staylink.sources.csv import read_text_csv
-from staylink.sources.sink import materialize
+from staylink.sources.sink import write_stage
 
 
 class Analysis:
@@ -61,6 +61,7 @@ class Analysis:
     ):
         self.spark, self.sf_dir, self.study, self.cols, self.dcols = spark, sf_dir, study, cols, dcols
         self.materialize = materialize_stages
+        self.stage_paths: list[str] = []
         if sf_dir is None and (episodes is None or deaths is None):
             raise ValueError("give sf_dir or both episodes and deaths")
         self._episodes = episodes if episodes is not None else fixtures.fx_episode(spark, sf_dir)
@@ -109,7 +110,18 @@ class Analysis:
         return cls(spark, None, study, cols, dcols, episodes=episodes, deaths=deaths, diagnoses=diagnoses, **kw)
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
-        return materialize(df, name) if self.materialize else df
+        if not self.materialize:
+            return df
+        path = write_stage(df, name)
+        self.stage_paths.append(path)
+        return self.spark.read.parquet(path)
+
+    def stages_present(self) -> bool:
+        """False if a written stage has been removed since (local paths only)."""
+        import os
+
+        local = [p.removeprefix("file:") for p in self.stage_paths if "://" not in p or p.startswith("file:")]
+        return all(os.path.exists(p) for p in local)
 
     # ---- part one -------------------------------------------------------------------
     @cached_property

@@ -50,6 +50,8 @@ def _a(spark: SparkSession, sf_dir: str) -> Analysis:
     """One analysis per (Spark application, folder): its stages are computed from the
     tables once, written to the checkpoint folder, and read by every later query."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key in _ANALYSES and not _ANALYSES[key].stages_present():
+        del _ANALYSES[key]
     if key not in _ANALYSES:
         if len(_ANALYSES) >= 4:
             _ANALYSES.pop(next(iter(_ANALYSES)))
