@@ -15,8 +15,10 @@ contiguous and ordered within a person, so a running value is
 
 1. One shuffle of the rows by (person, block); a window inside each block gives
    the in-block running values.
-2. The windowed rows are aggregated per (person, block) with no further shuffle
-   (they are already clustered by those keys): one small row per block.
+2. One small row per (person, block) holds the block's totals. Counts, sums,
+   maxima and last values are partial aggregates of the input (combined map-side,
+   only block rows are shuffled); positions of the first / latest row with a
+   property need the in-block order and aggregate the windowed rows instead.
 3. A window over the block rows of a person (a few rows per person) turns them
    into carries from the earlier blocks.
 4. The carries are joined back on (person, block). The big side keeps its
