@@ -1,4 +1,4 @@
-"""Data-quality and profile operators (DQ-1..DQ-3, DQ-8, SET-2)."""
+"""Data-quality and profile operators (DQ-1..DQ-3, DQ-8, SET-2) and the ingest report."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from staylink.config import EpisodeCols, Study
+
 
 def profile(df: DataFrame) -> DataFrame:
     """DQ-1 / DQ-2 (``generate_dictionary``): ``position, column, type, n_rows, n_missing``.
@@ -58,3 +60,25 @@ def duplicate_report(df: DataFrame, name: str) -> DataFrame:
 def spot_check(df: DataFrame, key: str, value, columns: list[str]) -> DataFrame:
     """DQ-8: the rows of one key, for a look by eye (tests check invariants instead)."""
     return df.filter(F.col(key) == F.lit(value)).select(*columns)
+
+
+def ingest_report(typed: DataFrame, cols: EpisodeCols = EpisodeCols(), study: Study = Study()) -> DataFrame:
+    """What DOM-1 drops, counted (survey rule: rejected rows are counted, not lost silently).
+
+    One row: ``n_rows, n_duplicate`` (copies beyond the first), then among distinct rows
+    ``n_missing_person, n_missing_start, n_missing_end, n_outside_period`` (dates present
+    but not inside the period) and ``n_kept``. One aggregation on all columns, then one
+    over its groups.
+    """
+    g = typed.groupBy(*typed.columns).agg(F.count(F.lit(1)).alias("_c"))
+    start, end, person = F.col(cols.start), F.col(cols.end), F.col(cols.person)
+    inside = (start >= F.lit(study.start)) & (end <= F.lit(study.end))
+    return g.agg(
+        F.sum("_c").cast("long").alias("n_rows"),
+        F.sum(F.col("_c") - 1).cast("long").alias("n_duplicate"),
+        F.count_if(person.isNull()).cast("long").alias("n_missing_person"),
+        F.count_if(start.isNull()).cast("long").alias("n_missing_start"),
+        F.count_if(end.isNull()).cast("long").alias("n_missing_end"),
+        F.count_if(start.isNotNull() & end.isNotNull() & ~inside).cast("long").alias("n_outside_period"),
+        F.count_if(inside & person.isNotNull()).cast("long").alias("n_kept"),
+    )

@@ -294,6 +294,16 @@ FROM lr"""
 
 FINAL: dict[str, str] = {
     "ingest_clean": "SELECT * FROM ep",
+    "ingest_report": f"""
+SELECT CAST(sum(c) AS BIGINT) AS n_rows, CAST(sum(c - 1) AS BIGINT) AS n_duplicate,
+       CAST(count(*) FILTER (WHERE person_id IS NULL) AS BIGINT) AS n_missing_person,
+       CAST(count(*) FILTER (WHERE start_date IS NULL) AS BIGINT) AS n_missing_start,
+       CAST(count(*) FILTER (WHERE end_date IS NULL) AS BIGINT) AS n_missing_end,
+       CAST(count(*) FILTER (WHERE start_date IS NOT NULL AND end_date IS NOT NULL
+            AND NOT (start_date >= {PERIOD_START} AND end_date <= {PERIOD_END})) AS BIGINT) AS n_outside_period,
+       CAST(count(*) FILTER (WHERE start_date >= {PERIOD_START} AND end_date <= {PERIOD_END}
+            AND person_id IS NOT NULL) AS BIGINT) AS n_kept
+FROM (SELECT *, count(*) AS c FROM fx_episode GROUP BY ALL)""",
     "duplicate_report": " UNION ALL ".join(
         [_dup("fx_episode", "fx_episode"), _dup("fx_death", "fx_death"), _dup("fx_diagnosis", "fx_diagnosis")]
     ),

@@ -66,6 +66,11 @@ def ingest_clean(spark, sf_dir):
     return clean_episodes(type_episodes(raw))
 
 
+def ingest_report(spark, sf_dir):
+    """DOM-1 / SRC-1: what the clean step drops from the text episodes, counted."""
+    return quality.ingest_report(type_episodes(fixtures.fx_episode_text(spark, sf_dir)))
+
+
 def duplicate_report(spark, sf_dir):
     """SET-2 / DQ-3 on the three fixture tables."""
     parts = [
@@ -310,6 +315,7 @@ def logrank_test_q(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {
     "ingest_clean": ingest_clean,
+    "ingest_report": ingest_report,
     "duplicate_report": duplicate_report,
     "profile": profile,
     "flag_table": flag_table,

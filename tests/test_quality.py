@@ -18,3 +18,16 @@ def test_check_type(spark):
     check_type(df, "id", T.LongType())
     with pytest.raises(TypeError):
         check_type(df, "id", T.DateType())
+
+
+def test_ingest_report(spark):
+    import datetime as dt
+
+    from staylink.operators.quality import ingest_report
+
+    d = dt.date
+    rows = [(1, 1, d(1997, 1, 1), d(1997, 1, 2)), (1, 1, d(1997, 1, 1), d(1997, 1, 2)),
+            (None, 2, d(1997, 1, 1), d(1997, 1, 2)), (3, 3, None, d(1997, 1, 2)), (4, 4, d(1995, 1, 1), d(1995, 1, 2))]
+    df = spark.createDataFrame(rows, "person_id long, episode_id long, start_date date, end_date date")
+    r = ingest_report(df).first()
+    assert tuple(r) == (5, 1, 1, 1, 0, 1, 1)
