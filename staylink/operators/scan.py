@@ -340,6 +340,9 @@ def segment_max(
         # Rows are already clustered by key: a window per (key, segment) moves nothing.
         w = W.partitionBy(*keys, segment)
         return df.withColumns({n: F.max(F.col(v) if isinstance(v, str) else v).over(w) for n, v in values.items()})
+    # One shuffle by (key, block) serves the window per segment, the block aggregate and
+    # the join back (the input may come from files, with no partitioning of its own).
+    df = df.repartition(*[F.col(k) for k in keys], F.col(BLOCK))
     w_seg = W.partitionBy(*keys, BLOCK, segment)
     rows = df.withColumns(
         {f"_m_{n}": F.max(F.col(v) if isinstance(v, str) else v).over(w_seg) for n, v in values.items()}
