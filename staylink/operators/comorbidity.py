@@ -110,12 +110,14 @@ def comorbidity_score(
     """
     hierarchy = CHARLSON_HIERARCHY if hierarchy is None else hierarchy
     lengths = prefix_lengths or sorted(r[0] for r in code_map.select(F.length("prefix")).distinct().collect())
-    ids = index.select(episode_col).distinct()
+    # A semi join needs no distinct keys; repeated codes and prefixes collapse in the one
+    # distinct on (episode, condition), which combines map-side.
+    ids = index.select(episode_col)
     code = F.upper(F.regexp_replace(F.col(code_col), r"[.\s]", ""))
     dx = diagnoses.select(episode_col, code.alias("_code")).join(ids, episode_col, "left_semi")
     cut = dx.select(
         episode_col, F.explode(F.array(*[F.substring("_code", 1, n) for n in lengths])).alias("prefix")
-    ).distinct()
+    )
     conds = cut.join(F.broadcast(code_map), "prefix").select(episode_col, "condition", "weight").distinct()
     if hierarchy:
         worse = [(k, v) for k, v in hierarchy.items()]
