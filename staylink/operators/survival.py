@@ -200,8 +200,12 @@ def logrank_test(parts: DataFrame) -> dict:
     import numpy as np
 
     rows = parts.collect()
-    k = len(rows)
-    u = np.array([r["observed"] - r["expected"] for r in rows])[: k - 1]
-    v = np.array([[r[f"v_{j}"] for j in range(k)] for r in rows])[: k - 1, : k - 1]
+    # A group with no subjects at risk at any event time takes no part (as in survdiff).
+    keep = [i for i, r in enumerate(rows) if r["expected"] > 0 or r["observed"] > 0]
+    k = len(keep)
+    if k < 2:
+        return {"chi2": float("nan"), "df": 0, "p": float("nan")}
+    u = np.array([rows[i]["observed"] - rows[i]["expected"] for i in keep])[: k - 1]
+    v = np.array([[rows[i][f"v_{j}"] for j in keep] for i in keep])[: k - 1, : k - 1]
     chi2 = float(u @ np.linalg.solve(v, u))
     return {"chi2": chi2, "df": k - 1, "p": chi2_sf(chi2, k - 1)}

@@ -47,3 +47,30 @@ def test_from_csv_end_to_end(spark, tmp_path):
     assert sc[3399].death_date == dt.date(2012, 1, 1) and sc[3399].event == 0
     assert sc[3399].censor_date == dt.date(2012, 1, 1)
     assert km_table(a.scored, "cci_label").filter(F.col("n_event") > 0).count() == 1
+
+
+def test_answers_on_the_fixture(spark):
+    from staylink.plans.answers import answers
+
+    from .conftest import SF001
+
+    out = answers(Analysis(spark, SF001))
+    counts = {k: v.count() for k, v in out.items()}
+    assert all(c > 0 for c in counts.values()), counts
+    lr = out["q6_logrank"].first()
+    assert lr.df == 2 and 0 <= lr.p <= 1
+
+
+def test_answers_cli(spark, tmp_path):
+    import os
+
+    from staylink.plans.answers import main
+
+    ep = [("1", "01/08/1997", "05/08/1997", "70", "1-URGENT", "F"), ("1", "01/09/1998", "02/09/1998", "71", "5-LOW", "F")]
+    d = [("1", "01/01/2000", "72")]
+    cols = ["person_id", "start_date", "end_date", "age", "diag_code", "mode"]
+    write_text_csv(spark.createDataFrame(ep, ", ".join(f"{c} string" for c in cols)), str(tmp_path / "ep"))
+    write_text_csv(spark.createDataFrame(d, "person_id string, death_date string, age_death string"), str(tmp_path / "d"))
+    main(["--episodes", str(tmp_path / "ep"), "--deaths", str(tmp_path / "d"), "--out", str(tmp_path / "out"),
+          "--episode-columns", ",".join(cols)])
+    assert os.path.isdir(tmp_path / "out" / "q6_outcomes") and os.path.isdir(tmp_path / "out" / "q1_first_by_year")
