@@ -76,7 +76,7 @@ def sequence_episodes(
     and (person, hip_flag), without two more sorts.
     """
     hip = F.col("hip_flag") == 1
-    plan = plan_blocks(df, [cols.person], study.block_days, study.hot_rows)
+    plan = plan_blocks(df, [cols.person], study.block_days, study.hot_rows, date_col=cols.start)
     out = ordered_scan(
         df,
         [cols.person],
@@ -117,7 +117,7 @@ def file_sequence(df: DataFrame, cols: EpisodeCols = EpisodeCols(), study: Study
         cols.order(),
         {},
         block_date=cols.start,
-        plan=plan_blocks(df, [cols.person], study.block_days, study.hot_rows),
+        plan=plan_blocks(df, [cols.person], study.block_days, study.hot_rows, date_col=cols.start),
         global_position="file_seq",
     )
     return drop_block(out)

@@ -32,8 +32,9 @@ Splitting costs block tables and joins, so it is done only where it is needed.
 :func:`plan_blocks` counts rows per person (a partial aggregate, one small job)
 and returns a :class:`BlockPlan`: no person above ``hot_rows`` -> plain per-person
 windows (one shuffle by person, nothing else); a bounded list of hot persons ->
-only they are cut into blocks (the rest keep block 0); too many hot persons ->
-everyone is cut. The list is checked against ``max_hot`` before it is used.
+only they are cut into blocks (the rest keep block 0), each into blocks that hold
+about ``hot_rows`` rows given its span of dates; too many hot persons -> everyone
+is cut. The list is checked against ``max_hot`` before it is used.
 
 Optionally the scan also numbers all rows of the table in (person, order) order
 (``global_position``, WIN-1) without a window over the whole table: persons are
@@ -64,12 +65,14 @@ Spec = tuple[str, Column | None]
 @dataclass(frozen=True)
 class BlockPlan:
     """How ordered scans cut a table: ``block_days=None`` keeps every key whole;
-    otherwise keys in ``hot`` (all keys if ``hot`` is None) are cut into blocks.
+    otherwise keys in ``hot`` (all keys if ``hot`` is None) are cut into blocks, of
+    ``widths`` days each (one per hot key) or of ``block_days`` days.
     ``key_range`` (min, max of a single numeric key) is kept for global numbering."""
 
     block_days: int | None
     hot: tuple | None = None
     key_range: tuple | None = None
+    widths: tuple | None = None
 
     @property
     def blocked(self) -> bool:
@@ -79,15 +82,29 @@ class BlockPlan:
 WHOLE = BlockPlan(None)
 
 
+def _days(c: str) -> Column:
+    return F.datediff(F.col(c), F.lit(EPOCH))
+
+
 def plan_blocks(
-    df: DataFrame, keys: Sequence[str], block_days: int, hot_rows: int | None, max_hot: int = 10000
+    df: DataFrame,
+    keys: Sequence[str],
+    block_days: int,
+    hot_rows: int | None,
+    max_hot: int = 10000,
+    date_col: str | None = None,
 ) -> BlockPlan:
     """Decide the cut from the row count per key (``hot_rows=None``: always cut every key).
 
     One job: counts per key (a partial aggregate) reduced to the number of hot keys and
-    the key range. Only when there are hot keys, a second job lists at most ``max_hot``.
+    the key range. Only when there are hot keys, a second job lists at most ``max_hot``,
+    each with its span of ``date_col``: its block length is chosen so that a block holds
+    about ``hot_rows`` rows (``span * hot_rows / rows`` days, at most ``block_days``).
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    if date_col is not None:
+        aggs += [F.min(_days(date_col)).alias("_d0"), F.max(_days(date_col)).alias("_d1")]
+    counts = df.groupBy(*keys).agg(*aggs)
     single = len(keys) == 1
     limit = -1 if hot_rows is None else int(hot_rows)
     stats = counts.agg(
@@ -101,15 +118,29 @@ def plan_blocks(
         return BlockPlan(None, None, key_range)
     if stats["_hot"] > max_hot or not single:
         return BlockPlan(int(block_days), None, key_range)
-    hot = counts.filter(F.col("_n") > limit).select(keys[0]).collect()
-    return BlockPlan(int(block_days), tuple(r[0] for r in hot), key_range)
+    hot = counts.filter(F.col("_n") > limit).collect()
+    widths = None
+    if date_col is not None:
+        widths = tuple(
+            max(1, min(int(block_days), ((r["_d1"] - r["_d0"] + 1) * int(hot_rows)) // r["_n"]))
+            if r["_d0"] is not None
+            else int(block_days)
+            for r in hot
+        )
+    return BlockPlan(int(block_days), tuple(r[keys[0]] for r in hot), key_range, widths)
 
 
 def with_block(df: DataFrame, date_col: str, plan: BlockPlan, key: str | None = None) -> DataFrame:
-    """Add the block number of each row (days since 1970 // block_days; 0 for keys kept whole)."""
+    """Add the block number of each row (days since 1970 // block length; 0 for keys kept whole)."""
     if BLOCK in df.columns:
         return df
-    b = F.floor(F.datediff(F.col(date_col), F.lit(EPOCH)) / F.lit(int(plan.block_days))).cast("int")
+    if plan.hot is not None and plan.widths is not None:
+        # Block length per hot key, from a literal map of at most max_hot entries.
+        lengths = F.create_map(*[F.lit(x) for k, w in zip(plan.hot, plan.widths, strict=True) for x in (k, w)])
+        width = F.element_at(lengths, F.col(key))
+        b = F.coalesce(F.floor(_days(date_col) / width).cast("int"), F.lit(NULL_BLOCK))
+        return df.withColumn(BLOCK, F.when(width.isNotNull(), b).otherwise(F.lit(0)))
+    b = F.floor(_days(date_col) / F.lit(int(plan.block_days))).cast("int")
     b = F.coalesce(b, F.lit(NULL_BLOCK))
     if plan.hot is not None:
         b = F.when(F.col(key).isin(list(plan.hot)), b).otherwise(F.lit(0))

@@ -29,7 +29,7 @@ def transfer_stays(
     ``stay_size``, ``admdate_first``, ``sepdate_last`` and ``totlos`` (days)."""
     modes = list(study.transfer_modes)
     start, end = F.col(cols.start), F.col(cols.end)
-    plan = plan_blocks(df, [cols.person], study.block_days, study.hot_rows)
+    plan = plan_blocks(df, [cols.person], study.block_days, study.hot_rows, date_col=cols.start)
     scan = dict(block_date=cols.start, plan=plan)
     s = ordered_scan(
         df,
@@ -103,7 +103,7 @@ def hip_stays(
         cols.order(),
         {"_hs": ("sum", first_hip.cast("int")), "_last_start": ("max", last_start)},
         block_date=cols.start,
-        plan=plan_blocks(df, [cols.person], study.block_days, study.hot_rows),
+        plan=plan_blocks(df, [cols.person], study.block_days, study.hot_rows, date_col=cols.start),
     )
     s = s.withColumn(
         "hf_stays_all", F.when(F.col("_last_start.hip") == 1, F.col("_hs")).otherwise(0).cast("int")

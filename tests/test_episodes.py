@@ -152,6 +152,10 @@ def test_block_plan_finds_the_hot_person(spark):
 
     df = _random_episodes(spark, 6)
     assert plan_blocks(df, ["person_id"], 30, 100).hot == (3,)  # person 0 has 300 rows, id 0 * 7 + 3
+    p = plan_blocks(df, ["person_id"], 30, 100, date_col="start_date")
+    assert p.hot == (3,) and p.widths == (30,)  # span * 100 / 300 is over the cap of 30 days
+    p = plan_blocks(df, ["person_id"], 100000, 100, date_col="start_date")
+    assert 500 <= p.widths[0] <= 700  # about 2000 days * 100 / 300 rows
     assert not plan_blocks(df, ["person_id"], 30, 10**6).blocked
     p = plan_blocks(df, ["person_id"], 30, None)
     assert p.blocked and p.hot is None
@@ -174,3 +178,20 @@ def test_hot_person_is_spread_over_blocks(spark):
     whole = sequence_episodes(hot, study=Study(hot_rows=10**9))
     cols = ["episode_id", "file_seq", "person_seq", "hip_cumcount", "index_seq", "hip_seq"]
     assert sorted(split.select(*cols).collect()) == sorted(whole.select(*cols).collect())
+
+
+def test_block_length_adapts_to_the_hot_person(spark):
+    """With no useful cap, a hot person's blocks hold about hot_rows rows each."""
+    from staylink.operators.scan import BLOCK, plan_blocks, with_block
+
+    df = _random_episodes(spark, 8, n_persons=60)
+    hot = df.withColumn("person_id", F.when(F.col("episode_id") % 3 == 0, F.lit(3)).otherwise(F.col("person_id")))
+    n = hot.count()
+    plan = plan_blocks(hot, ["person_id"], 10**6, hot_rows=n // 20, date_col="start_date")
+    groups = with_block(hot, "start_date", plan, "person_id").filter(F.col("person_id") == 3).groupBy(BLOCK).count()
+    sizes = [r["count"] for r in groups.collect()]
+    assert len(sizes) >= 4 and max(sizes) <= 2 * (n // 20)
+    split = sequence_episodes(hot, study=Study(block_days=10**6, hot_rows=n // 20))
+    whole = sequence_episodes(hot, study=Study(hot_rows=10**9))
+    cols = ["episode_id", "file_seq", "person_seq", "hip_cumcount", "index_seq", "hip_seq"]
+    assert sorted(split.select(*cols).collect()) == sorted(whole.select(*cols).collect())
