@@ -74,3 +74,23 @@ def test_answers_cli(spark, tmp_path):
     main(["--episodes", str(tmp_path / "ep"), "--deaths", str(tmp_path / "d"), "--out", str(tmp_path / "out"),
           "--episode-columns", ",".join(cols)])
     assert os.path.isdir(tmp_path / "out" / "q6_outcomes") and os.path.isdir(tmp_path / "out" / "q1_first_by_year")
+
+
+def test_diagnoses_use_the_charlson_map(spark, tmp_path):
+    ep = [
+        ("1", "01/08/2006", "05/08/2006", "70", "S72.00", "9"),
+        ("2", "01/08/2006", "05/08/2006", "80", "S72.10", "9"),
+    ]
+    d = [("9", "01/01/2010", "70")]
+    ep_path, d_path = str(tmp_path / "ep"), str(tmp_path / "d")
+    write_text_csv(spark.createDataFrame(ep, ", ".join(f"{c} string" for c in EP_COLS)), ep_path)
+    write_text_csv(spark.createDataFrame(d, "NOF_ppn string, death_date string, age_recode string"), d_path)
+    probe = Analysis.from_csv(spark, ep_path, d_path, STUDY, COLS, DCOLS, episode_columns=EP_COLS)
+    ids = {r.NOF_PPN: r.episode_id for r in probe.stays.collect()}
+    dx = spark.createDataFrame(
+        [(ids[1], "I21.9"), (ids[1], "E11.2"), (ids[1], "E11.9"), (ids[2], "C78.0"), (ids[2], "C18.7")],
+        "episode_id long, code string",
+    )
+    a = Analysis.from_csv(spark, ep_path, d_path, STUDY, COLS, DCOLS, episode_columns=EP_COLS, diagnoses=dx)
+    got = {r.NOF_PPN: (r.cci_score, r.cci_label) for r in a.scored.collect()}
+    assert got == {1: (3, "CCI 3+"), 2: (6, "CCI 3+")}
