@@ -195,3 +195,22 @@ def test_block_length_adapts_to_the_hot_person(spark):
     whole = sequence_episodes(hot, study=Study(hot_rows=10**9))
     cols = ["episode_id", "file_seq", "person_seq", "hip_cumcount", "index_seq", "hip_seq"]
     assert sorted(split.select(*cols).collect()) == sorted(whole.select(*cols).collect())
+
+
+def test_key_offsets_over_sparse_keys(spark):
+    """WIN-1's building block: exclusive running totals over keys in key order, with at
+    most n_buckets id ranges (the only table summed in one partition)."""
+    from staylink.operators.scan import key_offsets
+
+    rnd = random.Random(9)
+    keys = sorted(rnd.sample(range(10**12), 500))
+    rows = [(k, rnd.randint(1, 9)) for k in keys]
+    totals = spark.createDataFrame(rows, "k long, n long")
+    got = {r.k: r._koff for r in key_offsets(totals, "k", "n", keys[0], keys[-1], n_buckets=16).collect()}
+    run, expected = 0, {}
+    for k, n in rows:
+        expected[k] = run
+        run += n
+    assert got == expected
+    width = -(-(keys[-1] - keys[0] + 1) // 16)
+    assert len({(k - keys[0]) // width for k in keys}) <= 16
