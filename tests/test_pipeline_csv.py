@@ -94,3 +94,14 @@ def test_diagnoses_use_the_charlson_map(spark, tmp_path):
     a = Analysis.from_csv(spark, ep_path, d_path, STUDY, COLS, DCOLS, episode_columns=EP_COLS, diagnoses=dx)
     got = {r.NOF_PPN: (r.cci_score, r.cci_label) for r in a.scored.collect()}
     assert got == {1: (3, "CCI 3+"), 2: (6, "CCI 3+")}
+
+
+def test_written_stages_equal_the_lazy_plan(spark):
+    from .conftest import SF001
+
+    lazy = Analysis(spark, SF001, materialize_stages=False)
+    written = Analysis(spark, SF001)
+    cols = ["episode_id", "stay_seq", "trans_seq", "sepdate_last", "totlos", "hip_seq", "file_seq", "death_date"]
+    assert sorted(lazy.stays.select(*cols).collect()) == sorted(written.stays.select(*cols).collect())
+    s = ["person_id", "event", "time_to_next", "cci_group"]
+    assert sorted(lazy.scored.select(*s).collect()) == sorted(written.scored.select(*s).collect())
