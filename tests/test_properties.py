@@ -58,3 +58,21 @@ def test_sequences_property(spark, eps, mode):
         idx = per[r[0]] - first[r[0]] + 1 if r[0] in first else 0
         exp[r[1]] = (pos, per[r[0]], hip[r[0]] if r[5] == 1 else 0, idx)
     assert got == exp
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.integers(0, 400), min_size=2, max_size=60))
+def test_describe_and_box_match_numpy(spark, values):
+    import numpy as np
+
+    from staylink.operators.report import box_stats, describe
+
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "person_id long, los int")
+    d = describe(df, "los").first()
+    q1, med, q3 = np.quantile(values, [0.25, 0.5, 0.75])  # numpy's default is R's type 7
+    assert (d.q1, d.median, d.q3) == (q1, med, q3)
+    assert abs(d.sd - float(np.std(values, ddof=1))) < 1e-9 and abs(d.mean - float(np.mean(values))) < 1e-9
+    b = box_stats(df, "los").first()
+    lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    inside = [v for v in values if lo <= v <= hi]
+    assert (b.whisker_low, b.whisker_high, b.n_outliers) == (min(inside), max(inside), len(values) - len(inside))
