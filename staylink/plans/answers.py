@@ -96,7 +96,7 @@ def _pairs(text: str | None) -> dict[str, str]:
 
 
 def main(argv: list[str] | None = None) -> None:
-    from staylink.config import local_session
+    from pyspark.sql import SparkSession
 
     p = argparse.ArgumentParser(description=__doc__.split("\n\n")[0])
     p.add_argument("--episodes", required=True)
@@ -111,7 +111,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--pattern", default=r"^[12]-")
     p.add_argument("--transfer-modes", default="P")
     args = p.parse_args(argv)
-    spark = local_session()
+    # The master and resources come from spark-submit (or PySpark's local default).
+    spark = SparkSession.builder.appName("staylink-answers").getOrCreate()
     lo, hi = (dt.date.fromisoformat(x) for x in args.period.split(":"))
     study = Study(start=lo, end=hi, age_threshold=args.age, hip_pattern=args.pattern,
                   transfer_modes=tuple(args.transfer_modes.split(",")))
