@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     kept = getattr(spark, "_llm_folder", None)
     if kept:
         return kept
-    if not spark.sparkContext.master.startswith("local["):
+    if not (spark.sparkContext.master + "[").startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark._llm_folder = "file://" + tempfile.mkdtemp(prefix="llm-")
     return spark._llm_folder
@@ -36,6 +36,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """df as a table bucketed by key under the shared folder: groups by key need no further shuffle."""
+    spark = df.sparkSession
+    table = f"llm_{name}_{uuid.uuid4().hex}"
+    buckets = min(buckets, 50_000)
+    out = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd")
+    out.option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def columns(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the wanted columns under the names the operator uses: out_name=in_name.
 
@@ -72,6 +82,3 @@ def components(edges: DataFrame) -> DataFrame:
             return now.selectExpr("a node", "b component").unionByName(now.selectExpr("b node", "b component")).distinct()
         before = state
 
-
-def row_numbers_by(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
