@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staylink.llm import chat_format, decontam, packing, phrase_dedup, token_count, toxicity, url_filter
+from staylink.llm import chat_format, decontam, packing, phrase_dedup, signature_join, token_count, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_phrase_dedup": phrase_dedup.op1_phrase_dedup,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_decontamination": decontam.op6_decontamination,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_ngram_jaccard_join": signature_join.op8_ngram_jaccard_join,
     "op9_token_counts": token_count.op9_token_counts,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
@@ -22,4 +23,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_phrase_dedup": phrase_dedup.SQL,
     "op2_chat_format": chat_format.SQL,
     "op6_decontamination": decontam.SQL,
+    "op8_ngram_jaccard_join": signature_join.SQL,
 }
