@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staylink.llm import chat_format, decontam, lattice_dedup, packing, phrase_dedup, signature_join, token_count, toxicity, url_filter
+from staylink.llm import chat_format, decontam, lattice_dedup, line_dedup, packing, phrase_dedup, signature_join, token_count, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_phrase_dedup": phrase_dedup.op1_phrase_dedup,
     "op2_chat_format": chat_format.op2_chat_format,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_embedding_near_dedup": lattice_dedup.op5_embedding_near_dedup,
     "op6_decontamination": decontam.op6_decontamination,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_phrase_dedup": phrase_dedup.SQL,
     "op2_chat_format": chat_format.SQL,
+    "op3_line_dedup": line_dedup.SQL,
     "op5_embedding_near_dedup": lattice_dedup.SQL,
     "op6_decontamination": decontam.SQL,
     "op8_ngram_jaccard_join": signature_join.SQL,
