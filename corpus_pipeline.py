@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from staylink.llm import packing, toxicity
+from staylink.llm import decontam, line_dedup, packing, signature_join, toxicity
 from staylink.llm.shared import written
 
 #: Columns that every stage but the last returns, in this order.
@@ -14,8 +15,33 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar rejects (score of 0.5 or more) go; all others stay unchanged."""
     model = toxicity.learned(spark, docs, sf_dir)
-    scored = toxicity.featured(docs.select(*COLUMNS), model, list(COLUMNS))
-    return scored.filter("score < 0.5").select(*COLUMNS)
+    return toxicity.featured(docs.select(*COLUMNS), model, list(COLUMNS)).filter("score < 0.5").select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier line go, and documents that consisted of such lines alone.
+
+    n_chars is counted anew where the text changed. Other documents stay, empty ones too.
+    """
+    kept = line_dedup.dedup_lines(docs.select(*COLUMNS), carry=("lang", "source", "n_chars"))
+    kept = kept.filter(~((F.col("n_removed") > 0) & F.col("text").rlike(r"^\s*$")))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", n_chars).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every component of documents linked at a Jaccard similarity of 0.8 or more of their
+    5-word shingles, the one of smallest id stays. Rows without an id all stay."""
+    groups = signature_join.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80)
+    leaders = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.select(*COLUMNS).filter("doc_id is null"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a 10-word window of a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.decontaminate(docs.select(*COLUMNS), benchmark)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,17 +53,22 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
     ("best-fit packing", pack_sequences),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage-{k}")
     return docs
 
 
+#: Learned scores and a genetic algorithm are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
