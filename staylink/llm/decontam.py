@@ -1,10 +1,9 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Benchmark items become a set of word windows (k words; a shorter item is one window).
-Documents are scanned once: the hash of every window of every occurring length is looked
-up in the broadcast set inside the scan, so only hits leave it. Each hit carries its own
-words and is verified against the item's words by an equi join; the hit spans then give
-the words to remove, or the documents.
+The hash of every document window of every occurring length is looked up in the broadcast
+set inside the scan, and verified on the words; only hits leave it. The hit spans then
+give the words to remove, or the documents.
 """
 
 from __future__ import annotations
@@ -12,15 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staylink.llm.shared import columns
+from staylink.llm.shared import columns, written
 
 #: Runs of bytes other than 00-2F, 3A-60 and 7B-7F, after A-Z became a-z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Window hashes that are sent to every task at most (8 bytes each). A larger benchmark is
-#: joined by a shuffle instead.
-BROADCAST_WINDOWS = 500_000
+#: Windows that are broadcast at most (hash, words and item: about 100 bytes each). Those of
+#: a larger benchmark meet the documents' windows in a shuffle instead.
+BROADCAST_WINDOWS = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -39,38 +38,35 @@ def starts(w: Column, n: int) -> Column:
     return F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
 
 
-def broadcast_hashes(windows: DataFrame, limit: int) -> list[int] | None:
-    """The hashes of all windows, if there are at most limit; else None (then windows meet in a shuffle)."""
-    keys = windows.select(F.xxhash64(F.split("words", " ")).alias("h")).distinct()
-    return [r.h for r in keys.collect()] if keys.count() <= limit else None
-
-
-def in_set(value: Column, known: list | None) -> Column:
-    return F.lit(True) if known is None else value.isin(known) if known else F.lit(False)
+def row_key() -> Column:
+    """Tells rows apart without numbering them: rows of equal id and text have equal results."""
+    return F.struct("doc_id", F.xxhash64("text").alias("h"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, k: int = 10, item_col: str = "item_id", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """docs (row, text) to (row, n_words, start, n, item_id): every occurrence of every window,
-    and one row with null start for each document without any."""
-    from staylink.llm.shared import written
-
+    """docs (doc_id, text) to (row, start, n, item_id): every occurrence of every window."""
     windows = written(windows_of(benchmark, k, item_col), "windows")
     sizes = [r.n for r in windows.select("n").distinct().orderBy("n").collect()]  # at most k numbers
-    split = docs.select("row", words_of(F.col("text")).alias("w"))
     w = F.col("w")
 
-    known = broadcast_hashes(windows, broadcast_windows)
-
-    def spans(n: int) -> Column:
-        hit = F.filter(starts(w, n), lambda i: in_set(F.xxhash64(F.slice(w, i, n)), known))
-        return F.transform(hit, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice(w, i, n), " ").alias("words")))
-
-    own = [spans(n) for n in sizes]
-    none = F.array().cast("array<struct<start:int,n:int,words:string>>")
-    rows = split.select("row", F.size("w").cast("long").alias("n_words"), F.explode_outer(F.concat(none, *own)).alias("x"))
-    rows = rows.select("row", "n_words", "x.start", "x.n", "x.words")
-    verified = rows.join(windows.select("item_id", "words"), "words", "left")
-    return verified.select("row", "n_words", F.when(F.col("item_id").isNotNull(), F.col("start")).alias("start"), "n", "item_id")
+    def scan(n: int) -> Column:
+        return F.transform(starts(w, n), lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.xxhash64(F.slice(w, i, n)).alias("h")))
+
+    none = F.array().cast("array<struct<start:int,n:int,h:bigint>>")
+    split = docs.select(row_key().alias("row"), words_of(F.col("text")).alias("w"))
+    # the word array goes along by reference up to the hash join, within one generated loop
+    each = split.select("row", "w", F.explode(F.concat(none, *map(scan, sizes))).alias("x"))
+    keys = windows.select(F.xxhash64(F.split("words", " ")).alias("key"), "words", "item_id")
+    words = F.array_join(F.slice(w, F.col("x.start"), F.col("x.n")), " ")
+    if windows.count() <= broadcast_windows:
+        # verified on the words; written so that they are formed only where the hashes meet
+        same = (F.length(words) == F.length("words")) & (F.instr(F.col("words"), words) == 1)
+        met = each.join(F.broadcast(keys), (F.col("x.h") == F.col("key")) & same)
+    else:
+        # without a broadcast, a second hash of the words stands for them in the shuffle
+        again = F.xxhash64(F.lit(1), words).alias("again")
+        met = each.select("row", "x", again).join(keys.withColumn("again2", F.xxhash64(F.lit(1), "words")), (F.col("x.h") == F.col("key")) & (F.col("again") == F.col("again2")))
+    return met.select("row", "x.start", "x.n", "item_id")
 
 
 def covered(spans: Column) -> Column:
@@ -94,56 +90,33 @@ def report(docs: DataFrame, benchmark: DataFrame, k: int = 10, id_col: str = "do
     rows and null ids are judged one by one; an empty benchmark hits nothing.
     """
     own = columns(docs, doc_id=id_col, text=text_col)
-    rows = own.select(F.struct("doc_id", F.monotonically_increasing_id().alias("k")).alias("row"), "text")
-    found = hits(rows, benchmark, k, item_col)
-    span = F.when(F.col("start").isNotNull(), F.struct("start", "n"))
-    # one row for each document, and few for those with hits: sets of spans and items are partial aggregates
-    each = found.groupBy("row", "n_words").agg(F.sort_array(F.collect_set(span)).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
-    n_hit = covered(F.col("spans"))
-    return each.select(
-        F.col("row.doc_id").alias("doc_id"), "n_words", n_hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.size("spans") > 0).alias("contaminated"), "spans",
+    found = hits(own, benchmark, k, item_col)
+    # sets of spans and items are partial aggregates, bounded by one document's words
+    each = found.groupBy(F.col("row").alias("hit")).agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
+    sizes = own.select("doc_id", row_key().alias("row"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    joined = sizes.join(each, sizes["row"].eqNullSafe(each["hit"]), "left")
+    spans = F.coalesce("spans", F.array().cast("array<struct<start:int,n:int>>"))
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return joined.select(
+        "doc_id", "n_words", covered(spans).alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size(spans) > 0).alias("contaminated"), spans.alias("spans"),
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 10, text_col: str = "text", item_col: str = "item_id", broadcast_windows: int = 100_000) -> DataFrame:
-    """The rows of docs, all columns, without those that hold a benchmark window.
-
-    With at most broadcast_windows windows (hashes and words go along as literals, about
-    7 MB), every row is decided where it is read: no shuffle. With more, rows meet the
-    windows in joins. Rows with null texts stay.
-    """
-    from staylink.llm.shared import written
-
-    windows = written(windows_of(benchmark, k, item_col), "windows")
-    known = broadcast_hashes(windows, broadcast_windows)
-    text = f"`{text_col}`"
-    if known is None:
-        keyed = docs.withColumn("_row", F.struct(F.monotonically_increasing_id().alias("k"), F.xxhash64(text).alias("h")))
-        keyed = written(keyed, "keyed")
-        bad = hits(keyed.select(F.col("_row").alias("row"), F.col(text).alias("text")), benchmark, k, item_col, 0).filter("start is not null")
-        return keyed.join(bad.select(F.col("row").alias("_row")).distinct(), "_row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
-    by_size: dict[int, list[str]] = {}
-    for r in windows.select("words", "n").distinct().collect():  # bounded: broadcast_windows
-        by_size.setdefault(r.n, []).append(r.words)
-    w = F.col("_words")
-
-    def holds(n: int, texts: list[str]) -> Column:
-        return F.exists(starts(w, n), lambda i: F.xxhash64(F.slice(w, i, n)).isin(known) & F.array_join(F.slice(w, i, n), " ").isin(texts))
-
-    clean = F.lit(True)
-    for n, texts in sorted(by_size.items()):
-        clean = clean & ~holds(n, texts)
-    return docs.withColumn("_words", words_of(F.col(text))).filter(clean).drop("_words")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """The rows of docs, all columns, without those that hold a benchmark window. Rows with
+    null texts stay."""
+    found = hits(columns(docs, doc_id=id_col, text=text_col), benchmark, k, item_col).select(F.col("row").alias("_hit")).distinct()
+    keyed = docs.withColumn("_row", F.struct(docs[f"`{id_col}`"].alias("doc_id"), F.xxhash64(docs[f"`{text_col}`"]).alias("h")))
+    return keyed.join(found, keyed["_row"].eqNullSafe(found["_hit"]), "left_anti").drop("_row")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text): the normalised words of every document without those in hit spans."""
-    own = columns(docs, doc_id=id_col, text=text_col).withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("h")))
-    found = hits(own.select("row", "text"), benchmark, k).filter("start is not null")
-    spans = found.groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    joined = own.join(spans, own["row"].eqNullSafe(spans["row"]), "left").select("doc_id", words_of(F.col("text")).alias("w"), F.coalesce("spans", F.array()).alias("spans"))
+    own = columns(docs, doc_id=id_col, text=text_col)
+    spans = hits(own, benchmark, k).groupBy(F.col("row").alias("hit")).agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    keyed = own.withColumn("row", row_key())
+    joined = keyed.join(spans, keyed["row"].eqNullSafe(spans["hit"]), "left").select("doc_id", words_of(F.col("text")).alias("w"), F.coalesce("spans", F.array().cast("array<struct<start:int,n:int>>")).alias("spans"))
     kept = F.filter("w", lambda _, i: ~F.exists("spans", lambda s: (i + 1 >= s.start) & (i + 1 < s.start + s.n)))
     return joined.select("doc_id", F.array_join(kept, " ").alias("text"))
 
