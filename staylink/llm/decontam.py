@@ -106,9 +106,11 @@ def report(docs: DataFrame, benchmark: DataFrame, k: int = 10, id_col: str = "do
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of docs, all columns, without those that hold a benchmark window. Rows with
     null texts stay."""
-    found = hits(columns(docs, doc_id=id_col, text=text_col), benchmark, k, item_col).select(F.col("row").alias("_hit")).distinct()
-    keyed = docs.withColumn("_row", F.struct(docs[f"`{id_col}`"].alias("doc_id"), F.xxhash64(docs[f"`{text_col}`"]).alias("h")))
-    return keyed.join(found, keyed["_row"].eqNullSafe(found["_hit"]), "left_anti").drop("_row")
+    found = hits(columns(docs, doc_id=id_col, text=text_col), benchmark, k, item_col).select(F.col("row").alias("hit")).distinct()
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("whole")
+    key = F.struct(docs[f"`{id_col}`"].alias("doc_id"), F.xxhash64(docs[f"`{text_col}`"]).alias("h")).alias("key")
+    keyed = docs.select(whole, key)
+    return keyed.join(found, keyed["key"].eqNullSafe(found["hit"]), "left_anti").select("whole.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
