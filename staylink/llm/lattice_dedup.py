@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylink.llm.shared import columns, components, written
+from staylink.llm.shared import columns, components, runs, written
 from staylink.llm.words import U64, mix, signed
 
 #: Tables, cells that a vector looks into (its own and its neighbours), and the scale of the
@@ -112,29 +112,6 @@ def forest(ids: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
-    """Tables of the consecutive rows of equal key; the rows come sorted by it."""
-    kept: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        parts = [np.asarray(batch.column(c)) for c in key]
-        change = np.flatnonzero(np.any([p[1:] != p[:-1] for p in parts], axis=0)) + 1
-        if kept and tuple(p[0] for p in parts) != last:
-            yield pa.Table.from_batches(kept)
-            kept = []
-        bounds = [0, *change.tolist(), batch.num_rows]
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            kept.append(batch.slice(lo, hi - lo))
-            if hi < batch.num_rows:
-                yield pa.Table.from_batches(kept)
-                kept = []
-        last = tuple(p[-1] for p in parts)
-    if kept:
-        yield pa.Table.from_batches(kept)
-
-
 def links(vectors: DataFrame, threshold: float = 0.98, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, chunk: int = CHUNK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 

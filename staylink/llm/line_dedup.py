@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylink.llm.lattice_dedup import runs
-from staylink.llm.shared import written
+from staylink.llm.shared import runs, written
 from staylink.llm.words import _ODD, _ODD2, U64, _ranges_hash, mix, signed, slices
 
 #: Edits that still make two lines copies, and the characters of the shortest line that counts.

@@ -1,10 +1,13 @@
-"""What the operators share: written tables, projections that survive clashing names, components."""
+"""What the operators share: written tables, projections that survive clashing names, components, runs of rows."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,3 +85,25 @@ def components(edges: DataFrame) -> DataFrame:
             return now.selectExpr("a node", "b component").unionByName(now.selectExpr("b node", "b component")).distinct()
         before = state
 
+
+def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """Tables of the consecutive rows of equal key; the rows come sorted by it."""
+    kept: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts = [np.asarray(batch.column(c)) for c in key]
+        change = np.flatnonzero(np.any([p[1:] != p[:-1] for p in parts], axis=0)) + 1
+        if kept and tuple(p[0] for p in parts) != last:
+            yield pa.Table.from_batches(kept)
+            kept = []
+        bounds = [0, *change.tolist(), batch.num_rows]
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            kept.append(batch.slice(lo, hi - lo))
+            if hi < batch.num_rows:
+                yield pa.Table.from_batches(kept)
+                kept = []
+        last = tuple(p[-1] for p in parts)
+    if kept:
+        yield pa.Table.from_batches(kept)

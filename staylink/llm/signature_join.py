@@ -5,8 +5,9 @@
 2. Prefix filter: under one fixed order of shingles, two sets similar enough share a
    shingle among each one's first n - ceil(t n) + 1. The order is by hash, with shingles
    that very many documents hold last, so the groups that share a prefix shingle stay small.
-3. Star: every group's classes are compared with two of its members, which links most
-   groups of near copies without forming their pairs.
+3. Star: every group's classes are compared with three of its members, among them the hub
+   that shares most with others. This links most groups of near copies without forming
+   their pairs, and compares all pairs of up to three classes.
 4. Groups that the star leaves in several components are joined by signature trees: nodes
    hold OR-combined token bitmaps and size ranges; a dual traversal from the roots drops
    every pair of nodes whose largest possible overlap is too small, whose sizes differ too
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from staylink.llm.shared import columns, components, written
+from staylink.llm.shared import columns, components, runs, written
 from staylink.llm.words import U64, Words, mix, signed, slices
 
 #: Shingle length, and the similarity in hundredths.
@@ -35,6 +36,8 @@ FREQUENT = 100_000
 #: Classes of one group that a task traverses together.
 CHUNK = 4096
 FAN = 8
+#: Rows of two numbers (16 MB) that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,7 +279,9 @@ class Join:
 
     def _sets_of(self, classes: DataFrame) -> DataFrame:
         """(cls, grams) of the classes, read from one document of each."""
-        owner = self.rows.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(classes, "cls", "left_semi")
+        owner = written(self.rows.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(classes, "cls", "left_semi"), "owners")
+        if owner.count() <= BROADCAST_ROWS:  # then the texts need no shuffle
+            owner = F.broadcast(owner)
         texts = self.docs.join(owner, "doc_id").select("doc_id", "text", F.col("cls").alias("wanted"))
         k = self.k
 
@@ -321,13 +326,19 @@ class Join:
         percent = self.percent
         prefixes = self._prefixes()
         bitmaps = written(self._bitmaps().dropDuplicates(["cls"]), "bitmaps")
-        one = F.struct("cls", "n")
-        groups = prefixes.groupBy("g").agg(F.min(one).alias("low"), F.max(one).alias("high")).filter("low.cls < high.cls")
+        groups = prefixes.groupBy("g").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high")
         shared = written(prefixes.join(groups, "g").distinct(), "shared")
-        star = shared.select("cls", "n", F.explode(F.array("low", "high")).alias("x")).filter(f"x.cls <> cls and 100 * least(n, x.n) >= {percent} * greatest(n, x.n)")
-        star = star.select(F.col("x.cls").alias("a"), F.col("cls").alias("b")).distinct()
+        # a copy's own changes are shared with no one, so the class that meets most others is the
+        # one nearest to all: the hub of its groups
+        sizes = shared.groupBy("g").agg(F.count("*").alias("size")).filter("size > 3")
+        sized = shared.select("g", "cls").join(sizes, "g")
+        weight = sized.groupBy("cls").agg(F.sum("size").alias("w"))
+        hubs = sized.join(weight, "cls").groupBy("g").agg(F.max_by("cls", F.struct("w", "cls")).alias("hub"))
+        star = shared.select(F.explode(F.array("low", "high")).alias("a"), F.col("cls").alias("b"))
+        star = star.unionByName(shared.select("g", F.col("cls").alias("b")).join(hubs, "g").select(F.col("hub").alias("a"), "b"))
+        star = star.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         left, right = (bitmaps.select(F.col("cls").alias(c), F.col("n").alias("n" + c), F.col("bits").alias("bits" + c)) for c in "ab")
-        star = star.join(left, "a").join(right, "b")
+        star = star.join(left, "a").join(right, "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
 
         def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -345,23 +356,31 @@ class Join:
 
     def _tree_links(self, shared: DataFrame, bitmaps: DataFrame, comps: DataFrame) -> DataFrame:
         percent, chunk = self.percent, self.chunk
-        own = shared.select("g", "cls").join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("g", "cls", F.coalesce("component", "cls").alias("comp"))
-        open_ = own.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).filter("x <> y")
+        own = shared.select("g", "cls", "n").join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("g", "cls", "n", F.coalesce("component", "cls").alias("comp"))
+        open_ = own.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"))
+        # up to three classes, the star has compared every pair
+        open_ = open_.filter("x <> y and size > 3")
         chunks = F.ceil(F.col("size") / chunk).cast("int")
-        rows = own.join(open_.select("g", chunks.alias("m")), "g").withColumn("c", F.pmod(F.xxhash64("cls"), F.col("m")).cast("int"))
+        # a class links with no one in the group if not even the next smaller or larger is near its size
+        by_size = Window.partitionBy("g").orderBy("n", "cls")
+        below, above = F.lag("n").over(by_size), F.lead("n").over(by_size)
+        near = (100 * below >= percent * F.col("n")) | (100 * F.col("n") >= percent * above)
+        rows = own.join(open_.select("g", chunks.alias("m")), "g")
+        small = rows.filter("m = 1").withColumn("near", near).filter("near").drop("near")  # at most chunk rows in a window
+        rows = small.unionByName(rows.filter("m > 1")).withColumn("c", F.pmod(F.xxhash64("cls"), F.col("m")).cast("int"))
         # every pair of chunks (i <= j) of a group is a task; a chunk goes to each pair it is in
         rows = rows.select("*", F.explode(F.expr("sequence(0, m - 1)")).alias("other"))
         rows = rows.select("g", "cls", "comp", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), (F.col("c") > F.col("other")).cast("int").alias("side"))
-        rows = written(rows, "open").join(bitmaps, "cls")
+        order = ["g", "i", "j"]
+        rows = written(rows, "open").join(bitmaps, "cls").repartition(*order).sortWithinPartitions(*order)
 
-        def traverse(table: pa.Table) -> pa.Table:
-            n, cls, comp, side = (np.asarray(table.column(c), dtype=np.int64) for c in ("n", "cls", "comp", "side"))
-            parts = list(tree_pairs(cls, n, table.column("bits").to_pylist(), comp, side, percent))
-            a = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-            b = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-            return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in runs(batches, order):
+                n, cls, comp, side = (np.asarray(table.column(c), dtype=np.int64) for c in ("n", "cls", "comp", "side"))
+                for a, b in tree_pairs(cls, n, table.column("bits").to_pylist(), comp, side, percent):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        pairs = rows.groupBy("g", "i", "j").applyInArrow(traverse, "a long, b long").distinct()
+        pairs = rows.mapInArrow(traverse, "a long, b long").distinct()
         return self._verified(pairs, "tree")
 
 
