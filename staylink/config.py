@@ -14,6 +14,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
 
+#: Where a local session without spark.checkpoint.dir keeps its stages.
+_OWN_DIR = "spark.staylink.stages"
+
 
 @dataclass(frozen=True)
 class EpisodeCols:
@@ -27,6 +30,9 @@ class EpisodeCols:
     code: str = "diag_code"
     mode: str = "mode"
 
+    def all(self) -> list[str]:
+        return [self.person, self.episode, self.start, self.end, self.age, self.code, self.mode]
+
     def order(self) -> list[str]:
         """Episode order within a person: start, end, then the unique episode id."""
         return [self.start, self.end, self.episode]
@@ -48,41 +54,26 @@ class Study:
     age_threshold: int = 65
     hip_pattern: str = r"^[12]-"
     transfer_modes: tuple[str, ...] = ("P",)
-    # A person with more than ``hot_rows`` episodes is split into blocks of
-    # ``block_days`` days of episode start for every ordered per-person scan, so one
-    # huge history is spread over many tasks (see operators/scan.py). ``hot_rows=None``
-    # splits every person.
-    block_days: int = 365
-    hot_rows: int | None = 1_000_000
+    # Ranges of the (person, start, end, id) order that every ordered per-person scan is cut
+    # into (see operators/scan.py); None: the session's number of shuffle partitions.
+    ranges: int | None = None
     # Persons with more death records than one, named by hand for removal (DQ-6).
     exclude_persons: tuple[int, ...] = field(default_factory=tuple)
 
 
-_LOCAL_CHECKPOINT: dict[str, str] = {}
-
-
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only when it is unset (a local test run) a
-    fresh temporary folder is made the context's checkpoint dir, once per application.
+    The setting is read from the session. Only a local-mode session (one machine) without
+    it gets a temporary folder, once; on a cluster that folder would not be shared, so a
+    missing setting is an error there.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_DIR, None)
     if not base:
-        try:
-            sc = spark.sparkContext
-        except Exception:  # a remote (Connect) session has no context here
-            sc = None
-        base = sc.getCheckpointDir() if sc is not None else None
-        if not base:
-            key = sc.applicationId if sc is not None else "remote"
-            base = _LOCAL_CHECKPOINT.get(key)
-            if base is None:
-                base = tempfile.mkdtemp(prefix="staylink-ckpt-")
-                if sc is not None:
-                    sc.setCheckpointDir(base)
-                    base = sc.getCheckpointDir()
-                _LOCAL_CHECKPOINT[key] = base
+        if not (spark.conf.get("spark.master", "") + "[").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="staylink-ckpt-")
+        spark.conf.set(_OWN_DIR, base)
     return f"{base.rstrip('/')}/{name}"
 
 

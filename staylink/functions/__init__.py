@@ -1,6 +1,6 @@
 """Column-level helpers (scalar functions): all built from ``pyspark.sql.functions``."""
 
-from staylink.functions.dates import DMY_FORMATS, days_between, least_date, parse_dmy, parse_ymd
+from staylink.functions.dates import days_between, least_date, parse_dmy, parse_ymd
 from staylink.functions.flags import (
     bool01,
     if_else,
@@ -11,7 +11,6 @@ from staylink.functions.flags import (
 )
 
 __all__ = [
-    "DMY_FORMATS",
     "bool01",
     "days_between",
     "if_else",

@@ -110,29 +110,37 @@ def comorbidity_score(
     """
     hierarchy = CHARLSON_HIERARCHY if hierarchy is None else hierarchy
     lengths = prefix_lengths or sorted(r[0] for r in code_map.select(F.length("prefix")).distinct().collect())
-    # A semi join needs no distinct keys; repeated codes and prefixes collapse in the one
-    # distinct on (episode, condition), which combines map-side.
+    # A semi join needs no distinct keys; repeated codes collapse in the sets of conditions,
+    # which are partial aggregates and no larger than the map's conditions.
     ids = index.select(episode_col)
     code = F.upper(F.regexp_replace(F.col(code_col), r"[.\s]", ""))
     dx = diagnoses.select(episode_col, code.alias("_code")).join(ids, episode_col, "left_semi")
     cut = dx.select(
         episode_col, F.explode(F.array(*[F.substring("_code", 1, n) for n in lengths])).alias("prefix")
     )
-    conds = cut.join(F.broadcast(code_map), "prefix").select(episode_col, "condition", "weight").distinct()
+    hit = cut.join(F.broadcast(code_map), "prefix").withColumn("_below", F.lit(None).cast("string"))
     if hierarchy:
-        worse = [(k, v) for k, v in hierarchy.items()]
-        sup = conds.sparkSession.createDataFrame(worse, "condition string, _worse string")
-        has_worse = conds.join(F.broadcast(sup), "condition").join(
-            conds.select(episode_col, F.col("condition").alias("_worse")), [episode_col, "_worse"], "left_semi"
-        )
-        conds = conds.join(has_worse.select(episode_col, "condition"), [episode_col, "condition"], "left_anti")
-    score = conds.groupBy(episode_col).agg(F.sum("weight").cast("int").alias("cci_score"))
+        # the milder form that a worse one suppresses: a literal of a few fixed pairs
+        below = F.create_map(*[F.lit(x) for mild, worse in hierarchy.items() for x in (worse, mild)])
+        hit = hit.withColumn("_below", below[F.col("condition")])
+    # one aggregate: the distinct matched conditions with weights, and the suppressed ones
+    found = hit.groupBy(episode_col).agg(
+        F.collect_set(F.struct("condition", "weight")).alias("_c"), F.collect_set("_below").alias("_off")
+    )
+    left = F.filter("_c", lambda x: ~F.array_contains(F.col("_off"), x["condition"]))
+    score = found.select(episode_col, F.aggregate(left, F.lit(0), lambda a, x: a + x["weight"]).alias("cci_score"))
     return (
         index.join(score, episode_col, "left")
         .withColumn("cci_score", F.coalesce(F.col("cci_score"), F.lit(0)))
     )
 
 
+def long_diagnoses(wide: DataFrame, columns: list[str], *, episode_col: str = "episode_id", code_col: str = "code") -> DataFrame:
+    """Diagnosis columns of an episode table as the long table (episode, code), nulls left out."""
+    codes = F.explode(F.array(*[F.col(f"`{c}`") for c in columns])).alias(code_col)
+    return wide.select(episode_col, codes).filter(F.col(code_col).isNotNull())
+
+
 def score_groups(df: DataFrame, score_col: str = "cci_score") -> DataFrame:
     """``ccicat`` (interval), ``cci_group`` (0 / 1-2 / 3+), ``cci_label`` and ``cci_rank``."""
     s = F.col(score_col)

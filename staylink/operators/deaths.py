@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 
 from staylink.config import DeathCols, EpisodeCols
 from staylink.functions.dates import parse_dmy
+from staylink.operators.episodes import _id
 
 
-def type_deaths(raw: DataFrame, dcols: DeathCols = DeathCols(), date_parser=parse_dmy) -> DataFrame:
-    """Text death records (SRC-1) to typed ones; exact duplicates dropped (SET-1)."""
+def type_deaths(raw: DataFrame, dcols: DeathCols = DeathCols(), date_parser=parse_dmy, id_type: str | None = None) -> DataFrame:
+    """Text death records (SRC-1) to typed ones; exact duplicates dropped (SET-1). Ids keep
+    their type unless ``id_type`` names one (see :func:`staylink.operators.episodes.type_episodes`)."""
     return raw.withColumns(
         {
-            dcols.person: F.col(dcols.person).try_cast("bigint"),
+            dcols.person: _id(dcols.person, id_type),
             dcols.date: date_parser(dcols.date),
             dcols.age: F.col(dcols.age).try_cast("double").cast("int"),
         }
@@ -37,7 +39,7 @@ def type_deaths(raw: DataFrame, dcols: DeathCols = DeathCols(), date_parser=pars
 
 def multi_records(deaths: DataFrame, dcols: DeathCols = DeathCols()) -> DataFrame:
     """FLT-9 / DQ-4: all records of persons with more than one distinct record."""
-    d = deaths.distinct()
+    d = deaths.filter(F.col(dcols.person).isNotNull()).distinct()
     many = d.groupBy(dcols.person).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
     return d.join(many.select(dcols.person), dcols.person, "left_semi")
 
@@ -53,7 +55,7 @@ def death_vs_episodes(
     Episodes are first reduced to (person, start day) counts, so a person with a very
     long history brings one row per admission day to the join, not one per episode.
     """
-    d = deaths.distinct()
+    d = deaths.filter(F.col(dcols.person).isNotNull()).distinct()  # no person, no link
     days = (
         episodes.groupBy(F.col(cols.person).alias(dcols.person), F.col(cols.start).alias("_start"))
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -72,12 +74,12 @@ def resolve_deaths(
     episodes: DataFrame,
     cols: EpisodeCols = EpisodeCols(),
     dcols: DeathCols = DeathCols(),
-    exclude: Sequence[int] = (),
-) -> tuple[DataFrame, DataFrame]:
-    """DQ-6: one record per person. Returns ``(resolved, dropped_persons)``.
+    exclude: Sequence = (),
+) -> DataFrame:
+    """DQ-6: one row per person with a death record: person, death date and age of the record
+    kept, and ``drop_reason`` (null if kept; else the person leaves both tables).
 
-    ``resolved``: person, death date, age at death. ``dropped_persons``: persons to remove
-    from the episodes too, with the reason.
+    One table for both outcomes, so the records meet the episodes once.
     """
     checked = death_vs_episodes(deaths, episodes, cols, dcols)
     rec = F.struct(F.col(dcols.date).alias("d"), F.col(dcols.age).alias("a"))
@@ -89,33 +91,28 @@ def resolve_deaths(
     kept = F.when(F.col("n_records") == 1, F.col("_only")).otherwise(F.col("_latest_valid"))
     excluded = F.col(dcols.person).isin(list(exclude)) if exclude else F.lit(False)
     per = per.withColumn("_kept", F.when(~excluded, kept))
-    resolved = per.filter(F.col("_kept").isNotNull()).select(
-        dcols.person, F.col("_kept.d").alias(dcols.date), F.col("_kept.a").alias(dcols.age)
-    )
-    dropped = per.filter(F.col("_kept").isNull()).select(
-        dcols.person,
-        F.when(excluded, F.lit("excluded")).otherwise(F.lit("no record before the last episode")).alias("reason"),
-    )
-    return resolved, dropped
+    reason = F.when(excluded, F.lit("excluded")).when(F.col("_kept").isNull(), F.lit("no record before the last episode"))
+    return per.select(dcols.person, F.col("_kept.d").alias(dcols.date), F.col("_kept.a").alias(dcols.age), reason.alias("drop_reason"))
 
 
-def link_deaths(
-    episodes: DataFrame,
-    resolved: DataFrame,
-    dropped: DataFrame,
-    cols: EpisodeCols = EpisodeCols(),
-    dcols: DeathCols = DeathCols(),
-) -> DataFrame:
-    """JN-1 / FLT-5: drop the dropped persons, then attach the one death record per person.
+def kept_records(resolution: DataFrame) -> DataFrame:
+    """The death records that remain, one per person."""
+    return resolution.filter(F.col("drop_reason").isNull()).drop("drop_reason")
+
+
+def dropped_persons(resolution: DataFrame, dcols: DeathCols = DeathCols()) -> DataFrame:
+    """FLT-5: the persons removed from both tables, with the reason."""
+    return resolution.filter(F.col("drop_reason").isNotNull()).select(dcols.person, F.col("drop_reason").alias("reason"))
 
-    ``resolved`` is unique per person, so the left join never multiplies episodes.
-    Join sides are left to AQE: a small side is broadcast from its measured size,
-    otherwise a sort-merge join whose skewed partitions are split.
+
+def link_deaths(episodes: DataFrame, resolution: DataFrame, cols: EpisodeCols = EpisodeCols(), dcols: DeathCols = DeathCols()) -> DataFrame:
+    """JN-1 / FLT-5: attach the one death record per person, then leave out dropped persons.
+
+    The resolution is unique per person, so the one left join never multiplies episodes.
+    Its side is left to AQE: broadcast from its measured size, otherwise a sort-merge join
+    whose skewed partitions are split.
     """
-    keep = episodes.join(
-        dropped.select(F.col(dcols.person).alias(cols.person)), cols.person, "left_anti"
-    )
-    r = resolved.select(
-        F.col(dcols.person).alias(cols.person), F.col(dcols.date).alias("death_date"), F.col(dcols.age).alias("age_death")
+    r = resolution.select(
+        F.col(dcols.person).alias(cols.person), F.col(dcols.date).alias("death_date"), F.col(dcols.age).alias("age_death"), "drop_reason"
     )
-    return keep.join(r, cols.person, "left")
+    return episodes.join(r, cols.person, "left").filter(F.col("drop_reason").isNull()).drop("drop_reason")

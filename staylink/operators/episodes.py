@@ -8,18 +8,24 @@ from pyspark.sql import functions as F
 from staylink.config import EpisodeCols, Study
 from staylink.functions.dates import parse_dmy
 from staylink.functions.flags import pattern_flag, threshold_flag
-from staylink.operators.scan import drop_block, ordered_scan, plan_blocks
+from staylink.operators.scan import drop_block, ordered_scan
 
 
-def type_episodes(raw: DataFrame, cols: EpisodeCols = EpisodeCols(), date_parser=parse_dmy) -> DataFrame:
-    """Text columns (as read by SRC-1) to typed ones: ids ``bigint``, dates ``date``, age ``int``.
+def _id(c: str, id_type: str | None) -> Column:
+    """A text id trimmed, empty as missing; cast only when a type is asked for."""
+    text = F.nullif(F.trim(F.col(c)), F.lit(""))
+    return text if id_type is None else text.try_cast(id_type)
+
+
+def type_episodes(raw: DataFrame, cols: EpisodeCols = EpisodeCols(), date_parser=parse_dmy, id_type: str | None = None) -> DataFrame:
+    """Text columns (as read by SRC-1) to typed ones: dates ``date``, age ``int``; ids keep their
+    type (``P77`` stays ``P77``) unless ``id_type`` names one.
 
     A value that does not parse becomes null (never an error), as ``dmy`` gives NA.
     """
     return raw.withColumns(
         {
-            cols.person: F.col(cols.person).try_cast("bigint"),
-            cols.episode: F.col(cols.episode).try_cast("bigint"),
+            **{c: _id(c, id_type) for c in (cols.person, cols.episode) if c in raw.columns},
             cols.start: date_parser(cols.start),
             cols.end: date_parser(cols.end),
             cols.age: F.col(cols.age).try_cast("double").cast("int"),
@@ -27,6 +33,15 @@ def type_episodes(raw: DataFrame, cols: EpisodeCols = EpisodeCols(), date_parser
     )
 
 
+def with_episode_id(df: DataFrame, cols: EpisodeCols = EpisodeCols()) -> DataFrame:
+    """A tiebreak for extracts without an episode id: whole-row duplicates go first, then each
+    row's id is a hash of its typed values and of which are missing. Two spellings of one date
+    are one episode; a null before or after a value makes a difference."""
+    one = df.distinct()
+    marked = [x for c in one.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    return one.withColumn(cols.episode, F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), *marked)), 16, "0") for k in (1, 2)]))
+
+
 def in_period(cols: EpisodeCols, study: Study) -> Column:
     """FLT-1: the whole episode lies in the study period, both ends inclusive; null dates fail."""
     return (F.col(cols.start) >= F.lit(study.start)) & (F.col(cols.end) <= F.lit(study.end))
@@ -76,7 +91,6 @@ def sequence_episodes(
     and (person, hip_flag), without two more sorts.
     """
     hip = F.col("hip_flag") == 1
-    plan = plan_blocks(df, [cols.person], study.block_days, study.hot_rows, date_col=cols.start)
     out = ordered_scan(
         df,
         [cols.person],
@@ -86,8 +100,7 @@ def sequence_episodes(
             "hip_cumcount": ("sum", F.col("hip_flag").cast("int")),
             "_first_hip": ("first_pos", hip),
         },
-        block_date=cols.start,
-        plan=plan,
+        ranges=study.ranges,
         global_position="file_seq" if with_file_seq else None,
     )
     out = out.withColumns(
@@ -109,15 +122,14 @@ def sequence_episodes(
 def file_sequence(df: DataFrame, cols: EpisodeCols = EpisodeCols(), study: Study = Study()) -> DataFrame:
     """WIN-1: ``file_seq`` = 1..N over the whole table in (person, start, end, id) order.
 
-    No window over the whole table: per-person counts, id ranges, a bounded broadcast.
+    No window over the whole table: a prefix sum over the scan's ranges and a position in each.
     """
     out = ordered_scan(
         df,
         [cols.person],
         cols.order(),
         {},
-        block_date=cols.start,
-        plan=plan_blocks(df, [cols.person], study.block_days, study.hot_rows, date_col=cols.start),
+        ranges=study.ranges,
         global_position="file_seq",
     )
     return drop_block(out)

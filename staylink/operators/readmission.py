@@ -2,10 +2,9 @@
 
 The next admission is an as-of join forward and strict: for each person's index
 discharge, the earliest admission that starts on a later day. The admissions are
-first reduced to distinct (person, start day) pairs, joined on the person to the
-single index row, filtered by ``start > discharge`` and reduced by ``min`` per
+joined on the person to the single index row, filtered by ``start > discharge`` and reduced by ``min`` per
 person (a partial aggregate). The index table has one row per person, so the join
-emits at most one row per admission day; no pairs within a person are formed.
+emits at most one row per admission; no pairs within a person are formed.
 """
 
 from __future__ import annotations
@@ -16,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylink.config import EpisodeCols
+from staylink.functions.dates import days_between, least_date
+from staylink.functions.flags import if_else
 
 
 def index_episodes(
@@ -34,7 +35,7 @@ def next_admission(
     Only admissions of the index persons take part (the inner join is the semi join
     of the reference's ``id %in% first_hip$id``); a same-day readmission does not count.
     """
-    days = admissions.select(cols.person, cols.start).distinct()
+    days = admissions.select(cols.person, cols.start)  # min needs no distinct days
     anchor = index.select(cols.person, "discharge_date")
     nxt = (
         days.join(anchor, cols.person)
@@ -50,14 +51,14 @@ def censor_times(df: DataFrame, study_end: dt.date, *, death_col: str = "death_d
     ``followup_end`` = next admission if readmitted else censor date (the reference's
     ``end_date``, renamed so it does not replace the episode end), ``time_to_next`` in days."""
     event = F.col("next_admission_date").isNotNull()
-    censor = F.least(F.col(death_col), F.lit(study_end))
+    censor = least_date(death_col, F.lit(study_end))
     return df.withColumns(
         {
             "event": event.cast("int"),
             "censor_date": censor,
-            "followup_end": F.when(event, F.col("next_admission_date")).otherwise(censor),
+            "followup_end": if_else(event, F.col("next_admission_date"), censor),
         }
-    ).withColumn("time_to_next", F.datediff("followup_end", "discharge_date"))
+    ).withColumn("time_to_next", days_between("followup_end", "discharge_date"))
 
 
 def negative_times(df: DataFrame, *, time_col: str = "time_to_next") -> DataFrame:

@@ -58,15 +58,10 @@ def level_summary(df: DataFrame, col: str, label: str) -> DataFrame:
     )
 
 
-def summary_table(df: DataFrame, col: str, label: str, *, max_levels: int = 10) -> DataFrame:
-    """AGG-10 in full: a variable with fewer than ``max_levels`` distinct values is shown by
-    level (:func:`level_summary`); otherwise as one row ``variable, n, median, q1, q3``.
-    The distinct count is one small aggregate (a bounded number reaches the driver)."""
-    n_levels = df.agg(F.countDistinct(col)).first()[0]
-    if n_levels < max_levels:
-        return level_summary(df, col, label)
-    d = describe(df, col)
-    return d.select(F.lit(label).alias("variable"), "n", "median", "q1", "q3")
+def median_summary(df: DataFrame, col: str, label: str) -> DataFrame:
+    """AGG-10, the form for variables of many values: one row ``variable, n, median, q1, q3``.
+    Which form a variable takes is the caller's choice, so the columns never depend on the data."""
+    return describe(df, col).select(F.lit(label).alias("variable"), "n", "median", "q1", "q3")
 
 
 def summary_by(df: DataFrame, by: str, col: str, label: str) -> DataFrame:
@@ -139,34 +134,24 @@ def box_stats(df: DataFrame, col: str, *, by: Sequence[str] = ()) -> DataFrame:
     """AGG-14 (data of ``geom_boxplot``): hinges, whiskers and outliers per stratum.
 
     Hinges are type-7 quartiles; a whisker reaches the most extreme value within 1.5 IQR
-    of its hinge; the rest are outliers. Two aggregates: quartiles per stratum, then
-    whiskers over the rows joined to their (one-row-per-stratum) quartiles.
+    of its hinge; the rest are outliers. The rows are read once and reduced to (stratum,
+    value, n); everything else comes from that table, one array of values per stratum (as
+    many as there are distinct values), without a join.
     """
     x = F.col(col)
-    keys = list(by) or ["_stratum"]
-    base = df if by else df.withColumn("_stratum", F.lit(0))
-    base = base.filter(x.isNotNull())
-    q = base.groupBy(*keys).agg(
-        F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
-        F.count(F.lit(1)).cast("long").alias("n"),
-    )
-    q = q.select(
-        *keys,
-        "n",
-        F.col("_q")[0].cast("double").alias("q1"),
-        F.col("_q")[1].cast("double").alias("median"),
-        F.col("_q")[2].cast("double").alias("q3"),
+    counts = df.filter(x.isNotNull()).groupBy(*by, x.cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    per = counts.groupBy(*by).agg(
+        F.sum("_n").cast("long").alias("n"),
+        F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n")).alias("_q"),
+        F.collect_list(F.struct("_x", "_n")).alias("_values"),
     )
+    per = per.filter("n is not null").select(*by, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "_values")
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    inside = (x >= lo) & (x <= hi)
-    w = base.join(q, keys).groupBy(*keys, "n", "q1", "median", "q3").agg(
-        F.min(F.when(inside, x)).cast("double").alias("whisker_low"),
-        F.max(F.when(inside, x)).cast("double").alias("whisker_high"),
-        F.count_if(~inside).cast("long").alias("n_outliers"),
-    )
-    out = w.select(*keys, "n", "q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers")
-    return out if by else out.drop("_stratum")
+    inside = F.transform(F.filter("_values", lambda v: (v["_x"] >= lo) & (v["_x"] <= hi)), lambda v: v["_x"])
+    outside = F.filter("_values", lambda v: (v["_x"] < lo) | (v["_x"] > hi))
+    n_out = F.aggregate(outside, F.lit(0).cast("long"), lambda a, v: a + v["_n"])
+    return per.select(*by, "n", "q1", "median", "q3", F.array_min(inside).alias("whisker_low"), F.array_max(inside).alias("whisker_high"), n_out.alias("n_outliers"))
 
 
 def top_k(df: DataFrame, measure: str, k: int, *, tiebreak: Sequence[str]) -> DataFrame:

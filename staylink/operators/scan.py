@@ -6,55 +6,46 @@ form, ``Window.partitionBy(person).orderBy(...)``, sends every episode of a pers
 to one task; a person holding a third of all rows would then be one task over a
 third of the data.
 
-Here the rows are split into blocks: (person, block of ``block_days`` days of
-episode start). Because the order starts with the start date, blocks are
-contiguous and ordered within a person, so a running value is
-
-    running value over the earlier blocks of the person  (+ / max / last)
-    running value inside the row's own block.
-
-1. One shuffle of the rows by (person, block); a window inside each block gives
-   the in-block running values.
-2. One small row per (person, block) holds the block's totals. Counts, sums,
-   maxima and last values are partial aggregates of the input (combined map-side,
-   only block rows are shuffled); positions of the first / latest row with a
-   property need the in-block order and aggregate the windowed rows instead.
-3. A window over the block rows of a person (a few rows per person) turns them
-   into carries from the earlier blocks.
-4. The carries are joined back on (person, block). The big side keeps its
-   partitioning; only the block table moves.
-
-A task then holds one person's episodes of one block period, not a whole person.
-``block_days`` sets that bound. A scan on the output of a scan reuses the same
-partitioning: no new shuffle of the rows.
-
-Splitting costs block tables and joins, so it is done only where it is needed.
-:func:`plan_blocks` counts rows per person (a partial aggregate, one small job)
-and returns a :class:`BlockPlan`: no person above ``hot_rows`` -> plain per-person
-windows (one shuffle by person, nothing else); a bounded list of hot persons ->
-only they are cut into blocks (the rest keep block 0), each into blocks that hold
-about ``hot_rows`` rows given its span of dates; too many hot persons -> everyone
-is cut. The list is checked against ``max_hot`` before it is used.
-
-Optionally the scan also numbers all rows of the table in (person, order) order
-(``global_position``, WIN-1) without a window over the whole table: persons are
-cut into at most ``n_buckets`` ranges of ids, offsets are summed inside each range
-and then over the (bounded) range table, which is broadcast.
+Here the rows are range-partitioned once by the whole order key (person, start,
+end, episode id) and written with the number of their range (:func:`with_block`).
+Ranges are quantiles of the rows, so each holds about as many rows however the
+persons, ids and dates are distributed; a person, or one day of a person, that is
+larger than a range is cut. Within a person the ranges are contiguous and in order,
+so a running value is
+
+    running value over the earlier ranges of the person  (+ / max / last)
+    running value inside the row's own range.
+
+1. One shuffle of the rows by (person, range); a window inside each gives the
+   running values there.
+2. One small row per (person, range) holds its totals: a partial aggregate of the
+   input for counts, sums, maxima and last values; positions of the first / latest
+   row with a property aggregate the windowed rows instead.
+3. A window over the range rows of a person (no more than there are ranges) turns
+   them into carries from the earlier ranges.
+4. The carries are joined back on (person, range). The big side keeps its
+   partitioning; only the range table moves.
+
+It is one algorithm at every size: no probe, no list of hot keys and no arithmetic
+on ids, which may be of any orderable type. The range number is read from the
+written stage and never computed again, so retried tasks see the same ranges.
+
+The scan also numbers all rows of the table in (person, order) order
+(``global_position``, WIN-1): rows in earlier ranges (a table of one row per range,
+broadcast), plus rows of smaller persons in the same range, plus the position there.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from staylink.sources.sink import materialize
+
 BLOCK = "_blk"
-EPOCH = dt.date(1970, 1, 1)
-NULL_BLOCK = 2**31 - 1  # null start dates sort last, as R's arrange does
 
 # Kinds of running value a scan can produce.
 KINDS = ("count", "sum", "sum_before", "max", "max_before", "prev", "first_pos", "last_pos")
@@ -62,89 +53,17 @@ KINDS = ("count", "sum", "sum_before", "max", "max_before", "prev", "first_pos",
 Spec = tuple[str, Column | None]
 
 
-@dataclass(frozen=True)
-class BlockPlan:
-    """How ordered scans cut a table: ``block_days=None`` keeps every key whole;
-    otherwise keys in ``hot`` (all keys if ``hot`` is None) are cut into blocks, of
-    ``widths`` days each (one per hot key) or of ``block_days`` days.
-    ``key_range`` (min, max of a single numeric key) is kept for global numbering."""
-
-    block_days: int | None
-    hot: tuple | None = None
-    key_range: tuple | None = None
-    widths: tuple | None = None
-
-    @property
-    def blocked(self) -> bool:
-        return self.block_days is not None
-
-
-WHOLE = BlockPlan(None)
-
+def with_block(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], ranges: int | None = None) -> DataFrame:
+    """df written once in ``ranges`` ranges of (keys, order), with the range number of each row.
 
-def _days(c: str) -> Column:
-    return F.datediff(F.col(c), F.lit(EPOCH))
-
-
-def plan_blocks(
-    df: DataFrame,
-    keys: Sequence[str],
-    block_days: int,
-    hot_rows: int | None,
-    max_hot: int = 10000,
-    date_col: str | None = None,
-) -> BlockPlan:
-    """Decide the cut from the row count per key (``hot_rows=None``: always cut every key).
-
-    One job: counts per key (a partial aggregate) reduced to the number of hot keys and
-    the key range. Only when there are hot keys, a second job lists at most ``max_hot``,
-    each with its span of ``date_col``: its block length is chosen so that a block holds
-    about ``hot_rows`` rows (``span * hot_rows / rows`` days, at most ``block_days``).
+    ``ranges`` defaults to the session's number of shuffle partitions: the setting that
+    sizes every other shuffle of these rows. A table that has its ranges keeps them.
     """
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    if date_col is not None:
-        aggs += [F.min(_days(date_col)).alias("_d0"), F.max(_days(date_col)).alias("_d1")]
-    counts = df.groupBy(*keys).agg(*aggs)
-    single = len(keys) == 1
-    limit = -1 if hot_rows is None else int(hot_rows)
-    stats = counts.agg(
-        F.count_if(F.col("_n") > limit).alias("_hot"),
-        *([F.min(keys[0]).alias("_lo"), F.max(keys[0]).alias("_hi")] if single else []),
-    ).first()
-    key_range = (stats["_lo"], stats["_hi"]) if single else None
-    if hot_rows is None:
-        return BlockPlan(int(block_days), None, key_range)
-    if stats["_hot"] == 0:
-        return BlockPlan(None, None, key_range)
-    if stats["_hot"] > max_hot or not single:
-        return BlockPlan(int(block_days), None, key_range)
-    hot = counts.filter(F.col("_n") > limit).collect()
-    widths = None
-    if date_col is not None:
-        widths = tuple(
-            max(1, min(int(block_days), ((r["_d1"] - r["_d0"] + 1) * int(hot_rows)) // r["_n"]))
-            if r["_d0"] is not None
-            else int(block_days)
-            for r in hot
-        )
-    return BlockPlan(int(block_days), tuple(r[keys[0]] for r in hot), key_range, widths)
-
-
-def with_block(df: DataFrame, date_col: str, plan: BlockPlan, key: str | None = None) -> DataFrame:
-    """Add the block number of each row (days since 1970 // block length; 0 for keys kept whole)."""
     if BLOCK in df.columns:
         return df
-    if plan.hot is not None and plan.widths is not None:
-        # Block length per hot key, from a literal map of at most max_hot entries.
-        lengths = F.create_map(*[F.lit(x) for k, w in zip(plan.hot, plan.widths, strict=True) for x in (k, w)])
-        width = F.element_at(lengths, F.col(key))
-        b = F.coalesce(F.floor(_days(date_col) / width).cast("int"), F.lit(NULL_BLOCK))
-        return df.withColumn(BLOCK, F.when(width.isNotNull(), b).otherwise(F.lit(0)))
-    b = F.floor(_days(date_col) / F.lit(int(plan.block_days))).cast("int")
-    b = F.coalesce(b, F.lit(NULL_BLOCK))
-    if plan.hot is not None:
-        b = F.when(F.col(key).isin(list(plan.hot)), b).otherwise(F.lit(0))
-    return df.withColumn(BLOCK, b)
+    n = int(ranges or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *[F.asc_nulls_last(k) for k in keys], *[_asc(c) for c in order])
+    return materialize(dealt.withColumn(BLOCK, F.spark_partition_id()), "ranges")
 
 
 def _asc(c: str | Column) -> Column:
@@ -157,10 +76,8 @@ def ordered_scan(
     order: Sequence[str | Column],
     specs: Mapping[str, Spec],
     *,
-    block_date: str,
-    plan: BlockPlan,
+    ranges: int | None = None,
     global_position: str | None = None,
-    n_buckets: int = 1024,
 ) -> DataFrame:
     """Add running columns per ``keys`` in ``order`` (which must end in a unique tiebreak).
 
@@ -173,16 +90,14 @@ def ordered_scan(
     - ``first_pos`` / ``last_pos``: position of the first / latest row so far where the
       boolean ``expr`` holds (null if none)
 
-    The result keeps the block column ``_blk`` so a following scan needs no shuffle;
-    call :func:`drop_block` at the end.
+    The result keeps the range column ``_blk``, which a following scan in the same order
+    uses again; call :func:`drop_block` at the end.
     """
     keys = list(keys)
     for name, (kind, _) in specs.items():
         if kind not in KINDS:
             raise ValueError(f"unknown scan kind {kind!r} for {name}")
-    if not plan.blocked:
-        return _whole_scan(df, keys, order, specs, global_position, n_buckets, plan)
-    df = with_block(df, block_date, plan, keys[0])
+    df = with_block(df, keys, order, ranges)
     order_cols = [_asc(c) for c in order]
     w_in = W.partitionBy(*keys, BLOCK).orderBy(*order_cols)
     upto = w_in.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -257,13 +172,12 @@ def ordered_scan(
     carry_cols = ["_c_cnt", *carries]
 
     if global_position is not None:
-        if len(keys) != 1:
-            raise ValueError("global_position needs a single numeric key")
-        key = keys[0]
-        totals = df.groupBy(key).agg(F.count(F.lit(1)).alias("_kn"))
-        lo, hi = plan.key_range or df.agg(F.min(key), F.max(key)).first()
-        offs = key_offsets(totals, key, "_kn", lo, hi, n_buckets)
-        blocks = blocks.join(offs, key, "left").withColumn("_c_glob", F.col("_koff") + F.col("_c_cnt"))
+        sizes = blocks.groupBy(BLOCK).agg(F.sum("_cnt").alias("_bn"))  # one row per range
+        over = W.orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+        sizes = sizes.select(BLOCK, F.coalesce(F.sum("_bn").over(over), F.lit(0)).alias("_b_off"))
+        smaller = W.partitionBy(BLOCK).orderBy(*[F.asc_nulls_last(k) for k in keys]).rowsBetween(W.unboundedPreceding, -1)
+        blocks = blocks.withColumn("_k_off", F.coalesce(F.sum("_cnt").over(smaller), F.lit(0)))
+        blocks = blocks.join(F.broadcast(sizes), BLOCK).withColumn("_c_glob", F.col("_b_off") + F.col("_k_off"))
         carry_cols.append("_c_glob")
 
     out = rows.join(blocks.select(*keys, BLOCK, *carry_cols), [*keys, BLOCK], "left")
@@ -291,71 +205,11 @@ def ordered_scan(
     return out.drop(*temp)
 
 
-def _whole_scan(df, keys, order, specs, global_position, n_buckets, plan) -> DataFrame:
-    """The same running values with plain windows over whole keys (no key is hot)."""
-    w = W.partitionBy(*keys).orderBy(*[_asc(c) for c in order])
-    upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    rows = df.withColumn("_rn", F.row_number().over(w))
-    out: dict[str, Column] = {}
-    for n, (kind, e) in specs.items():
-        if kind == "count":
-            out[n] = F.col("_rn").cast("int")
-        elif kind == "sum":
-            out[n] = F.coalesce(F.sum(e).over(upto), F.lit(0))
-        elif kind == "sum_before":
-            out[n] = F.coalesce(F.sum(e).over(before), F.lit(0))
-        elif kind == "max":
-            out[n] = F.max(e).over(upto)
-        elif kind == "max_before":
-            out[n] = F.max(e).over(before)
-        elif kind == "prev":
-            out[n] = F.lag(e).over(w)
-        elif kind == "first_pos":
-            out[n] = F.min(F.when(e, F.col("_rn"))).over(upto).cast("int")
-        elif kind == "last_pos":
-            out[n] = F.max(F.when(e, F.col("_rn"))).over(upto).cast("int")
-    rows = rows.withColumns(out) if out else rows
-    if global_position is not None:
-        if len(keys) != 1:
-            raise ValueError("global_position needs a single numeric key")
-        key = keys[0]
-        totals = df.groupBy(key).agg(F.count(F.lit(1)).alias("_kn"))
-        lo, hi = plan.key_range or df.agg(F.min(key), F.max(key)).first()
-        offs = key_offsets(totals, key, "_kn", lo, hi, n_buckets)
-        rows = rows.join(offs, key, "left").withColumn(
-            global_position, (F.col("_koff") + F.col("_rn")).cast("long")
-        ).drop("_koff")
-    return rows.drop("_rn")
-
-
-def key_offsets(totals: DataFrame, key: str, count_col: str, lo, hi, n_buckets: int = 1024) -> DataFrame:
-    """Rows before each key in ascending key order: ``key, _koff``.
-
-    Keys are cut into at most ``n_buckets`` equal id ranges; a window inside each range
-    sums the keys before, and the range table (at most ``n_buckets`` rows, a proven
-    bound) is summed once and broadcast back.
-    """
-    if lo is None:
-        return totals.select(key, F.lit(0).cast("long").alias("_koff"))
-    width = max(1, -(-(int(hi) - int(lo) + 1) // int(n_buckets)))
-    t = totals.withColumn("_kb", F.floor((F.col(key) - F.lit(int(lo))) / F.lit(width)).cast("long"))
-    in_range = W.partitionBy("_kb").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
-    t = t.withColumn("_in_b", F.coalesce(F.sum(count_col).over(in_range), F.lit(0)))
-    ranges = t.groupBy("_kb").agg(F.sum(count_col).alias("_bn"))
-    over_ranges = W.orderBy("_kb").rowsBetween(W.unboundedPreceding, -1)
-    ranges = ranges.withColumn("_b_off", F.coalesce(F.sum("_bn").over(over_ranges), F.lit(0)))
-    return t.join(F.broadcast(ranges.select("_kb", "_b_off")), "_kb").select(
-        key, (F.col("_b_off") + F.col("_in_b")).cast("long").alias("_koff")
-    )
-
-
 def segment_max(
     df: DataFrame,
     keys: Sequence[str],
     segment: str,
     values: Mapping[str, str | Column],
-    plan: BlockPlan,
 ) -> DataFrame:
     """Maximum of each of ``values`` over each segment (rows of a key with one ``segment`` number).
 
@@ -367,10 +221,6 @@ def segment_max(
     """
     keys = list(keys)
     names = list(values)
-    if not plan.blocked:
-        # Rows are already clustered by key: a window per (key, segment) moves nothing.
-        w = W.partitionBy(*keys, segment)
-        return df.withColumns({n: F.max(F.col(v) if isinstance(v, str) else v).over(w) for n, v in values.items()})
     # One shuffle by (key, block) serves the window per segment, the block aggregate and
     # the join back (the input may come from files, with no partitioning of its own).
     df = df.repartition(*[F.col(k) for k in keys], F.col(BLOCK))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylink.config import EpisodeCols, Study
-from staylink.operators.scan import drop_block, ordered_scan, plan_blocks, segment_max
+from staylink.operators.scan import drop_block, ordered_scan, segment_max
 from staylink.sources.sink import materialize
 
 
@@ -29,8 +29,7 @@ def transfer_stays(
     ``stay_size``, ``admdate_first``, ``sepdate_last`` and ``totlos`` (days)."""
     modes = list(study.transfer_modes)
     start, end = F.col(cols.start), F.col(cols.end)
-    plan = plan_blocks(df, [cols.person], study.block_days, study.hot_rows, date_col=cols.start)
-    scan = dict(block_date=cols.start, plan=plan)
+    scan = dict(ranges=study.ranges)
     s = ordered_scan(
         df,
         [cols.person],
@@ -48,10 +47,9 @@ def transfer_stays(
         prev_end.isNull() | (start > prev_end) | ((start == prev_end) & ~after_transfer), F.lit(True)
     )
     s = s.withColumn("_brk", new_stay)
-    if plan.blocked:
-        # Hot persons: each level of a blocked scan refers to its input twice, so the
-        # level is written once (block column included) and the next level reads it.
-        s = materialize(s, "stays-level1")
+    # Each level of a scan refers to its input twice, so the level is written once (range
+    # number included) and the next level reads it.
+    s = materialize(s, "stays-level1")
     s = ordered_scan(
         s,
         [cols.person],
@@ -69,10 +67,9 @@ def transfer_stays(
             "trans_seq": (F.col("_pos") - F.col("_stay_first")).cast("int"),
         }
     )
-    if plan.blocked:
-        s = materialize(s, "stays-level2")
+    s = materialize(s, "stays-level2")
     s = segment_max(
-        s, [cols.person], "stay_seq", {"sepdate_last": end, "stay_size": F.col("trans_seq") + 1}, plan
+        s, [cols.person], "stay_seq", {"sepdate_last": end, "stay_size": F.col("trans_seq") + 1}
     )
     s = s.withColumn("totlos", F.datediff("sepdate_last", "admdate_first")).drop(
         "_pos", "_prev_end", "_prev_mode", "_brk", "_stay_first"
@@ -102,8 +99,7 @@ def hip_stays(
         [cols.person],
         cols.order(),
         {"_hs": ("sum", first_hip.cast("int")), "_last_start": ("max", last_start)},
-        block_date=cols.start,
-        plan=plan_blocks(df, [cols.person], study.block_days, study.hot_rows, date_col=cols.start),
+        ranges=study.ranges,
     )
     s = s.withColumn(
         "hf_stays_all", F.when(F.col("_last_start.hip") == 1, F.col("_hs")).otherwise(0).cast("int")

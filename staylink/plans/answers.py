@@ -23,7 +23,7 @@ from staylink.config import DeathCols, EpisodeCols, Study
 from staylink.operators import report
 from staylink.operators.cohort import cohort_size, first_by_year
 from staylink.operators.comorbidity import GROUP_LABELS
-from staylink.operators.deaths import multi_records
+from staylink.operators.deaths import dropped_persons, multi_records
 from staylink.operators.readmission import negative_times, outcome_table
 from staylink.operators.survival import km_at_times, km_median, km_table, logrank_parts, logrank_test, report_times
 from staylink.plans.pipeline import Analysis
@@ -46,7 +46,7 @@ ANSWERS: dict[str, Answer] = {
     "q1_first_by_year": lambda a: first_by_year(a.cohort, a.cols),
     # Q2: death records and the linked table
     "q2_multiple_death_records": lambda a: multi_records(a.deaths, a.dcols),
-    "q2_dropped_persons": lambda a: a.resolution[1],
+    "q2_dropped_persons": lambda a: dropped_persons(a.resolution, a.dcols),
     "q2_linked_size": lambda a: cohort_size(a.linked, a.cols),
     # Q3: position of the first hip episode in its stay, and the longest chain
     "q3_trans_seq_of_first_hip": lambda a: report.frequency(_first(a), "trans_seq"),

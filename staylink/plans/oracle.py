@@ -8,6 +8,9 @@ a translation of the Spark plans. DuckDB only evaluates the clauses a query uses
 
 from __future__ import annotations
 
+from staylink.operators.comorbidity import CHARLSON_HIERARCHY, charlson_rows
+from staylink.sources.fixtures import icd_codes
+
 PERIOD_START = "DATE '1996-01-01'"
 PERIOD_END = "DATE '2000-12-31'"
 ORDER = "start_date, end_date, episode_id"
@@ -194,7 +197,61 @@ lr AS (
          sum(w * (n1 / n) * (0 - n2 / n)) AS v12,
          sum(w * (n2 / n) * (0 - n0 / n)) AS v20, sum(w * (n2 / n) * (0 - n1 / n)) AS v21,
          sum(w * (n2 / n) * (1 - n2 / n)) AS v22
-  FROM lr3)
+  FROM lr3),
+dirty0 AS (
+  SELECT CASE WHEN episode_id % 97 <> 0 THEN person_id END AS person_id, episode_id,
+         CASE WHEN episode_id % 101 <> 0 THEN start_date END AS start_date, end_date,
+         CASE WHEN episode_id % 11 <> 0 THEN age END AS age,
+         CASE WHEN episode_id % 13 <> 0 THEN diag_code END AS diag_code,
+         CASE WHEN episode_id % 7 <> 0 THEN mode END AS mode
+  FROM fx_episode),
+dirty AS (SELECT * FROM dirty0 UNION ALL SELECT * FROM dirty0 WHERE episode_id % 17 = 0),
+dirty_ep AS (
+  SELECT DISTINCT * FROM dirty
+  WHERE start_date >= {PERIOD_START} AND end_date <= {PERIOD_END} AND person_id IS NOT NULL),
+dirty_flagged AS (
+  SELECT *, CAST(age >= 65 AS INTEGER) AS age_flag,
+         CAST(coalesce(regexp_matches(diag_code, '^[12]-'), false) AS INTEGER) AS hip_flag
+  FROM dirty_ep),
+hot AS (
+  SELECT * REPLACE (
+    CAST(CASE WHEN episode_id % 7 = 1 THEN -1 WHEN episode_id % 3 = 0 THEN 0 ELSE person_id END AS BIGINT) AS person_id,
+    CASE WHEN episode_id % 7 = 1 THEN DATE '1998-05-05' ELSE start_date END AS start_date,
+    CASE WHEN episode_id % 7 = 1 THEN DATE '1998-05-05' ELSE end_date END AS end_date)
+  FROM flagged),
+hot_seq AS (
+  SELECT *, CAST(hip_cumcount > 0 AS INTEGER) AS post_index,
+         CAST(CASE WHEN hip_cumcount > 0
+              THEN row_number() OVER (PARTITION BY person_id, hip_cumcount > 0 ORDER BY {ORDER})
+              ELSE 0 END AS INTEGER) AS index_seq,
+         CAST(CASE WHEN hip_flag = 1
+              THEN row_number() OVER (PARTITION BY person_id, hip_flag ORDER BY {ORDER})
+              ELSE 0 END AS INTEGER) AS hip_seq
+  FROM (SELECT *,
+         CAST(row_number() OVER (ORDER BY person_id, {ORDER}) AS BIGINT) AS file_seq,
+         CAST(row_number() OVER (PARTITION BY person_id ORDER BY {ORDER}) AS INTEGER) AS person_seq,
+         CAST(sum(hip_flag) OVER (PARTITION BY person_id ORDER BY {ORDER}
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS hip_cumcount
+        FROM hot)),
+hot1 AS (
+  SELECT *,
+         max(end_date) OVER (PARTITION BY person_id ORDER BY {ORDER}
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_end,
+         lag(mode) OVER (PARTITION BY person_id ORDER BY {ORDER}) AS prev_mode
+  FROM hot),
+hot2 AS (
+  SELECT *, CAST(sum(CASE WHEN prev_end IS NULL OR start_date > prev_end
+                   OR (start_date = prev_end AND NOT coalesce(prev_mode IN ('P'), false))
+              THEN 1 ELSE 0 END) OVER (PARTITION BY person_id ORDER BY {ORDER}
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS stay_seq
+  FROM hot1),
+hot_stays AS (
+  SELECT person_id, episode_id, start_date, end_date, mode, stay_seq,
+         CAST(row_number() OVER (PARTITION BY person_id, stay_seq ORDER BY {ORDER}) - 1 AS INTEGER) AS trans_seq,
+         CAST(count(*) OVER s AS INTEGER) AS stay_size, min(start_date) OVER s AS admdate_first,
+         max(end_date) OVER s AS sepdate_last,
+         CAST(date_diff('day', min(start_date) OVER s, max(end_date) OVER s) AS INTEGER) AS totlos
+  FROM hot2 WINDOW s AS (PARTITION BY person_id, stay_seq))
 """
 
 
@@ -292,7 +349,86 @@ SELECT {_r('((o0 - e0) * (o0 - e0) * v11 - 2 * (o0 - e0) * (o1 - e1) * v01 + (o1
            ' / (v00 * v11 - v01 * v01) / 2)', 'p')}
 FROM lr"""
 
+_MODE_BOX = f"""
+SELECT mode, n, {_r('q1', 'q1')}, {_r('median', 'median')}, {_r('q3', 'q3')},
+       {_r('min(totlos) FILTER (WHERE totlos BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))', 'whisker_low')},
+       {_r('max(totlos) FILTER (WHERE totlos BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))', 'whisker_high')},
+       CAST(count(*) FILTER (WHERE NOT (totlos BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))) AS BIGINT)
+         AS n_outliers
+FROM (SELECT * FROM stays WHERE hip_seq = 1) JOIN (
+  SELECT mode, CAST(count(*) AS BIGINT) AS n, quantile_cont(CAST(totlos AS DOUBLE), 0.25) AS q1,
+         quantile_cont(CAST(totlos AS DOUBLE), 0.5) AS median, quantile_cont(CAST(totlos AS DOUBLE), 0.75) AS q3
+  FROM stays WHERE hip_seq = 1 GROUP BY mode) q USING (mode)
+GROUP BY mode, n, q1, median, q3"""
+
+# The fixed map and pairs of the score, as VALUES; matching, suppression and sums are plain SQL.
+_CHARLSON = f"""
+SELECT e.episode_id, CAST(coalesce(s.s, 0) AS INTEGER) AS cci_score
+FROM fx_episode e LEFT JOIN (
+  SELECT episode_id, sum(weight) AS s FROM (
+    SELECT DISTINCT episode_id, condition, weight FROM (
+      SELECT l_orderkey AS episode_id,
+             list_extract([{", ".join(f"'{c}'" for c in icd_codes())}], CAST(l_partkey % {len(icd_codes())} + 1 AS INTEGER))
+               || CAST(l_partkey % 2 AS VARCHAR) AS code
+      FROM lineitem) c
+    JOIN (VALUES {", ".join(map(str, charlson_rows()))}) m(prefix, condition, weight) ON starts_with(c.code, m.prefix)) x
+  WHERE NOT EXISTS (
+    SELECT 1 FROM (VALUES {", ".join(map(str, CHARLSON_HIERARCHY.items()))}) h(mild, worse)
+    JOIN (SELECT DISTINCT l_orderkey AS o,
+                 list_extract([{", ".join(f"'{c}'" for c in icd_codes())}], CAST(l_partkey % {len(icd_codes())} + 1 AS INTEGER))
+                   || CAST(l_partkey % 2 AS VARCHAR) AS code FROM lineitem) c2 ON c2.o = x.episode_id
+    JOIN (VALUES {", ".join(map(str, charlson_rows()))}) m2(prefix, condition, weight)
+      ON starts_with(c2.code, m2.prefix) AND m2.condition = h.worse
+    WHERE h.mild = x.condition)
+  GROUP BY episode_id) s ON s.episode_id = e.episode_id"""
+
+_EXCLUDED = ", ".join(map(str, range(20, 2000, 60)))
+
 FINAL: dict[str, str] = {
+    "ingest_csv_dirty": "SELECT * REPLACE (CAST(person_id AS VARCHAR) AS person_id, CAST(episode_id AS VARCHAR) AS episode_id) "
+    "FROM dirty_ep",
+    "ingest_report_dirty": f"""
+SELECT CAST(sum(c) AS BIGINT) AS n_rows, CAST(sum(c - 1) AS BIGINT) AS n_duplicate,
+       CAST(count(*) FILTER (WHERE person_id IS NULL) AS BIGINT) AS n_missing_person,
+       CAST(count(*) FILTER (WHERE start_date IS NULL) AS BIGINT) AS n_missing_start,
+       CAST(count(*) FILTER (WHERE end_date IS NULL) AS BIGINT) AS n_missing_end,
+       CAST(count(*) FILTER (WHERE start_date IS NOT NULL AND end_date IS NOT NULL
+            AND NOT (start_date >= {PERIOD_START} AND end_date <= {PERIOD_END})) AS BIGINT) AS n_outside_period,
+       CAST(count(*) FILTER (WHERE start_date >= {PERIOD_START} AND end_date <= {PERIOD_END}
+            AND person_id IS NOT NULL) AS BIGINT) AS n_kept
+FROM (SELECT *, count(*) AS c FROM dirty GROUP BY ALL)""",
+    "profile_dirty": _PROFILE.replace("FROM fx_episode", "FROM dirty"),
+    "duplicate_report_dirty": _dup("dirty", "fx_episode_dirty"),
+    "flag_table_dirty": """
+SELECT age_flag, CAST(count(*) AS BIGINT) AS n, round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (), 6) AS percent,
+       round(CASE WHEN age_flag IS NOT NULL THEN CAST(count(*) AS DOUBLE)
+             / sum(CASE WHEN age_flag IS NOT NULL THEN count(*) END) OVER () END, 6) AS valid_percent
+FROM dirty_flagged GROUP BY age_flag""",
+    "mode_crosstab_dirty": """
+SELECT hip_flag,
+       CAST(count(*) FILTER (WHERE mode = 'F') AS BIGINT) AS "F",
+       CAST(count(*) FILTER (WHERE mode = 'O') AS BIGINT) AS "O",
+       CAST(count(*) FILTER (WHERE mode = 'P') AS BIGINT) AS "P",
+       CAST(count(*) FILTER (WHERE mode IS NOT NULL AND mode NOT IN ('F', 'O', 'P')) AS BIGINT) AS other,
+       CAST(count(*) FILTER (WHERE mode IS NULL) AS BIGINT) AS "NA"
+FROM dirty_flagged GROUP BY hip_flag""",
+    "date_layouts": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS dmy, CAST(o_orderdate AS DATE) AS ymd FROM orders",
+    "episode_sequences_hot": "SELECT person_id, episode_id, start_date, end_date, age_flag, hip_flag, file_seq, "
+    "person_seq, hip_cumcount, post_index, index_seq, hip_seq FROM hot_seq",
+    "transfer_stays_hot": "SELECT * FROM hot_stays",
+    "los_box_by_mode": _MODE_BOX,
+    "summary_median": f"""
+SELECT 'length of stay' AS variable, CAST(count(totlos) AS BIGINT) AS n,
+       {_r('quantile_cont(CAST(totlos AS DOUBLE), 0.5)', 'median')}, {_r('quantile_cont(CAST(totlos AS DOUBLE), 0.25)', 'q1')},
+       {_r('quantile_cont(CAST(totlos AS DOUBLE), 0.75)', 'q3')}
+FROM first_los""",
+    "resolved_deaths_excluded": f"""
+SELECT p.person_id, CASE WHEN p.person_id NOT IN ({_EXCLUDED}) THEN r.death_date END AS death_date,
+       CASE WHEN p.person_id NOT IN ({_EXCLUDED}) THEN r.age_death END AS age_death,
+       CASE WHEN p.person_id IN ({_EXCLUDED}) THEN 'excluded'
+            WHEN r.person_id IS NULL THEN 'no record before the last episode' END AS drop_reason
+FROM per_person p LEFT JOIN resolved r ON r.person_id = p.person_id""",
+    "charlson_score": _CHARLSON,
     "ingest_clean": "SELECT * FROM ep",
     "ingest_report": f"""
 SELECT CAST(sum(c) AS BIGINT) AS n_rows, CAST(sum(c - 1) AS BIGINT) AS n_duplicate,

@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from staylink.config import DeathCols, EpisodeCols, Study
 from staylink.operators.cohort import select_cohort
-from staylink.operators.comorbidity import charlson_map, charlson_prefix_lengths, comorbidity_score, score_groups
+from staylink.operators.comorbidity import charlson_map, charlson_prefix_lengths, comorbidity_score, long_diagnoses, score_groups
 from staylink.operators.deaths import link_deaths, resolve_deaths, type_deaths
-from staylink.operators.episodes import add_flags, clean_episodes, sequence_episodes, type_episodes
+from staylink.operators.episodes import add_flags, clean_episodes, sequence_episodes, type_episodes, with_episode_id
 from staylink.operators.readmission import censor_times, index_episodes, next_admission
 from staylink.operators.stays import hip_stays, transfer_stays
 from staylink.sources import fixtures
@@ -54,6 +54,7 @@ class Analysis:
         episodes: DataFrame | None = None,
         deaths: DataFrame | None = None,
         diagnoses: DataFrame | None = None,
+        diagnosis_columns: list[str] | None = None,
         code_map: DataFrame | None = None,
         hierarchy: dict[str, str] | None = None,
         prefix_lengths: list[int] | None = None,
@@ -65,6 +66,8 @@ class Analysis:
         if sf_dir is None and (episodes is None or deaths is None):
             raise ValueError("give sf_dir or both episodes and deaths")
         self._episodes = episodes if episodes is not None else fixtures.fx_episode(spark, sf_dir)
+        #: columns of the episodes that hold codes, used where no long table is given
+        self._diagnosis_columns = diagnosis_columns or [cols.code]
         self._deaths = deaths if deaths is not None else fixtures.fx_death(spark, sf_dir)
         if code_map is None and diagnoses is None and sf_dir is not None:
             # the fixture's own map; no hierarchy among its two conditions
@@ -101,11 +104,9 @@ class Analysis:
         ecols = episode_columns or [cols.person, cols.episode, cols.start, cols.end, cols.age, cols.code, cols.mode]
         dcols_list = death_columns or [dcols.person, dcols.date, dcols.age]
         raw = read_text_csv(spark, episodes_path, ecols)
-        if cols.episode not in ecols:
-            # No episode id in the extract: a hash of the whole row is the tiebreak. It is
-            # the same on every run; distinct rows differ in some column.
-            raw = raw.withColumn(cols.episode, F.xxhash64(*[F.col(c) for c in ecols]).cast("string"))
         episodes = type_episodes(raw, cols)
+        if cols.episode not in ecols:
+            episodes = with_episode_id(episodes, cols)
         deaths = type_deaths(read_text_csv(spark, deaths_path, dcols_list), dcols)
         return cls(spark, None, study, cols, dcols, episodes=episodes, deaths=deaths, diagnoses=diagnoses, **kw)
 
@@ -116,12 +117,13 @@ class Analysis:
         self.stage_paths.append(path)
         return self.spark.read.parquet(path)
 
-    def stages_present(self) -> bool:
-        """False if a written stage has been removed since (local paths only)."""
-        import os
-
-        local = [p.removeprefix("file:") for p in self.stage_paths if "://" not in p or p.startswith("file:")]
-        return all(os.path.exists(p) for p in local)
+    def close(self) -> None:
+        """Delete the stages that this analysis wrote (and nothing else), wherever they are."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.stage_paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.stage_paths.clear()
 
     # ---- part one -------------------------------------------------------------------
     @cached_property
@@ -147,15 +149,14 @@ class Analysis:
         return self._deaths.distinct()
 
     @cached_property
-    def resolution(self) -> tuple[DataFrame, DataFrame]:
-        """DQ-6: (one record per person, persons dropped from both tables)."""
+    def resolution(self) -> DataFrame:
+        """DQ-6: one row per person with a death record: the record kept, or why the person goes."""
         return resolve_deaths(self.deaths, self.cohort, self.cols, self.dcols, self.study.exclude_persons)
 
     @cached_property
     def linked(self) -> DataFrame:
         """JN-1."""
-        resolved, dropped = self.resolution
-        return self._stage(link_deaths(self.cohort, resolved, dropped, self.cols, self.dcols), "linked")
+        return self._stage(link_deaths(self.cohort, self.resolution, self.cols, self.dcols), "linked")
 
     @cached_property
     def stays(self) -> DataFrame:
@@ -182,16 +183,16 @@ class Analysis:
     def scored(self) -> DataFrame:
         """DOM-10 on the index episodes, with groups and labels: the analysis table of
         part two (one row per person), written once for the survival steps. Without a
-        diagnosis table every score is 0."""
-        if self._diagnoses is None:
-            scored = self.readmission.withColumn("cci_score", F.lit(0))
-        else:
-            scored = comorbidity_score(
-                self.readmission,
-                self._diagnoses,
-                self._code_map,
-                episode_col=self.cols.episode,
-                hierarchy=self._hierarchy,
-                prefix_lengths=self._lengths,
-            )
+        long diagnosis table, the episodes' own diagnosis columns are scored."""
+        diagnoses = self._diagnoses
+        if diagnoses is None:
+            diagnoses = long_diagnoses(self.stays, self._diagnosis_columns, episode_col=self.cols.episode)
+        scored = comorbidity_score(
+            self.readmission,
+            diagnoses,
+            self._code_map,
+            episode_col=self.cols.episode,
+            hierarchy=self._hierarchy,
+            prefix_lengths=self._lengths,
+        )
         return self._stage(score_groups(scored), "scored")

@@ -7,17 +7,21 @@ are rounded to 6 places on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from staylink.config import EpisodeCols, scratch_dir
+from staylink.functions.dates import parse_dmy, parse_ymd
 from staylink.operators import quality, report
 from staylink.operators.cohort import cohort_size, first_by_year
-from staylink.operators.comorbidity import GROUP_LABELS
-from staylink.operators.deaths import death_vs_episodes, multi_records
-from staylink.operators.episodes import clean_episodes, file_sequence, type_episodes
+from staylink.operators.comorbidity import GROUP_LABELS, charlson_map, charlson_prefix_lengths, comorbidity_score
+from staylink.operators.deaths import death_vs_episodes, kept_records, multi_records, resolve_deaths
+from staylink.operators.deaths import dropped_persons as removed_persons
+from staylink.operators.episodes import add_flags, clean_episodes, file_sequence, sequence_episodes, type_episodes
 from staylink.operators.readmission import negative_times, outcome_table
 from staylink.operators.survival import (
     km_at_times,
@@ -27,8 +31,10 @@ from staylink.operators.survival import (
     logrank_test,
     report_times,
 )
+from staylink.operators.stays import transfer_stays
 from staylink.plans.pipeline import Analysis
 from staylink.sources import fixtures
+from staylink.sources.csv import read_text_csv, write_text_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,32 +49,40 @@ def _round(df: DataFrame, places: int = 6) -> DataFrame:
     )
 
 
-_ANALYSES: dict[tuple[str, str], Analysis] = {}
+def _version(spark: SparkSession, sf_dir: str) -> tuple:
+    """Path, length and modification time of every file that the fixture views read, and the
+    application that wrote stages from them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out = [spark.sparkContext.applicationId]
+    for name in ("orders", "lineitem", "customer", "part"):
+        at = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        files = at.getFileSystem(conf).listStatus(at)
+        out += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
+    return tuple(out)
+
+
+#: The analysis of the input that was asked for last, and that input's version: queries on the
+#: same files share its stages, and changed files or another folder make a new one.
+_LAST: dict[str, tuple[tuple, Analysis]] = {}
 
 
 def _a(spark: SparkSession, sf_dir: str) -> Analysis:
-    """One analysis per (Spark application, folder): its stages are computed from the
-    tables once, written to the checkpoint folder, and read by every later query."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key in _ANALYSES and not _ANALYSES[key].stages_present():
-        del _ANALYSES[key]
-    if key not in _ANALYSES:
-        if len(_ANALYSES) >= 4:
-            _ANALYSES.pop(next(iter(_ANALYSES)))
-        _ANALYSES[key] = Analysis(spark, sf_dir)
-    return _ANALYSES[key]
+    version = _version(spark, sf_dir)
+    if "last" not in _LAST or _LAST["last"][0] != version:
+        _LAST["last"] = (version, Analysis(spark, sf_dir))
+    return _LAST["last"][1]
 
 
 # ---- part one: ingest, flags, sequences, cohort ----------------------------------------
 def ingest_clean(spark, sf_dir):
     """DOM-1 / SRC-1 / SCL-1: text episodes (mixed day-month-year layouts) typed, distinct, period."""
     raw = fixtures.fx_episode_text(spark, sf_dir)
-    return clean_episodes(type_episodes(raw))
+    return clean_episodes(type_episodes(raw, id_type="bigint"))
 
 
 def ingest_report(spark, sf_dir):
     """DOM-1 / SRC-1: what the clean step drops from the text episodes, counted."""
-    return quality.ingest_report(type_episodes(fixtures.fx_episode_text(spark, sf_dir)))
+    return quality.ingest_report(type_episodes(fixtures.fx_episode_text(spark, sf_dir), id_type="bigint"))
 
 
 def duplicate_report(spark, sf_dir):
@@ -91,6 +105,61 @@ def flag_table(spark, sf_dir):
     return _round(report.frequency(_a(spark, sf_dir).episodes, "age_flag"))
 
 
+# ---- the same on a view with missing values and repeated rows -------------------------------
+def _dirty_clean(spark, sf_dir) -> DataFrame:
+    return add_flags(clean_episodes(fixtures.fx_episode_dirty(spark, sf_dir)))
+
+
+def ingest_csv_dirty(spark, sf_dir):
+    """SRC-1 / DOM-1 / SET-1: the dirty view written as CSV text, read back, typed, cleaned. Ids
+    keep their type (text)."""
+    path = scratch_dir(spark, f"csv-{uuid.uuid4().hex}")
+    write_text_csv(fixtures.fx_episode_dirty_text(spark, sf_dir), path)
+    raw = read_text_csv(spark, path, EpisodeCols().all())
+    return clean_episodes(type_episodes(raw))
+
+
+def ingest_report_dirty(spark, sf_dir):
+    """DOM-1: every count of the ingest report above zero."""
+    return quality.ingest_report(fixtures.fx_episode_dirty(spark, sf_dir))
+
+
+def profile_dirty(spark, sf_dir):
+    """DQ-1 / DQ-2 with missing values."""
+    return quality.profile(fixtures.fx_episode_dirty(spark, sf_dir))
+
+
+def duplicate_report_dirty(spark, sf_dir):
+    """SET-2 / DQ-3 with repeated rows."""
+    return quality.duplicate_report(fixtures.fx_episode_dirty(spark, sf_dir), "fx_episode_dirty")
+
+
+def flag_table_dirty(spark, sf_dir):
+    """DOM-2 / AGG-9 with the row for missing ages, and the valid percent."""
+    return _round(report.frequency(_dirty_clean(spark, sf_dir), "age_flag", valid_percent=True))
+
+
+def mode_crosstab_dirty(spark, sf_dir):
+    """AGG-8 / FLT-11 with missing modes and codes."""
+    return report.crosstab(_dirty_clean(spark, sf_dir), "hip_flag", "mode", MODES)
+
+
+def date_layouts(spark, sf_dir):
+    """SCL-1 / SCL-2: eight day-month-year layouts and ISO text parsed over all orders."""
+    t = fixtures.fx_date_text(spark, sf_dir)
+    return t.select("o_orderkey", parse_dmy("dmy").alias("dmy"), parse_ymd("ymd").alias("ymd"))
+
+
+def episode_sequences_hot(spark, sf_dir):
+    """DOM-3 with a person of a third of all episodes and a person whose episodes share one day."""
+    return sequence_episodes(fixtures.fx_episode_hot(_a(spark, sf_dir).episodes)).select(*SEQ_COLS)
+
+
+def transfer_stays_hot(spark, sf_dir):
+    """DOM-4 on the same two persons."""
+    return transfer_stays(fixtures.fx_episode_hot(_a(spark, sf_dir).episodes)).select(*STAY_COLS)
+
+
 SEQ_COLS = [
     "person_id", "episode_id", "start_date", "end_date", "age_flag", "hip_flag",
     "file_seq", "person_seq", "hip_cumcount", "post_index", "index_seq", "hip_seq",
@@ -138,12 +207,18 @@ def death_vs_episodes_q(spark, sf_dir):
 
 def resolved_deaths(spark, sf_dir):
     """DQ-6 / FLT-4: one record per person."""
-    return _a(spark, sf_dir).resolution[0]
+    return kept_records(_a(spark, sf_dir).resolution)
 
 
 def dropped_persons(spark, sf_dir):
     """DQ-6 / FLT-5: persons removed from both tables."""
-    return _a(spark, sf_dir).resolution[1]
+    return removed_persons(_a(spark, sf_dir).resolution)
+
+
+def resolved_deaths_excluded(spark, sf_dir):
+    """DQ-6 / FLT-5 with an exclusion list: every person with the outcome."""
+    a = _a(spark, sf_dir)
+    return resolve_deaths(a.deaths, a.cohort, exclude=list(EXCLUDED))
 
 
 def linked(spark, sf_dir):
@@ -248,6 +323,17 @@ def los_box(spark, sf_dir):
     return _round(report.box_stats(_first_los(spark, sf_dir), "totlos"))
 
 
+def los_box_by_mode(spark, sf_dir):
+    """AGG-14 per mode of separation."""
+    first = _a(spark, sf_dir).stays.filter(F.col("hip_seq") == 1)
+    return _round(report.box_stats(first, "totlos", by=["mode"]))
+
+
+def summary_median(spark, sf_dir):
+    """AGG-10, the median (Q1, Q3) form."""
+    return _round(report.median_summary(_first_los(spark, sf_dir), "totlos", "length of stay"))
+
+
 def longest_stays(spark, sf_dir):
     """SRT-2 / SRT-4: the five longest (ties by person id)."""
     return report.top_k(_first_los(spark, sf_dir), "totlos", 5, tiebreak=["person_id"])
@@ -278,6 +364,14 @@ def comorbidity_group(spark, sf_dir):
     )
 
 
+def charlson_score(spark, sf_dir):
+    """DOM-10 with the full Charlson map and its three hierarchy pairs, over all episodes."""
+    index = fixtures.fx_episode(spark, sf_dir).select("episode_id")
+    codes = fixtures.fx_icd_diagnosis(spark, sf_dir)
+    scored = comorbidity_score(index, codes, charlson_map(spark), prefix_lengths=charlson_prefix_lengths())
+    return scored.select("episode_id", "cci_score")
+
+
 def outcome_table_q(spark, sf_dir):
     """DOM-11 / AGG-5 / AGG-6 / AGG-12."""
     a = _a(spark, sf_dir)
@@ -313,7 +407,23 @@ def logrank_test_q(spark, sf_dir):
     return _round(spark.createDataFrame([(float(t["chi2"]), int(t["df"]), float(t["p"]))], schema))
 
 
+#: Persons of the exclusion list of one query.
+EXCLUDED = tuple(range(20, 2000, 60))
+
 QUERIES: dict[str, Query] = {
+    "ingest_csv_dirty": ingest_csv_dirty,
+    "ingest_report_dirty": ingest_report_dirty,
+    "profile_dirty": profile_dirty,
+    "duplicate_report_dirty": duplicate_report_dirty,
+    "flag_table_dirty": flag_table_dirty,
+    "mode_crosstab_dirty": mode_crosstab_dirty,
+    "date_layouts": date_layouts,
+    "episode_sequences_hot": episode_sequences_hot,
+    "transfer_stays_hot": transfer_stays_hot,
+    "los_box_by_mode": los_box_by_mode,
+    "summary_median": summary_median,
+    "resolved_deaths_excluded": resolved_deaths_excluded,
+    "charlson_score": charlson_score,
     "ingest_clean": ingest_clean,
     "ingest_report": ingest_report,
     "duplicate_report": duplicate_report,

@@ -9,7 +9,7 @@ from staylink.sources.fixtures import (
     fx_episode_text,
     load_tables,
 )
-from staylink.sources.sink import materialize, read_stage, write_stage
+from staylink.sources.sink import materialize, write_stage
 
 __all__ = [
     "fx_code_map",
@@ -19,7 +19,6 @@ __all__ = [
     "fx_episode_text",
     "load_tables",
     "materialize",
-    "read_stage",
     "read_text_csv",
     "write_stage",
     "write_text_csv",

@@ -66,6 +66,69 @@ def fx_episode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fx_episode_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The episode view with what real extracts hold, by key arithmetic: persons, start dates,
+    ages, codes and modes missing, and whole rows repeated."""
+    e = fx_episode(spark, sf_dir)
+    k = F.col("episode_id")
+    gaps = {"person_id": 97, "start_date": 101, "age": 11, "diag_code": 13, "mode": 7}
+    e = e.withColumns({c: F.when(k % n != 0, F.col(c)) for c, n in gaps.items()})
+    return e.unionByName(e.filter(k % 17 == 0))
+
+
+def fx_episode_dirty_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dirty view as text: missing values empty, and the two copies of a repeated row with
+    their dates in different layouts."""
+    e = fx_episode_dirty(spark, sf_dir)
+    copies = fx_episode_dirty(spark, sf_dir).filter(F.col("episode_id") % 17 == 0).distinct()
+
+    def text(df: DataFrame, layout: str) -> DataFrame:
+        dates = {c: F.date_format(c, layout) for c in ("start_date", "end_date")}
+        return df.select(*[dates.get(c, F.col(c)).cast("string").alias(c) for c in df.columns])
+
+    return text(e.distinct(), "d/M/yyyy").unionByName(text(copies, "ddMMMyyyy"))
+
+
+def fx_episode_hot(episodes: DataFrame) -> DataFrame:
+    """Flagged episodes with a third of them moved to person 0, and a seventh to person -1 on
+    one single day."""
+    k, day = F.col("episode_id"), F.lit(dt.date(1998, 5, 5))
+    one_day = k % 7 == 1
+    moved = {c: F.when(one_day, day).otherwise(F.col(c)) for c in ("start_date", "end_date")}
+    person = F.when(one_day, F.lit(-1)).when(k % 3 == 0, F.lit(0)).otherwise(F.col("person_id"))
+    return episodes.withColumns(moved | {"person_id": person})
+
+
+def fx_date_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey and the order date as text: eight day-month-year layouts, and ISO."""
+    o = load_tables(spark, sf_dir, ["orders"])["orders"].select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    layouts = ["dd/MM/yyyy", "d-M-yyyy", "ddMMMyyyy", "d MMMM yyyy", "dd-MMM-yy", "d.M.yy", "ddMMyyyy", "ddMMyy"]
+    k = F.col("o_orderkey") % len(layouts)
+    text = F.coalesce(*[F.when(k == i, F.date_format("d", f)) for i, f in enumerate(layouts)])
+    return o.select("o_orderkey", text.alias("dmy"), F.date_format("d", "yyyy-MM-dd").alias("ymd"))
+
+
+def fx_icd_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """episode_id, code: each order line's part key picks a code of the Charlson map, written
+    with a dot and a further digit as extracts have it."""
+    codes = icd_codes()
+    li = load_tables(spark, sf_dir, ["lineitem"])["lineitem"].select("l_orderkey", "l_partkey")
+    table = F.array(*[F.lit(c) for c in codes])
+    code = F.element_at(table, (F.col("l_partkey") % len(codes) + 1).cast("int"))
+    dotted = F.concat(F.substring(code, 1, 3), F.lit("."), F.substring(code, 4, 9), (F.col("l_partkey") % 2).cast("string"))
+    return li.select(F.col("l_orderkey").alias("episode_id"), dotted.alias("code"))
+
+
+def icd_codes() -> list[str]:
+    """The first prefix of every condition of the Charlson map, and a code of none."""
+    from staylink.operators.comorbidity import charlson_rows
+
+    first: dict[str, str] = {}
+    for prefix, condition, _ in charlson_rows():
+        first.setdefault(condition, prefix)
+    return [*first.values(), "S720"]
+
+
 def fx_death(spark: SparkSession, sf_dir: str) -> DataFrame:
     """person_id, death_date, age_death; persons with key % 10 = 0 get a second, earlier record."""
     c = load_tables(spark, sf_dir, ["customer"])["customer"].select("c_custkey", "c_acctbal")

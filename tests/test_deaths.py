@@ -1,6 +1,6 @@
 import datetime as dt
 
-from staylink.operators.deaths import death_vs_episodes, link_deaths, multi_records, resolve_deaths
+from staylink.operators.deaths import death_vs_episodes, dropped_persons, kept_records, link_deaths, multi_records, resolve_deaths
 
 EP = "person_id long, episode_id long, start_date date, end_date date"
 DT = "person_id long, death_date date, age_death int"
@@ -41,19 +41,21 @@ def test_death_vs_episodes(spark):
 
 def test_resolve_and_link(spark):
     ep, deaths = _tiny(spark)
-    resolved, dropped = resolve_deaths(deaths, ep)
+    both = resolve_deaths(deaths, ep)
+    resolved, dropped = kept_records(both), dropped_persons(both)
     assert sorted(tuple(r) for r in resolved.collect()) == [
         (1, dt.date(2009, 1, 1), 80), (3, dt.date(2010, 1, 1), 90), (5, dt.date(2010, 2, 1), 61)
     ]
     assert [r.person_id for r in dropped.collect()] == [2]
-    linked = link_deaths(ep, resolved, dropped)
+    linked = link_deaths(ep, both)
     assert linked.count() == 5  # person 2 removed, no episode multiplied
     assert {r.episode_id: r.death_date for r in linked.collect()}[7] is None
 
 
 def test_exclusion_list(spark):
     ep, deaths = _tiny(spark)
-    resolved, dropped = resolve_deaths(deaths, ep, exclude=[1])
+    both = resolve_deaths(deaths, ep, exclude=[1])
+    resolved, dropped = kept_records(both), dropped_persons(both)
     assert sorted(r.person_id for r in dropped.collect()) == [1, 2]
     assert sorted(r.person_id for r in resolved.collect()) == [3, 5]
 
@@ -67,4 +69,11 @@ def test_death_csv_ingest(spark, tmp_path):
     write_text_csv(spark.createDataFrame(rows, "person_id string, death_date string, age_death string"), path)
     d = type_deaths(read_text_csv(spark, path, ["person_id", "death_date", "age_death"]))
     got = sorted(tuple(r) for r in d.collect())
-    assert got == [(7, dt.date(2010, 2, 1), 80), (8, dt.date(2011, 2, 1), None), (9, None, 70)]
+    assert got == [("7", dt.date(2010, 2, 1), 80), ("8", dt.date(2011, 2, 1), None), ("9", None, 70)]
+
+
+def test_records_without_a_person_link_with_no_one(spark):
+    ep, deaths = _tiny(spark)
+    none = spark.createDataFrame([(None, dt.date(2001, 1, 1), 70), (None, dt.date(2002, 1, 1), 71)], deaths.schema)
+    assert sorted(map(str, resolve_deaths(deaths.unionByName(none), ep).collect())) == sorted(map(str, resolve_deaths(deaths, ep).collect()))
+    assert multi_records(none).count() == 0

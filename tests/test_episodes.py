@@ -30,7 +30,7 @@ def test_tiny_raw_through_csv(spark):
     path = tempfile.mkdtemp(prefix="staylink-csv-") + "/ep"
     write_text_csv(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in COLS)), path)
     raw = read_text_csv(spark, path, COLS)
-    out = clean_episodes(type_episodes(raw), study=STUDY)
+    out = clean_episodes(type_episodes(raw, id_type="bigint"), study=STUDY)
     got = {r.episode_id: r for r in out.collect()}
     assert sorted(got) == [1, 2, 3, 7]
     assert got[1].start_date == dt.date(2005, 7, 1) and got[1].end_date == dt.date(2005, 7, 3)
@@ -61,9 +61,9 @@ def _tiny_seq(spark):
     return spark.createDataFrame(rows, "person_id long, episode_id long, start_date date, end_date date, hip_flag int")
 
 
-@pytest.mark.parametrize("block_days,hot_rows", [(1, None), (30, None), (365, None), (30, 3), (365, 10**6)])
-def test_tiny_seq(spark, block_days, hot_rows):
-    s = sequence_episodes(_tiny_seq(spark), study=Study(block_days=block_days, hot_rows=hot_rows))
+@pytest.mark.parametrize("ranges", [1, 3, 8, None])
+def test_tiny_seq(spark, ranges):
+    s = sequence_episodes(_tiny_seq(spark), study=Study(ranges=ranges))
     got = {r.episode_id: (r.file_seq, r.person_seq, r.hip_cumcount, r.post_index, r.index_seq, r.hip_seq)
            for r in s.collect()}
     assert got == {
@@ -87,14 +87,24 @@ def _random_episodes(spark, seed, n_persons=40, max_eps=30):
     return spark.createDataFrame(rows, "person_id long, episode_id long, start_date date, end_date date, hip_flag int")
 
 
-@pytest.mark.parametrize(
-    "seed,block_days,hot_rows", [(1, 7, None), (2, 90, None), (3, 365, None), (4, 30, 100), (5, 30, 10**6)]
-)
-def test_sequences_equal_plain_windows(spark, seed, block_days, hot_rows):
-    """Blocked (all persons, or only the hot person 0) and whole scans give exactly the
-    whole-person window numbers (section 5.3 invariants)."""
-    df = _random_episodes(spark, seed)
-    s = sequence_episodes(df, study=Study(block_days=block_days, hot_rows=hot_rows))
+def _ids(df, kind):
+    """The same episodes under other person ids: the ends of int64, one far outlier, text."""
+    k = F.col("person_id")
+    if kind == "wide":
+        k = F.when(k % 2 == 0, F.lit(-(2**63)) + k).otherwise(F.lit(2**63 - 1) - k)
+    elif kind == "outlier":
+        k = F.when(k == 3, F.lit(10**15)).otherwise(k)
+    elif kind == "text":
+        k = F.concat(F.lit("P"), k.cast("string"))
+    return df.withColumn("person_id", k)
+
+
+@pytest.mark.parametrize("seed,ranges,kind", [(1, 16, "plain"), (2, 5, "wide"), (3, 7, "outlier"), (4, 9, "text"), (5, 1, "plain")])
+def test_sequences_equal_plain_windows(spark, seed, ranges, kind):
+    """However the ranges cut persons, the numbers are the whole-person window numbers
+    (section 5.3 invariants), for ids of any size, gap or type."""
+    df = _ids(_random_episodes(spark, seed), kind)
+    s = sequence_episodes(df, study=Study(ranges=ranges))
     o = ["start_date", "end_date", "episode_id"]
     w = W.partitionBy("person_id").orderBy(*o)
     ref = df.select(
@@ -122,7 +132,7 @@ def test_sequences_equal_plain_windows(spark, seed, block_days, hot_rows):
 
 def test_file_sequence_alone(spark):
     df = _random_episodes(spark, 5)
-    fs = file_sequence(df, study=Study(block_days=30, hot_rows=None))
+    fs = file_sequence(df, study=Study(ranges=6))
     n = df.count()
     assert fs.agg(F.min("file_seq"), F.max("file_seq"), F.countDistinct("file_seq")).first() == (1, n, n)
 
@@ -147,70 +157,23 @@ def test_tiny_cohort(spark):
     assert {r.episode_id: r.hip_seq for r in c} == {1: 1, 2: 2}
 
 
-def test_block_plan_finds_the_hot_person(spark):
-    from staylink.operators.scan import plan_blocks
-
-    df = _random_episodes(spark, 6)
-    assert plan_blocks(df, ["person_id"], 30, 100).hot == (3,)  # person 0 has 300 rows, id 0 * 7 + 3
-    p = plan_blocks(df, ["person_id"], 30, 100, date_col="start_date")
-    assert p.hot == (3,) and p.widths == (30,)  # span * 100 / 300 is over the cap of 30 days
-    p = plan_blocks(df, ["person_id"], 100000, 100, date_col="start_date")
-    assert 500 <= p.widths[0] <= 700  # about 2000 days * 100 / 300 rows
-    assert not plan_blocks(df, ["person_id"], 30, 10**6).blocked
-    p = plan_blocks(df, ["person_id"], 30, None)
-    assert p.blocked and p.hot is None
-
-
-def test_hot_person_is_spread_over_blocks(spark):
-    """A person with a third of all rows: the blocked scan's task groups stay small, and the
-    numbers equal the whole-person ones."""
-    from staylink.operators.scan import BLOCK, plan_blocks, with_block
+@pytest.mark.parametrize("one_day", [False, True])
+def test_hot_person_is_spread_over_ranges(spark, one_day):
+    """A person with a third of all rows, on many days or on one: no range holds much more
+    than its share, and the numbers equal plain windows."""
+    from staylink.operators.scan import BLOCK, with_block
 
     df = _random_episodes(spark, 7, n_persons=60)
     hot = df.withColumn("person_id", F.when(F.col("episode_id") % 3 == 0, F.lit(3)).otherwise(F.col("person_id")))
+    if one_day:
+        day = F.lit(dt.date(2004, 5, 6))
+        hot = hot.withColumns({c: F.when(F.col("person_id") == 3, day).otherwise(F.col(c)) for c in ("start_date", "end_date")})
     n, n_hot = hot.count(), hot.filter(F.col("person_id") == 3).count()
     assert n_hot * 3 >= n
-    plan = plan_blocks(hot, ["person_id"], 90, hot_rows=n // 10)
-    assert plan.hot == (3,)
-    groups = with_block(hot, "start_date", plan, "person_id").groupBy("person_id", BLOCK).count()
-    assert groups.agg(F.max("count")).first()[0] < n_hot / 10
-    split = sequence_episodes(hot, study=Study(block_days=90, hot_rows=n // 10))
-    whole = sequence_episodes(hot, study=Study(hot_rows=10**9))
-    cols = ["episode_id", "file_seq", "person_seq", "hip_cumcount", "index_seq", "hip_seq"]
-    assert sorted(split.select(*cols).collect()) == sorted(whole.select(*cols).collect())
-
-
-def test_block_length_adapts_to_the_hot_person(spark):
-    """With no useful cap, a hot person's blocks hold about hot_rows rows each."""
-    from staylink.operators.scan import BLOCK, plan_blocks, with_block
-
-    df = _random_episodes(spark, 8, n_persons=60)
-    hot = df.withColumn("person_id", F.when(F.col("episode_id") % 3 == 0, F.lit(3)).otherwise(F.col("person_id")))
-    n = hot.count()
-    plan = plan_blocks(hot, ["person_id"], 10**6, hot_rows=n // 20, date_col="start_date")
-    groups = with_block(hot, "start_date", plan, "person_id").filter(F.col("person_id") == 3).groupBy(BLOCK).count()
-    sizes = [r["count"] for r in groups.collect()]
-    assert len(sizes) >= 4 and max(sizes) <= 2 * (n // 20)
-    split = sequence_episodes(hot, study=Study(block_days=10**6, hot_rows=n // 20))
-    whole = sequence_episodes(hot, study=Study(hot_rows=10**9))
-    cols = ["episode_id", "file_seq", "person_seq", "hip_cumcount", "index_seq", "hip_seq"]
-    assert sorted(split.select(*cols).collect()) == sorted(whole.select(*cols).collect())
-
-
-def test_key_offsets_over_sparse_keys(spark):
-    """WIN-1's building block: exclusive running totals over keys in key order, with at
-    most n_buckets id ranges (the only table summed in one partition)."""
-    from staylink.operators.scan import key_offsets
-
-    rnd = random.Random(9)
-    keys = sorted(rnd.sample(range(10**12), 500))
-    rows = [(k, rnd.randint(1, 9)) for k in keys]
-    totals = spark.createDataFrame(rows, "k long, n long")
-    got = {r.k: r._koff for r in key_offsets(totals, "k", "n", keys[0], keys[-1], n_buckets=16).collect()}
-    run, expected = 0, {}
-    for k, n in rows:
-        expected[k] = run
-        run += n
-    assert got == expected
-    width = -(-(keys[-1] - keys[0] + 1) // 16)
-    assert len({(k - keys[0]) // width for k in keys}) <= 16
+    sizes = with_block(hot, ["person_id"], ["start_date", "end_date", "episode_id"], 10).groupBy("person_id", BLOCK).count()
+    assert sizes.agg(F.max("count")).first()[0] <= n / 5
+    o = ["start_date", "end_date", "episode_id"]
+    w = W.partitionBy("person_id").orderBy(*o)
+    want = hot.select("episode_id", F.row_number().over(W.orderBy("person_id", *o)).alias("file_seq"), F.row_number().over(w).alias("person_seq"), F.sum("hip_flag").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("hip_cumcount"))
+    got = sequence_episodes(hot, study=Study(ranges=10)).select("episode_id", "file_seq", "person_seq", "hip_cumcount")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

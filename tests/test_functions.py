@@ -6,12 +6,16 @@ from staylink.functions import dates, flags
 
 
 def test_parse_dmy_layouts_and_bad_dates(spark):
-    rows = [("01/07/2005",), ("1/7/2005",), ("01JUL2005",), ("01 Jul 2005",), ("01-07-2005",),
-            ("31/02/2006",), ("NA",), ("",), (None,)]
+    good = ["01/07/2005", "1/7/2005", "01JUL2005", "01 Jul 2005", "01-07-2005", "01-Jul-2005", "01/Jul/2005", "1 July 2005",
+            "01/07/05", "1.7.05", "01072005", "010705", "1july05", " 1  JULY, 2005 "]
+    bad = ["31/02/2006", "NA", "", None, "01/13/2005", "1 Juli 2005", "1 Foo 2005", "2005-07-01", "0107200", "1/7/205"]
+    rows = [(x,) for x in good + bad]
     df = spark.createDataFrame(rows, "s string")
     got = [r[0] for r in df.select(dates.parse_dmy("s")).collect()]
     d = dt.date(2005, 7, 1)
-    assert got == [d, d, d, d, d, None, None, None, None]
+    assert got == [d] * len(good) + [None] * len(bad)
+    old = spark.createDataFrame([("1/7/69",), ("1/7/68",)], "s string").select(dates.parse_dmy("s")).collect()
+    assert [r[0].year for r in old] == [1969, 2068]
 
 
 def test_parse_ymd(spark):

@@ -13,7 +13,10 @@ from compare import TABLES, canon  # noqa: E402
 
 from .conftest import SF001  # noqa: E402
 
-NAMES = sorted(E.queries())
+from staylink.plans.oracle import oracle_sql  # noqa: E402
+from staylink.plans.queries import QUERIES  # noqa: E402
+
+NAMES = sorted(QUERIES)  # the training-data queries have tests of their own
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +30,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) == set(oracle_sql()) and set(QUERIES) <= set(E.queries())
 
 
 def test_entry_smoke(spark):

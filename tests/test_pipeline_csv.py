@@ -1,6 +1,7 @@
 """The whole analysis from text extracts with the course's own column names."""
 
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
@@ -41,11 +42,11 @@ def test_from_csv_end_to_end(spark, tmp_path):
     assert (s1.stay_seq, s1.trans_seq, s2.stay_seq, s2.trans_seq) == (2, 0, 2, 1)
     assert s2.sepdate_last == dt.date(2007, 9, 20) and s1.totlos == 17
     sc = {r.NOF_PPN: r for r in a.scored.collect()}
-    assert sc[1710].next_admission_date == dt.date(2008, 3, 1) and sc[1710].event == 1
-    assert sc[1710].time_to_next == (dt.date(2008, 3, 1) - dt.date(2007, 9, 20)).days
+    assert sc["1710"].next_admission_date == dt.date(2008, 3, 1) and sc["1710"].event == 1
+    assert sc["1710"].time_to_next == (dt.date(2008, 3, 1) - dt.date(2007, 9, 20)).days
     # person 3399 has two death records and no later episode: the later one is kept
-    assert sc[3399].death_date == dt.date(2012, 1, 1) and sc[3399].event == 0
-    assert sc[3399].censor_date == dt.date(2012, 1, 1)
+    assert sc["3399"].death_date == dt.date(2012, 1, 1) and sc["3399"].event == 0
+    assert sc["3399"].censor_date == dt.date(2012, 1, 1)
     assert km_table(a.scored, "cci_label").filter(F.col("n_event") > 0).count() == 1
 
 
@@ -62,8 +63,6 @@ def test_answers_on_the_fixture(spark):
 
 
 def test_answers_cli(spark, tmp_path):
-    import os
-
     from staylink.plans.answers import main
 
     ep = [("1", "01/08/1997", "05/08/1997", "70", "1-URGENT", "F"), ("1", "01/09/1998", "02/09/1998", "71", "5-LOW", "F")]
@@ -88,12 +87,47 @@ def test_diagnoses_use_the_charlson_map(spark, tmp_path):
     probe = Analysis.from_csv(spark, ep_path, d_path, STUDY, COLS, DCOLS, episode_columns=EP_COLS)
     ids = {r.NOF_PPN: r.episode_id for r in probe.stays.collect()}
     dx = spark.createDataFrame(
-        [(ids[1], "I21.9"), (ids[1], "E11.2"), (ids[1], "E11.9"), (ids[2], "C78.0"), (ids[2], "C18.7")],
-        "episode_id long, code string",
+        [(ids["1"], "I21.9"), (ids["1"], "E11.2"), (ids["1"], "E11.9"), (ids["2"], "C78.0"), (ids["2"], "C18.7")],
+        "episode_id string, code string",
     )
     a = Analysis.from_csv(spark, ep_path, d_path, STUDY, COLS, DCOLS, episode_columns=EP_COLS, diagnoses=dx)
     got = {r.NOF_PPN: (r.cci_score, r.cci_label) for r in a.scored.collect()}
-    assert got == {1: (3, "CCI 3+"), 2: (6, "CCI 3+")}
+    assert got == {"1": (3, "CCI 3+"), "2": (6, "CCI 3+")}
+
+
+def test_spellings_of_one_episode_are_one(spark, tmp_path):
+    """Typed first, then distinct: two spellings of the same dates are one episode; a null before
+    or after a value makes two. Ids stay text."""
+    ep = [
+        ("P77", "02/02/2009", "12/02/2009", "80", "S72.10", "9"), ("P77", "2/2/2009", "12-Feb-2009", "80", "S72.10", "9"),
+        ("P78", "02/02/2009", "12/02/2009", "80", "S72.10", None), ("P78", "02/02/2009", "12/02/2009", "80", None, "S72.10"),
+    ]
+    write_text_csv(spark.createDataFrame(ep, ", ".join(f"{c} string" for c in EP_COLS)), str(tmp_path / "ep"))
+    write_text_csv(spark.createDataFrame([("P9", "01/01/2010", "70")], "NOF_ppn string, death_date string, age_recode string"), str(tmp_path / "d"))
+    a = Analysis.from_csv(spark, str(tmp_path / "ep"), str(tmp_path / "d"), STUDY, COLS, DCOLS, episode_columns=EP_COLS)
+    assert sorted((r.NOF_PPN, r.person_seq) for r in a.sequenced.collect()) == [("P77", 1), ("P78", 1), ("P78", 2)]
+    # without a long table, the episodes' own codes are scored
+    assert {r.NOF_PPN: r.cci_score for r in a.scored.collect()}["P77"] == 0
+    paths = list(a.stage_paths)
+    a.close()
+    assert paths and not any(os.path.exists(p.removeprefix("file:")) for p in paths)
+
+
+def test_changed_input_gives_the_new_answer(spark, tmp_path):
+    import shutil
+
+    from staylink.plans.queries import QUERIES
+
+    from .conftest import SF001
+
+    for t in ("orders", "lineitem", "customer", "part"):
+        shutil.copy(f"{SF001}/{t}.parquet", tmp_path / f"{t}.parquet")
+    first = QUERIES["cohort_size"](spark, str(tmp_path)).collect()
+    half = spark.read.parquet(f"{SF001}/orders.parquet").filter("o_orderkey % 2 = 0").toPandas()
+    os.chmod(tmp_path / "orders.parquet", 0o644)
+    half.to_parquet(tmp_path / "orders.parquet", coerce_timestamps="us")
+    again = QUERIES["cohort_size"](spark, str(tmp_path)).collect()
+    assert again[0].n_episodes < first[0].n_episodes
 
 
 def test_written_stages_equal_the_lazy_plan(spark):

@@ -19,24 +19,16 @@ def test_no_python_udf(spark, name):
         assert node not in plan
 
 
-def test_sequences_shuffle_rows_by_person_and_block(spark):
+def test_sequences_read_written_ranges(spark):
+    """The scan reads the written ranges (twice: rows and totals), shuffles them by person and
+    range, and gathers no raw rows in one partition."""
     from staylink.config import Study
     from staylink.operators.episodes import sequence_episodes
 
     a = Analysis(spark, SF001, materialize_stages=False)
-    plan = _plan(sequence_episodes(a.episodes, study=Study(hot_rows=None), with_file_seq=False))
+    plan = _plan(sequence_episodes(a.episodes, study=Study(ranges=4), with_file_seq=False))
     assert "hashpartitioning(person_id" in plan and "_blk" in plan
-    # no exchange that gathers raw rows into one partition
-    assert "SinglePartition" not in plan
-
-
-def test_whole_person_scan_is_one_window(spark):
-    from staylink.operators.episodes import sequence_episodes
-
-    a = Analysis(spark, SF001, materialize_stages=False)
-    plan = _plan(sequence_episodes(a.episodes, with_file_seq=False))
-    assert "_blk" not in plan and "SinglePartition" not in plan
-    assert plan.count("Exchange hashpartitioning(person_id") == 1
+    assert "SinglePartition" not in plan and "rangepartitioning" not in plan
 
 
 def test_filters_reach_the_scan(spark):

@@ -28,11 +28,10 @@ def _rows(eps):
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(episode, min_size=1, max_size=25), st.sampled_from([(2, None), (7, None), (365, 10**6)]))
-def test_stays_property(spark, eps, mode):
+@given(st.lists(episode, min_size=1, max_size=25), st.sampled_from([1, 3, 8]))
+def test_stays_property(spark, eps, ranges):
     rows = _rows(eps)
-    block_days, hot_rows = mode
-    got = transfer_stays(spark.createDataFrame(rows, SCHEMA), study=Study(block_days=block_days, hot_rows=hot_rows))
+    got = transfer_stays(spark.createDataFrame(rows, SCHEMA), study=Study(ranges=ranges))
     exp = _py_stays(rows, {"P"})
     assert {r.episode_id: (r.stay_seq, r.trans_seq, r.stay_size, r.sepdate_last) for r in got.collect()} == {
         k: (v[0], v[1], v[2], v[4]) for k, v in exp.items()
@@ -40,13 +39,12 @@ def test_stays_property(spark, eps, mode):
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(episode, min_size=1, max_size=25), st.sampled_from([(3, None), (365, 10**6)]))
-def test_sequences_property(spark, eps, mode):
+@given(st.lists(episode, min_size=1, max_size=25), st.sampled_from([1, 4]))
+def test_sequences_property(spark, eps, ranges):
     rows = _rows(eps)
-    block_days, hot_rows = mode
     df = spark.createDataFrame(rows, SCHEMA).drop("mode").withColumnRenamed("hip_flag", "hip_flag")
     got = {r.episode_id: (r.file_seq, r.person_seq, r.hip_seq, r.index_seq)
-           for r in sequence_episodes(df, study=Study(block_days=block_days, hot_rows=hot_rows)).collect()}
+           for r in sequence_episodes(df, study=Study(ranges=ranges)).collect()}
     order = sorted(rows, key=lambda r: (r[0], r[2], r[3], r[1]))
     exp, pos, per, hip, first = {}, 0, {}, {}, {}
     for r in order:
