@@ -5,7 +5,7 @@
 2. Documents are dealt into blocks of bounded bytes. Blocks send each different anchor
    once; anchors that two documents share are *recurring passages* to confirm.
 3. Each block compiles the phrases of its own recurring anchors into an Aho-Corasick
-   automaton over words (the automata are shards of the corpus-wide one) and streams its
+   automaton over its words (the automata are shards of the corpus-wide one) and streams its
    documents through it. The windows around every occurrence are candidates.
 4. Blocks send each candidate window once with its smallest document; the smallest over all
    blocks comes back, and confirms the windows that start in an earlier document.
@@ -50,13 +50,27 @@ def anchors(words: Words, hashes: np.ndarray, window: int, size: int) -> tuple[n
     return start, start + where, best
 
 
-def automaton(phrases: np.ndarray):
-    """Aho-Corasick over word numbers: one phrase (a row) per key."""
+#: Words are spelled in digits of this base: a node of the automaton then has few children,
+#: which it searches one by one.
+BASE = 64  # 6 bits
+
+
+def spelled(numbers: np.ndarray, digits: int) -> np.ndarray:
+    """Each number as `digits` letters; every place has letters of its own, so that a match can
+    only start at a word."""
+    place = np.arange(digits)
+    return (numbers[..., None] // BASE**place % BASE + BASE * place + 1).astype(np.uint32).reshape(*numbers.shape[:-1], -1)
+
+
+def automaton(phrases: np.ndarray, digits: int):
+    """Aho-Corasick over spelled words: one phrase of word numbers (a row) per key."""
     import ahocorasick
 
-    out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for phrase in phrases.tolist():
-        out.add_word(tuple(phrase))
+    out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    size = phrases.shape[1] * digits
+    letters = spelled(phrases, digits).tobytes().decode("utf-32-le")
+    for at in range(0, len(letters), size):
+        out.add_word(letters[at : at + size])
     out.make_automaton()
     return out
 
@@ -69,12 +83,15 @@ def occurrences(words: Words, hashes: np.ndarray, recurring: np.ndarray, size: i
     first = first[np.isin(mine, recurring)]
     if not len(first):
         return found
-    _, number = np.unique(hashes, return_inverse=True)
-    machine = automaton(number[at[first][:, None] + np.arange(size)])
+    different, number = np.unique(hashes, return_inverse=True)
+    digits = max(1, -(-(len(different) - 1).bit_length() // 6))
+    machine = automaton(number[at[first][:, None] + np.arange(size)], digits)
+    letters = spelled(number, digits)
     for lo, hi in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
         if hi - lo >= size:
-            ends = [e for e, _ in machine.iter(tuple(number[lo:hi].tolist()))]
-            found[lo + np.array(ends, np.int64) - size + 1] = True
+            text = letters[lo * digits : hi * digits].tobytes().decode("utf-32-le")
+            ends = np.array([e for e, _ in machine.iter(text)], np.int64)
+            found[lo + (ends + 1) // digits - size] = True
     return found
 
 
