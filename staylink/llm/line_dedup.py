@@ -112,7 +112,7 @@ def within(a: list[np.ndarray], b: list[np.ndarray], tau: int) -> np.ndarray:
         match |= (left == right[:, d : d + wide]).T.astype(np.uint16) << np.uint16(d)
     full = np.uint16((1 << (2 * tau + 1)) - 1)
     rows = [np.full(len(a), ((1 << (e + 1)) - 1) << tau & int(full), np.uint16) for e in range(tau + 1)]
-    final = [r.copy() for r in rows]
+    final = [np.where(n == 0, r, 0).astype(np.uint16) for r in rows]
     for i in range(wide):
         new = [rows[0] & match[i]]
         for e in range(1, tau + 1):
@@ -123,6 +123,8 @@ def within(a: list[np.ndarray], b: list[np.ndarray], tau: int) -> np.ndarray:
         if ends.any():
             for e in range(tau + 1):
                 final[e][ends] = rows[e][ends]
+        if not rows[tau].any():  # no pair of these can still be within tau edits
+            break
     good = (final[tau] >> (m - n + tau).astype(np.uint16)) & np.uint16(1)
     out[at] = good.astype(bool)
     return out
