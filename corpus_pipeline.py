@@ -19,11 +19,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go, and documents that consisted of such lines alone.
+    """Lines that repeat an earlier line go, equal ones at any length, and documents that consisted of such lines alone.
 
     n_chars is counted anew where the text changed. Other documents stay, empty ones too.
     """
-    kept = line_dedup.dedup_lines(docs.select(*COLUMNS), carry=("lang", "source", "n_chars"))
+    kept = line_dedup.dedup_lines(docs.select(*COLUMNS), carry=("lang", "source", "n_chars"), short=True)
     kept = kept.filter(~((F.col("n_removed") > 0) & F.col("text").rlike(r"^\s*$")))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", n_chars).select(*COLUMNS)

@@ -156,8 +156,11 @@ def _spread(rows: DataFrame, group: str, item: str, chunk: int) -> DataFrame:
     return dealt.select(*rows.columns, F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), (F.col("c") > F.col("o")).cast("int").alias("side"))
 
 
-def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, chunk: int = CHUNK) -> DataFrame:
-    """docs (doc_id, text) to (doc_id, gone): the numbers (from 0) of the lines to remove."""
+def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, chunk: int = CHUNK, short: bool = False) -> DataFrame:
+    """docs (doc_id, text) to (doc_id, gone): the numbers (from 0) of the lines to remove.
+
+    short: non-empty lines of fewer than min_chars characters are grouped too, by equality alone.
+    """
     docs = docs.filter("doc_id is not null and text is not null")
 
     def mapped(schema: str, emit) -> DataFrame:
@@ -165,16 +168,18 @@ def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, c
             for batch in batches:
                 for part in slices(batch, "text"):
                     lines = Lines(part.column("text").to_pylist())
-                    yield from emit(part.column("doc_id"), lines, lines.long(min_chars))
+                    yield from emit(part.column("doc_id"), lines)
 
         return docs.mapInArrow(run, schema)
 
-    def places(ids, lines, at):
+    def places(ids, lines):
+        at = lines.long(1 if short else min_chars)
         where = pa.array(lines.doc[at])
         yield pa.RecordBatch.from_arrays([ids.take(where), pa.array(lines.number[at].astype(np.int32)), pa.array(signed(lines.hashes(at))), pa.array(signed(lines.hashes(at, _ODD2)))], ["doc_id", "no", "h", "h2"])
 
     def segments(probe: bool):
-        def emit(ids, lines, at):
+        def emit(ids, lines):
+            at = lines.long(min_chars)
             h = lines.hashes(at)
             _, one = np.unique(h, return_index=True)  # a line that repeats in the slice signs once
             at, h = at[one], h[one]
@@ -239,7 +244,8 @@ def dedup_lines(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc
     """carry columns, (doc_id, text, n_lines, n_removed, kept_sha256): text without the lines that
     repeat an earlier one, within tau edits in characters.
 
-    Lines end at a line feed. Lines of fewer than min_chars characters always stay. Lines are
+    Lines end at a line feed. Lines of fewer than min_chars characters stay; with short, those
+    that equal an earlier line go too, and only empty lines always stay. Lines are
     judged on the input: a removed line still counts as earlier. Null texts stay null with no
     lines; rows with a null id keep all lines and repeat nothing; rows of equal id count as
     one document (equal places do not repeat each other).

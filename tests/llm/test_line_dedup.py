@@ -69,5 +69,14 @@ def test_equals_brute_force(spark, rng):
         assert sorted(((r.doc_id, r.text) for r in got), key=repr) == brute(rows, 2, 12)
 
 
+def test_equal_short_lines(spark):
+    """Lines below the floor of the edit join go if an equal line stands earlier; near ones and empty ones stay."""
+    rows = [(1, "All rights reserved.\nown text"), (2, "All rights reserved.\n\n\n*"), (3, "All rights reserved!\n*\nother text\n"), (4, "x" * 30 + "\nAll rights reserved."), (5, "x" * 29 + "y\n*")]
+    docs = frame(spark, rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in dedup_lines(docs, short=True).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\n\n*", 1), 3: ("All rights reserved!\nother text\n", 1), 4: ("x" * 30, 1), 5: ("", 2)}
+    assert sum(r.n_removed for r in dedup_lines(docs).collect()) == 1
+
+
 def test_empty_table(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -35,6 +35,13 @@ def test_stages_decide(spark, rng):
         assert stages[name](spark, docs.limit(0), SF).count() == 0
 
 
+def test_line_stage_takes_short_copies(spark):
+    rows = [(1, "Share this\nfirst own line", "en", "s", 25), (2, "Share this\nsecond own line", "en", "s", 26)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in pipeline.drop_repeated_lines(spark, docs, SF).collect()}
+    assert got == {1: ("Share this\nfirst own line", 25), 2: ("second own line", 15)}
+
+
 def test_run_covers_what_the_stages_keep(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in pipeline.STAGES[:-1]:
