@@ -14,6 +14,8 @@
    much, or that are one component already. Large groups are cut into chunks, and each
    pair of chunks is a task of its own.
 5. Pairs that survive are verified on the sets. Components follow from the verified links.
+6. Where the links themselves are wanted, the trees are traversed once more within every
+   component and group, without the component test, and what they add is verified too.
 """
 
 from __future__ import annotations
@@ -325,9 +327,9 @@ class Join:
         """(a, b): verified links between classes that connect every pair of linked classes."""
         percent = self.percent
         prefixes = self._prefixes()
-        bitmaps = written(self._bitmaps().dropDuplicates(["cls"]), "bitmaps")
+        bitmaps = self.bitmaps = written(self._bitmaps().dropDuplicates(["cls"]), "bitmaps")
         groups = prefixes.groupBy("g").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high")
-        shared = written(prefixes.join(groups, "g").distinct(), "shared")
+        shared = self.shared = written(prefixes.join(groups, "g").distinct(), "shared")
         # a copy's own changes are shared with no one, so the class that meets most others is the
         # one nearest to all: the hub of its groups
         sizes = shared.groupBy("g").agg(F.count("*").alias("size")).filter("size > 3")
@@ -354,12 +356,24 @@ class Join:
         first = self._verified(star.mapInArrow(bound, "a long, b long"), "star")
         return first.unionByName(self._tree_links(shared, bitmaps, components(first)))
 
+    def every_link(self, links: DataFrame, comps: DataFrame) -> DataFrame:
+        """(a, b), a < b: every link between classes, from links() and its components."""
+        # linked classes share a prefix shingle and are one component; classes without a link are in none
+        own = self.shared.join(comps.withColumnRenamed("node", "cls"), "cls").select(F.xxhash64("g", "component").alias("g"), "cls", "n", F.col("component").alias("comp"))
+        groups = own.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1")
+        pairs = self._candidates(own, groups, self.bitmaps, apart=False)
+        return links.select("a", "b").unionByName(self._verified(pairs.join(links, ["a", "b"], "left_anti"), "within"))
+
     def _tree_links(self, shared: DataFrame, bitmaps: DataFrame, comps: DataFrame) -> DataFrame:
-        percent, chunk = self.percent, self.chunk
         own = shared.select("g", "cls", "n").join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("g", "cls", "n", F.coalesce("component", "cls").alias("comp"))
         open_ = own.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"))
         # up to three classes, the star has compared every pair
         open_ = open_.filter("x <> y and size > 3")
+        return self._verified(self._candidates(own, open_, bitmaps, apart=True), "tree")
+
+    def _candidates(self, own: DataFrame, open_: DataFrame, bitmaps: DataFrame, apart: bool) -> DataFrame:
+        """(a, b), a < b: pairs of the open groups that no bound of the trees excludes. apart: of two components only."""
+        percent, chunk = self.percent, self.chunk
         chunks = F.ceil(F.col("size") / chunk).cast("int")
         # a class links with no one in the group if not even the next smaller or larger is near its size
         by_size = Window.partitionBy("g").orderBy("n", "cls")
@@ -377,15 +391,17 @@ class Join:
         def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table in runs(batches, order):
                 n, cls, comp, side = (np.asarray(table.column(c), dtype=np.int64) for c in ("n", "cls", "comp", "side"))
+                if not apart:  # each class for itself, in order of size
+                    comp = np.argsort(np.lexsort((cls, n)))
                 for a, b in tree_pairs(cls, n, table.column("bits").to_pylist(), comp, side, percent):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        pairs = rows.mapInArrow(traverse, "a long, b long").distinct()
-        return self._verified(pairs, "tree")
+        return rows.mapInArrow(traverse, "a long, b long").filter("a < b").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row.
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", n_links: bool = False, **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row; with n_links, also the number of other
+    rows that it links with, copies included. (Join.every_link gives the pairs of classes.)
 
     Documents link when 100 * |x & y| >= percent * |x | y| on their sets of distinct k-word
     shingles. Null and empty texts, and texts without words, have no shingles and link with
@@ -400,8 +416,16 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
     named = join.rows.join(nodes.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", F.coalesce("component", "cls").alias("c"))
     smallest = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     of_id = named.join(smallest, "c").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = join.all_rows.join(of_id, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    rest = sizes_of(own.filter("doc_id is null"), k).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    rows, counted = join.all_rows.join(of_id, "doc_id", "left"), []
+    if n_links:
+        sizes = join.rows.groupBy("cls").agg(F.count("*").alias("size"))
+        every = join.every_link(links, nodes)
+        both = every.unionByName(every.selectExpr("b a", "a b"))
+        others = both.join(sizes.withColumnRenamed("cls", "b"), "b").groupBy("a").agg(F.sum("size").alias("others"))
+        per_class = sizes.join(others.withColumnRenamed("a", "cls"), "cls", "left").select("cls", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+        rows, counted = rows.join(per_class, "cls", "left"), [F.coalesce("links", F.lit(0)).alias("n_links")]
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *counted)
+    rest = sizes_of(own.filter("doc_id is null"), k).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias("n_links") for _ in counted])
     return out.unionByName(rest)
 
 

@@ -41,6 +41,22 @@ def test_equals_brute_force(spark, rng):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows, 5, 80)
 
 
+def test_counts_every_link(spark, rng):
+    """A family of similar texts has a link for every pair, not only those that connect it."""
+    base = [prose(rng, n) for n in (120, 300, 6)]
+    rows = [(i, changed(rng, base[i % 2], rng.randrange(4))) for i in range(60)] + [(100 + i, base[0]) for i in range(4)]
+    rows += [(200, base[2]), (201, base[2].upper()), (202, None), (203, ""), (None, base[0]), (200, base[1])]
+    sets = [shingles(t, 4) if i is not None else set() for i, t in rows]
+    want = [(i, sum(b != a and bool(sets[a]) and bool(sets[b]) and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) for b in range(len(rows)))) for a, (i, _) in enumerate(rows)]
+    assert max(n for _, n in want) > 20
+    docs = frame(spark, rows, "doc_id long, text string", clash=("cls", "size", "links", "others"))
+    for chunk, frequent in ((4096, 100_000), (5, 0)):
+        got = near_duplicates(docs, chunk=chunk, frequent=frequent, n_links=True).collect()
+        assert sorted(((r.doc_id, r.n_links) for r in got), key=repr) == sorted(want, key=repr)
+    empty = near_duplicates(spark.createDataFrame([], "doc_id long, text string"), n_links=True)
+    assert empty.columns == ["doc_id", "n_shingles", "component_id", "n_links"] and empty.count() == 0
+
+
 def test_traversal_loses_no_pair():
     r = np.random.default_rng(5)
     centre = r.random((6, 512)) < 0.1
