@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staylink.llm import chat_format, decontam, lattice_dedup, line_dedup, packing, phrase_dedup, signature_join, token_count, toxicity, url_filter
+from staylink.llm import chat_format, decontam, fill_middle, lattice_dedup, line_dedup, packing, phrase_dedup, signature_join, token_count, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_phrase_dedup": phrase_dedup.op1_phrase_dedup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": signature_join.op8_ngram_jaccard_join,
     "op9_token_counts": token_count.op9_token_counts,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_embedding_near_dedup": lattice_dedup.SQL,
     "op6_decontamination": decontam.SQL,
     "op8_ngram_jaccard_join": signature_join.SQL,
+    "op11_fill_middle": fill_middle.SQL,
 }
