@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylink.llm.shared import runs, written
-from staylink.llm.words import _ODD, _ODD2, U64, _ranges_hash, mix, signed, slices
+from staylink.llm.words import _ODD, _ODD2, U64, _ranges_hash, mix, signed, slices, spans_hash
 
 #: Edits that still make two lines copies, and the characters of the shortest line that counts.
 TAU, MIN_CHARS = 2, 24
@@ -46,8 +46,8 @@ class Lines:
     def long(self, least: int) -> np.ndarray:
         return np.flatnonzero(self.ends - self.starts >= least)
 
-    def hashes(self, at: np.ndarray, base=_ODD) -> np.ndarray:
-        return _ranges_hash(self.values, self.starts[at], self.ends[at], base)
+    def hashes(self, at: np.ndarray, salt=_ODD) -> np.ndarray:
+        return spans_hash(self.values, self.starts[at], self.ends[at], None, salt)
 
     def text(self, i: int) -> str:
         return self.points[self.starts[i] : self.ends[i]].tobytes().decode("utf-32-le", "surrogatepass")

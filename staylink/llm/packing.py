@@ -27,8 +27,9 @@ from staylink.llm.shared import columns, written
 from staylink.llm.token_count import ByteLetters, Cutter, special_pattern
 from staylink.llm.words import Words, slices
 
-#: Words whose ids one worker remembers; emptied when full.
-CACHE = 600_000
+#: Runs (and half as many words) whose ids one worker remembers; emptied when full. Longer ones
+#: than CACHED_BYTES are not kept: about 60 MB at most.
+CACHE, CACHED_BYTES = 250_000, 64
 
 
 class WordIds:
@@ -58,7 +59,9 @@ class WordIds:
         if len(self.table) >= CACHE // 2:
             self.table.clear()
         found = self.tokenizer.model.tokenize(self.letters(word))
-        self.table[word] = out = np.array([t.id for t in found], "<u4").tobytes()
+        out = np.array([t.id for t in found], "<u4").tobytes()
+        if len(word) <= CACHED_BYTES:
+            self.table[word] = out
         return out
 
     def _cut(self, text: str) -> bytes:
@@ -67,7 +70,9 @@ class WordIds:
     def _run(self, run: bytes) -> bytes:
         if len(self.runs) >= CACHE:
             self.runs.clear()
-        self.runs[run] = out = self._cut(run.decode())
+        out = self._cut(run.decode())
+        if len(run) <= CACHED_BYTES:
+            self.runs[run] = out
         return out
 
     def _folded(self, text: str) -> str:
@@ -91,6 +96,8 @@ class WordIds:
         rest = dict.fromkeys(alone)
         words = Words(pa.array(["" if i in rest else t for i, t in enumerate(folded)], pa.large_string()))
         _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        # equal hashes are not yet equal runs: texts with a run unlike its group's first are encoded alone
+        rest |= dict.fromkeys((np.searchsorted(words.first, np.flatnonzero(words.strangers(first, which)), "right") - 1).tolist())
         raw, known = words.raw.tobytes(), self.runs.get
         ids = [known(r) or self._run(r) for s, e in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True) if (r := raw[s:e])]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from staylink.llm.shared import columns
 from staylink.llm.words import Words, slices
 
-#: Merged pre-tokens that one worker remembers; the cache is emptied when it is full.
-CACHE = 600_000
+#: Merged pre-tokens, and runs, that one worker remembers; a cache is emptied when it is full.
+#: Longer strings than CACHED_BYTES are not kept: about 30 MB a cache at most.
+CACHE, CACHED_BYTES = 250_000, 64
 #: Runs of the shortcut end at a space only.
 ONE_SPACE = np.arange(256) == 0x20
 
@@ -119,7 +120,9 @@ class WholeTokens:
         """Tokens of a pre-token that the merges make; forgets earlier ones when the cache is full."""
         if len(self.table) >= len(self.whole) + CACHE:
             self.table = dict.fromkeys(self.whole, 1)
-        self.table[piece] = n = len(self.tokenizer.model.tokenize(self.letters(piece)))
+        n = len(self.tokenizer.model.tokenize(self.letters(piece)))
+        if len(piece) <= CACHED_BYTES:
+            self.table[piece] = n
         return n
 
     def _pieces(self, text: str) -> int:
@@ -128,7 +131,9 @@ class WholeTokens:
     def _run(self, run: bytes) -> int:
         if len(self.spaced) >= CACHE:
             self.spaced.clear()
-        self.spaced[run] = n = self._pieces(" " + run.decode())
+        n = self._pieces(" " + run.decode())
+        if len(run) <= CACHED_BYTES:
+            self.spaced[run] = n
         return n
 
     def _whole_text(self, text: str) -> int:
@@ -150,6 +155,8 @@ class WholeTokens:
         }
         words = Words(pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.large_string()), ONE_SPACE)
         _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        # equal hashes are not yet equal runs: texts with a run unlike its group's first are counted alone
+        odd |= set((np.searchsorted(words.first, np.flatnonzero(words.strangers(first, which)), "right") - 1).tolist())
         raw, known = words.raw.tobytes(), self.spaced.get
         found = [known(r) or self._run(r) for s, e in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True) if (r := raw[s:e])]
         each = np.array(found, np.int64)[which] if found else np.zeros(0, np.int64)

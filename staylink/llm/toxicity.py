@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylink.llm.shared import columns
-from staylink.llm.words import _BYTE, _ODD, Words, _ranges_hash, slices
+from staylink.llm.words import Words, slices, spans_hash
 
 #: Labelled rows that a fit reads (expected size of the sample; all where there are fewer).
 TRAIN_ROWS = 20_000
@@ -99,7 +99,7 @@ MATCH = {s: [_INDEX[(k, m)] for m in GRAMMAR.marks] for s, k in ((INSULT, "insul
 
 def word_hash(word: str) -> int:
     raw = np.frombuffer(word.encode(), np.uint8)
-    return int(_ranges_hash(_BYTE[raw], np.array([0]), np.array([len(raw)]), _ODD)[0])
+    return int(spans_hash(raw, np.array([0]), np.array([len(raw)]))[0])
 
 
 @dataclass
@@ -127,7 +127,6 @@ class Model:
         words = Words(pc.utf8_lower(texts.cast(pa.large_string())), _SEPARATORS)
         n = len(words.starts)
         symbol, weight = np.zeros(n, np.int8), np.zeros(n)
-        values = _BYTE[words.raw]
         tables = [(size, t) for size, t in sorted(self._stems.items())] + [(None, self._words)]
         for size, (keys, kinds, weights) in tables:  # a whole word overrides a beginning, a longer beginning a shorter one
             if not len(keys) or not n:
@@ -137,7 +136,7 @@ class Model:
             else:
                 at = np.flatnonzero(words.ends - words.starts >= size)
                 ends = words.starts + size
-            h = _ranges_hash(values, words.starts[at], ends[at], _ODD)
+            h = spans_hash(words.raw, words.starts[at], ends[at])
             k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             hit = keys[k] == h
             symbol[at[hit]], weight[at[hit]] = kinds[k[hit]], weights[k[hit]]

@@ -1,13 +1,14 @@
 """Vectorised word spans and hashes over Arrow string columns.
 
 Everything works on the UTF-8 bytes of a whole slice of texts at once: word
-boundaries are byte-class changes, a word's hash is a difference of prefix sums,
-and a window of words is a difference of prefix sums over word hashes. Null
-texts are empty texts.
+boundaries are byte-class changes, a word's hash is a weighted sum of its bytes,
+and a window of words is a short polynomial over word hashes. Null texts are
+empty texts.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,30 +40,93 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=U64) * _ODD)
 
+#: Positions whose weights a worker keeps (512 KB a salt), and elements that one step of a hash handles.
+_KEPT = 1 << 16
+_STEP = 1 << 18
 
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, U64(base))
-    out[0] = 1
-    return np.multiply.accumulate(out)
+
+def _weights(first: int, last: int, salt: np.uint64) -> np.ndarray:
+    """Pseudo-random odd 64-bit weights of the positions first to last - 1."""
+    return mix(np.arange(first + 1, last + 1, dtype=U64) * _ODD2 ^ salt) | U64(1)
+
+
+@lru_cache(maxsize=4)
+def _kept_weights(salt: int) -> np.ndarray:
+    return _weights(0, _KEPT, U64(salt))
 
 
-def _pow(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, from a table that doubles when it is too short."""
-    return _powers(int(base), 1 << max(16, int(n).bit_length()))[:n]
+def spans_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = _BYTE, salt: np.uint64 = _ODD) -> np.ndarray:
+    """A hash of raw[start:end] for every span, a function of the values and their number alone.
+
+    Each place in a span has a pseudo-random weight of its own. A polynomial in one base modulo
+    2**64 has not: whatever the base, it takes some different texts of 1024 letters for equal.
+    Spans are handled in steps of bounded size; nothing larger than the weights of one step is kept.
+    Another salt gives an independent hash. raw is bytes looked up in table, or 64-bit values.
+    """
+    out = np.zeros(len(starts), U64)
+    size = (ends - starts).astype(np.int64)
+    some = np.flatnonzero(size)
+    total = np.cumsum(size[some])
+    kept = _kept_weights(int(salt))
+    lo = 0
+    while lo < len(some):
+        base = total[lo] - size[some[lo]]
+        hi = max(lo + 1, int(np.searchsorted(total, base + _STEP, "right")))
+        if hi == lo + 1 and size[some[lo]] > _KEPT:  # one long span
+            begin, end = int(starts[some[lo]]), int(ends[some[lo]])
+            for at in range(begin, end, _STEP):
+                piece = raw[at : min(at + _STEP, end)]
+                piece = piece if table is None else table[piece]
+                out[some[lo : lo + 1]] += (piece * _weights(at - begin, at - begin + len(piece), salt)).sum(dtype=U64)
+        else:
+            own, n = some[lo:hi], size[some[lo:hi]]
+            first = total[lo:hi] - n - base
+            flat = np.arange(int(n.sum()))
+            place = flat - np.repeat(first, n)
+            values = raw[flat + np.repeat(starts[own] - first, n)]
+            weight = kept if int(n.max()) <= _KEPT else _weights(0, int(n.max()), salt)
+            out[own] = np.add.reduceat((values if table is None else table[values]) * weight[place], first)
+        lo = hi
+    return mix(out + size.astype(U64) * _ODD)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, U64(base))
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
 
 _INV = {int(b): U64(pow(int(b), -1, 1 << 64)) for b in (_ODD, _ODD2)}
 
 
 def _ranges_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Position-independent polynomial hash of values[start:end] for every pair."""
+    """Position-independent polynomial hash of values[start:end] for ranges that may overlap.
+
+    Only for finding candidates: some different long texts have equal hashes.
+    """
     total = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * _pow(base, len(values)), out=total[1:])
-    inverse = _pow(_INV[int(base)], len(values) + 1)
+    np.cumsum(values * _powers(int(base), len(values)), out=total[1:])
+    inverse = _powers(int(_INV[int(base)]), len(values) + 1)
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U64) * _ODD)
 
 
+def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[start:start + size] equals the same of b, for every pair of starts; sizes above 0."""
+    out = np.ones(len(size), bool)
+    total = np.cumsum(size)
+    lo = 0
+    while lo < len(size):
+        base = total[lo] - size[lo]
+        hi = max(lo + 1, int(np.searchsorted(total, base + _STEP, "right")))
+        n = size[lo:hi]
+        begin = total[lo:hi] - n - base
+        flat = np.arange(int(n.sum()))
+        equal = a[flat + np.repeat(a_starts[lo:hi] - begin, n)] == b[flat + np.repeat(b_starts[lo:hi] - begin, n)]
+        out[lo:hi] = np.logical_and.reduceat(equal, begin)
+        lo = hi
+    return out
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts together and the offsets (one more than texts)."""
     if isinstance(texts, pa.ChunkedArray):
@@ -77,6 +141,19 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's call that gives freed memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release() -> None:
+    """Give freed memory back to the system. Workers live on from stage to stage: what one stage
+    has freed would else still count when the next one runs."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of at most max_bytes of text each (one longer text stands alone).
 
@@ -91,6 +168,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iter
         size += n
     if lo < len(lengths):
         yield batch.slice(lo)
+    release()
 
 
 class Words:
@@ -117,20 +195,32 @@ class Words:
         """The text number of every word."""
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, salt: np.uint64 = _ODD) -> np.ndarray:
         """One 64-bit hash for each word, a function of its bytes alone."""
-        return _ranges_hash(_BYTE[self.raw], self.starts, self.ends, _ODD)
+        return spans_hash(self.raw, self.starts, self.ends, salt=salt)
+
+    def strangers(self, first: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Words whose bytes differ from those of the word first[which], their group's first."""
+        size = self.ends - self.starts
+        peer = first[which]
+        odd = size != size[peer]
+        rest = np.flatnonzero(~odd & (peer != np.arange(len(peer))))
+        odd[rest] = ~same_bytes(self.raw, self.starts[rest], self.raw, self.starts[peer[rest]], size[rest])
+        return odd
 
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(start word, hash) of every run of k words inside one text."""
-        start = np.arange(max(0, len(hashes) - k + 1))
+        n = max(0, len(hashes) - k + 1)
         doc = self.doc
-        start = start[doc[start] == doc[start + k - 1]] if len(start) else start
-        return start, _ranges_hash(hashes, start, start + k, _ODD2)
+        start = np.flatnonzero(doc[:n] == doc[k - 1 : k - 1 + n])
+        h = np.zeros(n, U64)
+        for j in range(k):
+            h = h * _ODD2 + hashes[j : j + n]
+        return start, mix(h[start] + U64(k) * _ODD)
 
-    def sequences(self, hashes: np.ndarray) -> np.ndarray:
+    def sequences(self, hashes: np.ndarray, salt: np.uint64 = _ODD) -> np.ndarray:
         """One hash of each text's whole word sequence."""
-        return _ranges_hash(hashes, self.first[:-1], self.first[1:], _ODD2)
+        return spans_hash(hashes, self.first[:-1], self.first[1:], None, salt)
 
     def joined(self, i: int, keep: np.ndarray | None = None) -> bytes:
         """The words of text i (those where keep is true) joined by one space."""
