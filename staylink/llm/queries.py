@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staylink.llm import chat_format, decontam, fill_middle, lattice_dedup, line_dedup, packing, phrase_dedup, signature_join, token_count, toxicity, url_filter
+from staylink.llm import chat_format, collocations, decontam, fill_middle, lattice_dedup, license_scan, line_dedup, packing, phrase_dedup, signature_join, token_count, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_phrase_dedup": phrase_dedup.op1_phrase_dedup,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": token_count.op9_token_counts,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_license_scan": license_scan.op12_license_scan,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -30,4 +32,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": decontam.SQL,
     "op8_ngram_jaccard_join": signature_join.SQL,
     "op11_fill_middle": fill_middle.SQL,
+    "op12_license_scan": license_scan.SQL,
+    "op13_collocations": collocations.SQL,
 }

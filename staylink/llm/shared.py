@@ -39,6 +39,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Written tables of one run that are deleted together, once what was made of them is written itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/llm-{name}-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        conf = self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths.clear()
+
+
 def written_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """df as a table bucketed by key under the shared folder: groups by key need no further shuffle."""
     spark = df.sparkSession
