@@ -105,8 +105,9 @@ def comorbidity_score(
     """Per index episode: ``cci_score`` (0 when nothing matches).
 
     ``diagnoses`` is a long table (episode, code); only the index episodes' rows are used.
-    ``code_map`` is a bounded table (prefix, condition, weight), broadcast. The prefix
-    lengths it uses are read from it (a small job) unless given.
+    ``code_map`` is a table (prefix, condition, weight); it is joined by equality, so its
+    measured size decides whether it is broadcast. The prefix lengths it uses are read from it (a
+    small job) unless given.
     """
     hierarchy = CHARLSON_HIERARCHY if hierarchy is None else hierarchy
     lengths = prefix_lengths or sorted(r[0] for r in code_map.select(F.length("prefix")).distinct().collect())
@@ -118,7 +119,7 @@ def comorbidity_score(
     cut = dx.select(
         episode_col, F.explode(F.array(*[F.substring("_code", 1, n) for n in lengths])).alias("prefix")
     )
-    hit = cut.join(F.broadcast(code_map), "prefix").withColumn("_below", F.lit(None).cast("string"))
+    hit = cut.join(code_map, "prefix").withColumn("_below", F.lit(None).cast("string"))
     if hierarchy:
         # the milder form that a worse one suppresses: a literal of a few fixed pairs
         below = F.create_map(*[F.lit(x) for mild, worse in hierarchy.items() for x in (worse, mild)])

@@ -9,6 +9,7 @@ from staylink.config import EpisodeCols, Study
 from staylink.functions.dates import parse_dmy
 from staylink.functions.flags import pattern_flag, threshold_flag
 from staylink.operators.scan import drop_block, ordered_scan
+from staylink.sources.stages import StageStore
 
 
 def _id(c: str, id_type: str | None) -> Column:
@@ -74,6 +75,7 @@ def sequence_episodes(
     *,
     with_file_seq: bool = True,
     keep_block: bool = False,
+    store: StageStore | None = None,
 ) -> DataFrame:
     """DOM-3: the four counters of the reference, in one ordered scan per person.
 
@@ -102,6 +104,7 @@ def sequence_episodes(
         },
         ranges=study.ranges,
         global_position="file_seq" if with_file_seq else None,
+        store=store,
     )
     out = out.withColumns(
         {

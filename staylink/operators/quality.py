@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from staylink.config import EpisodeCols, Study
+from staylink.operators.scan import drop_block, ordered_scan
 
 
 def profile(df: DataFrame) -> DataFrame:
@@ -62,6 +63,71 @@ def spot_check(df: DataFrame, key: str, value, columns: list[str]) -> DataFrame:
     return df.filter(F.col(key) == F.lit(value)).select(*columns)
 
 
+def violations(stays: DataFrame, cols: EpisodeCols = EpisodeCols()) -> DataFrame:
+    """DQ-8 over the whole table instead of one person by eye: ``rule, n_checked, n_violations``.
+
+    - ``person_seq_gap``: a person's episodes are numbered 1, 2, .. (the cohort keeps whole persons)
+    - ``hip_seq_gap``: hip episodes are numbered 1, 2, .. within a person
+    - ``stay_seq_gap``: stays are numbered 1, 2, .. within a person
+    - ``trans_seq_gap``: a stay's episodes are numbered 0, 1, ..
+    - ``stay_totals``: a stay's size, first admission and last discharge are those of its episodes, and
+      its length their difference
+    - ``negative_stay``: no stay ends before it begins
+    - ``overlapping_stays``: no stay begins before the one before it has ended
+
+    Partial aggregates by person and by stay; the last rule is a running maximum in ranges. No
+    person's rows come together.
+    """
+    p, start, end = cols.person, F.col(cols.start), F.col(cols.end)
+    per_person = stays.groupBy(p).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("person_seq").alias("d"),
+        F.max("person_seq").alias("m"),
+        F.count_if(F.col("hip_seq") > 0).alias("hn"),
+        F.sum("hip_seq").alias("hs"),
+        F.max("hip_seq").alias("hm"),
+        F.countDistinct("stay_seq").alias("sn"),
+        F.max("stay_seq").alias("sm"),
+        F.min("stay_seq").alias("s1"),
+    )
+    # a cohort keeps all hip episodes of a person, so their numbers 1..n add up to n (n + 1) / 2
+    by_person = {
+        "person_seq_gap": (F.col("d") != F.col("n")) | (F.col("m") != F.col("n")),
+        "hip_seq_gap": (F.col("hm") != F.col("hn")) | (F.col("hs") * 2 != F.col("hn") * (F.col("hn") + 1)),
+        "stay_seq_gap": (F.col("sm") != F.col("sn")) | (F.col("s1") != 1),
+    }
+    per_stay = stays.groupBy(p, "stay_seq").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("trans_seq").alias("d"),
+        F.min("trans_seq").alias("t0"),
+        F.max("trans_seq").alias("t1"),
+        F.min(F.struct("stay_size", "admdate_first", "sepdate_last", "totlos")).alias("lo"),
+        F.max(F.struct("stay_size", "admdate_first", "sepdate_last", "totlos")).alias("hi"),
+        F.min(start).alias("adm"),
+        F.max(end).alias("sep"),
+    )
+    length = F.datediff("sep", "adm")
+    by_stay = {
+        "trans_seq_gap": (F.col("t0") != 0) | (F.col("t1") != F.col("n") - 1) | (F.col("d") != F.col("n")),
+        "stay_totals": (F.col("lo") != F.col("hi"))
+        | (F.col("lo.stay_size") != F.col("n"))
+        | (F.col("lo.admdate_first") != F.col("adm"))
+        | (F.col("lo.sepdate_last") != F.col("sep"))
+        | (F.col("lo.totlos") != length),
+        "negative_stay": length < 0,
+    }
+
+    def table(units: DataFrame, rules: dict) -> DataFrame:
+        one = units.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.coalesce(bad, F.lit(True))).alias(f"_{r}") for r, bad in rules.items()])
+        rows = [F.struct(F.lit(r).alias("rule"), F.col("_n").cast("long").alias("n_checked"), F.col(f"_{r}").cast("long").alias("n_violations")) for r in rules]
+        return one.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
+
+    ordered = ordered_scan(drop_block(stays), [p], cols.order(), {"_before": ("max_before", F.col("sepdate_last"))})
+    firsts = drop_block(ordered).filter(F.col("trans_seq") == 0)
+    overlap = {"overlapping_stays": F.col("_before").isNotNull() & (start < F.col("_before"))}
+    return table(per_person, by_person).unionByName(table(per_stay, by_stay)).unionByName(table(firsts, overlap))
+
+
 def ingest_report(typed: DataFrame, cols: EpisodeCols = EpisodeCols(), study: Study = Study()) -> DataFrame:
     """What DOM-1 drops, counted (survey rule: rejected rows are counted, not lost silently).
 

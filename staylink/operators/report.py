@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from staylink.operators.ranks import COUNT, VALUE, join_groups, quantiles, value_counts
+from staylink.operators.scan import with_block
 
-def _all_levels():
-    """A window over all rows of an aggregated table (one row per level or stratum)."""
-    return W.partitionBy(F.lit(0))
+
+def _with_total(levels: DataFrame, **totals) -> DataFrame:
+    """The rows of an aggregated table with whole-table numbers beside them: one row, broadcast, so
+    that a table of many levels is not gathered for its shares."""
+    return levels.crossJoin(F.broadcast(levels.agg(*[c.alias(n) for n, c in totals.items()])))
 
 
 def frequency(df: DataFrame, col: str, *, valid_percent: bool = False) -> DataFrame:
@@ -25,11 +29,12 @@ def frequency(df: DataFrame, col: str, *, valid_percent: bool = False) -> DataFr
     ``valid_percent`` (optional) the share among non-null values.
     """
     g = df.groupBy(col).agg(F.count(F.lit(1)).cast("long").alias("n"))
-    g = g.withColumn("percent", F.col("n") / F.sum("n").over(_all_levels()))
+    present = F.col(col).isNotNull()
+    g = _with_total(g, _all=F.sum("n"), _valid=F.sum(F.when(present, F.col("n"))))
+    out = [col, "n", (F.col("n") / F.col("_all")).alias("percent")]
     if valid_percent:
-        valid = F.sum(F.when(F.col(col).isNotNull(), F.col("n"))).over(_all_levels())
-        g = g.withColumn("valid_percent", F.when(F.col(col).isNotNull(), F.col("n") / valid))
-    return g
+        out.append(F.when(present, F.col("n") / F.col("_valid")).alias("valid_percent"))
+    return g.select(*out)
 
 
 def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str]) -> DataFrame:
@@ -50,12 +55,8 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str]) -> DataFr
 def level_summary(df: DataFrame, col: str, label: str) -> DataFrame:
     """AGG-10 (``tbl_summary`` of a count variable): ``variable, level, n, percent`` (percent 0..100)."""
     g = df.groupBy(F.col(col).alias("level")).agg(F.count(F.lit(1)).cast("long").alias("n"))
-    return g.select(
-        F.lit(label).alias("variable"),
-        "level",
-        "n",
-        (F.col("n") * 100.0 / F.sum("n").over(_all_levels())).alias("percent"),
-    )
+    g = _with_total(g, _all=F.sum("n"))
+    return g.select(F.lit(label).alias("variable"), "level", "n", (F.col("n") * 100.0 / F.col("_all")).alias("percent"))
 
 
 def median_summary(df: DataFrame, col: str, label: str) -> DataFrame:
@@ -81,42 +82,41 @@ def summary_by(df: DataFrame, by: str, col: str, label: str) -> DataFrame:
     )
 
 
-def describe(df: DataFrame, col: str, *, by: Sequence[str] = (), approx: bool = False) -> DataFrame:
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def describe(df: DataFrame, col: str, *, by: Sequence[str] = (), approx: bool = False, few_values: bool = True, ranges: int | None = None) -> DataFrame:
     """AGG-2..AGG-5: ``n, n_missing, mean, sd, min, q1, median, q3, max``.
 
-    Quantiles are R's type 7 (linear interpolation), Spark's exact ``percentile``; nulls are
-    left out and counted in ``n_missing``. ``approx=True`` uses ``percentile_approx`` for
-    measures with very many distinct values.
+    Quantiles are R's type 7 (linear interpolation); nulls are left out and counted in
+    ``n_missing``. ``few_values`` says that the measure has few distinct values (days of stay):
+    Spark's exact ``percentile`` then counts them in one aggregate. Without it the values are
+    ranked in ranges (operators/ranks.py), whatever their number. ``approx=True`` uses
+    ``percentile_approx``.
     """
     x = F.col(col)
+    aggs = [
+        F.count(x).cast("long").alias("n"),
+        F.count_if(x.isNull()).cast("long").alias("n_missing"),
+        F.avg(x).alias("mean"),
+        F.stddev_samp(x).alias("sd"),
+        F.min(x).cast("double").alias("min"),
+        F.max(x).cast("double").alias("max"),
+    ]
+    names = ["n", "n_missing", "mean", "sd", "min", "q1", "median", "q3", "max"]
     if approx:
-        qs = F.percentile_approx(x, [0.25, 0.5, 0.75], 10000)
+        aggs.append(F.percentile_approx(x, list(QUARTILES), 10000).alias("_q"))
+    elif few_values:
+        aggs.append(F.percentile(x, F.array(*[F.lit(p) for p in QUARTILES])).alias("_q"))
     else:
-        qs = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (
-        df.groupBy(*by)
-        .agg(
-            F.count(x).cast("long").alias("n"),
-            F.count_if(x.isNull()).cast("long").alias("n_missing"),
-            F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("sd"),
-            F.min(x).cast("double").alias("min"),
-            qs.alias("_q"),
-            F.max(x).cast("double").alias("max"),
-        )
-        .select(
-            *by,
-            "n",
-            "n_missing",
-            "mean",
-            "sd",
-            "min",
-            F.col("_q")[0].cast("double").alias("q1"),
-            F.col("_q")[1].cast("double").alias("median"),
-            F.col("_q")[2].cast("double").alias("q3"),
-            "max",
-        )
-    )
+        found = quantiles(value_counts(df, col, by), QUARTILES, by, ranges=ranges)
+        found = found.select(*by, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
+        if not by:  # one row, also where there is no value
+            found = found.agg(*[F.max(c).alias(c) for c in ("q1", "median", "q3")])
+        return join_groups(df.groupBy(*by).agg(*aggs), found, by, "left").select(*by, *names)
+    out = df.groupBy(*by).agg(*aggs)
+    out = out.withColumns({q: F.col("_q")[i].cast("double") for i, q in enumerate(("q1", "median", "q3"))})
+    return out.select(*by, *names)
 
 
 def histogram(df: DataFrame, col: str, width: float = 1.0) -> DataFrame:
@@ -130,28 +130,36 @@ def histogram(df: DataFrame, col: str, width: float = 1.0) -> DataFrame:
     return df.filter(x.isNotNull()).groupBy(centre.alias("bin")).agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
-def box_stats(df: DataFrame, col: str, *, by: Sequence[str] = ()) -> DataFrame:
+def box_stats(df: DataFrame, col: str, *, by: Sequence[str] = (), few_values: bool = True, ranges: int | None = None) -> DataFrame:
     """AGG-14 (data of ``geom_boxplot``): hinges, whiskers and outliers per stratum.
 
     Hinges are type-7 quartiles; a whisker reaches the most extreme value within 1.5 IQR
     of its hinge; the rest are outliers. The rows are read once and reduced to (stratum,
-    value, n); everything else comes from that table, one array of values per stratum (as
-    many as there are distinct values), without a join.
+    value, n). The quartiles come from that table (see :func:`describe` for ``few_values``), one
+    row a stratum; beside them a second aggregate of the same table finds the whiskers. No task
+    holds the values of a stratum.
     """
-    x = F.col(col)
-    counts = df.filter(x.isNotNull()).groupBy(*by, x.cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
-    per = counts.groupBy(*by).agg(
-        F.sum("_n").cast("long").alias("n"),
-        F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n")).alias("_q"),
-        F.collect_list(F.struct("_x", "_n")).alias("_values"),
-    )
-    per = per.filter("n is not null").select(*by, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "_values")
+    counts = value_counts(df, col, by)
+    if few_values:
+        q = F.percentile(VALUE, F.array(*[F.lit(p) for p in QUARTILES]), F.col(COUNT))
+        hinges = counts.groupBy(*by).agg(F.sum(COUNT).cast("long").alias("n"), q.alias("_q")).filter("n is not null")
+        hinges = hinges.select(*by, "n", *[F.col("_q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
+    else:
+        counts = with_block(counts, list(by), [VALUE], ranges)  # both steps read the written table
+        hinges = quantiles(counts, QUARTILES, by)
+        hinges = hinges.select(*by, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    inside = F.transform(F.filter("_values", lambda v: (v["_x"] >= lo) & (v["_x"] <= hi)), lambda v: v["_x"])
-    outside = F.filter("_values", lambda v: (v["_x"] < lo) | (v["_x"] > hi))
-    n_out = F.aggregate(outside, F.lit(0).cast("long"), lambda a, v: a + v["_n"])
-    return per.select(*by, "n", "q1", "median", "q3", F.array_min(inside).alias("whisker_low"), F.array_max(inside).alias("whisker_high"), n_out.alias("n_outliers"))
+    inside = (F.col(VALUE) >= lo) & (F.col(VALUE) <= hi)
+    return (
+        join_groups(counts, hinges, by)
+        .groupBy(*by, "n", "q1", "median", "q3")
+        .agg(
+            F.min(F.when(inside, F.col(VALUE))).alias("whisker_low"),
+            F.max(F.when(inside, F.col(VALUE))).alias("whisker_high"),
+            F.sum(F.when(inside, F.lit(0)).otherwise(F.col(COUNT))).cast("long").alias("n_outliers"),
+        )
+    )
 
 
 def top_k(df: DataFrame, measure: str, k: int, *, tiebreak: Sequence[str]) -> DataFrame:

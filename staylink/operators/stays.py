@@ -19,17 +19,21 @@ from pyspark.sql import functions as F
 
 from staylink.config import EpisodeCols, Study
 from staylink.operators.scan import drop_block, ordered_scan, segment_max
-from staylink.sources.sink import materialize
+from staylink.sources.stages import StageStore
 
 
 def transfer_stays(
-    df: DataFrame, cols: EpisodeCols = EpisodeCols(), study: Study = Study(), *, keep_block: bool = False
+    df: DataFrame, cols: EpisodeCols = EpisodeCols(), study: Study = Study(), *, keep_block: bool = False, store: StageStore | None = None
 ) -> DataFrame:
     """DOM-4: add ``stay_seq`` (1..), ``trans_seq`` (0 = first episode of the stay),
-    ``stay_size``, ``admdate_first``, ``sepdate_last`` and ``totlos`` (days)."""
+    ``stay_size``, ``admdate_first``, ``sepdate_last`` and ``totlos`` (days).
+
+    Three levels that depend on each other: where a stay breaks, the stay's number and first
+    row, the stay's maxima. All are windows over the same ranges, so the rows are read where
+    they lie and shuffled no more."""
     modes = list(study.transfer_modes)
     start, end = F.col(cols.start), F.col(cols.end)
-    scan = dict(ranges=study.ranges)
+    scan = dict(ranges=study.ranges, store=store)
     s = ordered_scan(
         df,
         [cols.person],
@@ -47,9 +51,6 @@ def transfer_stays(
         prev_end.isNull() | (start > prev_end) | ((start == prev_end) & ~after_transfer), F.lit(True)
     )
     s = s.withColumn("_brk", new_stay)
-    # Each level of a scan refers to its input twice, so the level is written once (range
-    # number included) and the next level reads it.
-    s = materialize(s, "stays-level1")
     s = ordered_scan(
         s,
         [cols.person],
@@ -67,7 +68,6 @@ def transfer_stays(
             "trans_seq": (F.col("_pos") - F.col("_stay_first")).cast("int"),
         }
     )
-    s = materialize(s, "stays-level2")
     s = segment_max(
         s, [cols.person], "stay_seq", {"sepdate_last": end, "stay_size": F.col("trans_seq") + 1}
     )
@@ -78,16 +78,22 @@ def transfer_stays(
 
 
 def hip_stays(
-    df: DataFrame, cols: EpisodeCols = EpisodeCols(), study: Study = Study(), *, hip_col: str = "hip_flag"
+    df: DataFrame,
+    cols: EpisodeCols = EpisodeCols(),
+    study: Study = Study(),
+    *,
+    hip_col: str = "hip_flag",
+    keep_block: bool = False,
+    store: StageStore | None = None,
 ) -> DataFrame:
     """DOM-7 / WIN-7 / JN-2: ``hf_stays_all`` numbers a person's stays whose first episode
     is a hip episode (1, 2, ...); every episode of such a stay gets the number, other
     episodes 0. Needs ``trans_seq`` from :func:`transfer_stays`.
 
-    Two running values in one scan, both plain aggregates per block: the count of
-    hip-stay starts so far, and the latest stay start so far (a running maximum of
-    the start row's order key with its hip flag attached). No join back on
-    (person, stay) and no second shuffle.
+    Two running values in one scan: the count of hip-stay starts so far, and the latest
+    stay start so far (a running maximum of the start row's order key with its hip flag
+    attached). No join back on (person, stay); rows that have their ranges from
+    :func:`transfer_stays` are not shuffled.
     """
     stay_start = F.col("trans_seq") == 0
     first_hip = stay_start & (F.col(hip_col) == 1)
@@ -100,8 +106,10 @@ def hip_stays(
         cols.order(),
         {"_hs": ("sum", first_hip.cast("int")), "_last_start": ("max", last_start)},
         ranges=study.ranges,
+        store=store,
     )
     s = s.withColumn(
         "hf_stays_all", F.when(F.col("_last_start.hip") == 1, F.col("_hs")).otherwise(0).cast("int")
     )
-    return drop_block(s.drop("_hs", "_last_start"))
+    s = s.drop("_hs", "_last_start")
+    return s if keep_block else drop_block(s)

@@ -1,8 +1,7 @@
 """Kaplan-Meier curves and the log-rank test (SRV-1, SRV-2, SRV-3, SCL-13).
 
-Subjects are first reduced to one row per (group, time): events and subjects.
-Everything after runs over those rows (at most the number of distinct days per
-group), with windows per group, never over the subjects themselves.
+Subjects are first reduced to one row per (group, time): events and subjects. Everything after
+runs over those rows, never over the subjects themselves. Subjects that take no part are counted.
 
 Formulas (Kaplan and Meier 1958; Greenwood 1926; Mantel 1966):
   n(t) = subjects with time >= t, S(t) = prod over times <= t of (1 - d/n),
@@ -19,38 +18,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from staylink.operators.scan import drop_block, ordered_scan
+from staylink.sources.stages import StageStore
+
 Z975 = 1.959963984540054  # standard normal quantile for 95% limits
 
 
-def _subjects(df: DataFrame, group: str, time: str, event: str) -> DataFrame:
-    """Rows with a group, a time >= 0 and an event flag (negative times are DQ-7's business)."""
-    return df.filter(
-        F.col(group).isNotNull() & F.col(time).isNotNull() & (F.col(time) >= 0) & F.col(event).isNotNull()
+def _usable(time: str, event: str):
+    """A time >= 0 and an event flag (negative times are DQ-7's business)."""
+    return F.col(time).isNotNull() & (F.col(time) >= 0) & F.col(event).isNotNull()
+
+
+def excluded_subjects(df: DataFrame, group: str, time: str = "time_to_next", event: str = "event") -> DataFrame:
+    """What SRV-1 and SRV-3 leave out, counted: one row a group (null is one) with ``n_subjects,
+    n_missing_time, n_negative_time, n_missing_event, n_excluded``. A subject counts under the first
+    reason that holds; one without a group is excluded as a whole."""
+    t, e, missing = F.col(time), F.col(event), F.col(group).isNull()
+    return df.groupBy(group).agg(
+        F.count(F.lit(1)).cast("long").alias("n_subjects"),
+        F.count_if(t.isNull()).cast("long").alias("n_missing_time"),
+        F.count_if(t < 0).cast("long").alias("n_negative_time"),
+        F.count_if((t >= 0) & e.isNull()).cast("long").alias("n_missing_event"),
+        F.count_if(missing | ~_usable(time, event)).cast("long").alias("n_excluded"),
     )
 
 
-def km_table(df: DataFrame, group: str, time: str = "time_to_next", event: str = "event") -> DataFrame:
+def km_table(df: DataFrame, group: str, time: str = "time_to_next", event: str = "event", *, continuous: bool = False,
+             ranges: int | None = None, store: StageStore | None = None) -> DataFrame:
     """SRV-1: one row per group and distinct time: ``n_risk, n_event, n_censor, surv,
-    se_log_surv, lower, upper``. Once S reaches 0 the error and limits are null."""
-    g = (
-        _subjects(df, group, time, event)
-        .groupBy(group, time)
+    se_log_surv, lower, upper``, and ``n_excluded``: the group's subjects that have no usable time or
+    event and take no part. Once S reaches 0 the error and limits are null.
+
+    Times in days are few: windows per group run over one row a day. ``continuous`` is for times
+    of which a group may have very many (seconds): numbers at risk are then suffix sums and the
+    curve a running product in ranges, and no task holds a group's times.
+    """
+    counted = (
+        df.filter(F.col(group).isNotNull())
+        .groupBy(group, F.when(_usable(time, event), F.col(time)).alias(time))
         .agg(F.sum(F.col(event)).cast("long").alias("n_event"), F.count(F.lit(1)).cast("long").alias("_m"))
-        .withColumn("n_censor", F.col("_m") - F.col("n_event"))
     )
-    from_top = W.partitionBy(group).orderBy(F.desc(time)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    g = g.withColumn("n_risk", F.sum("_m").over(from_top).cast("long"))
-    upto = W.partitionBy(group).orderBy(time).rowsBetween(W.unboundedPreceding, W.currentRow)
+    # the one pass counts the excluded too, as a row without a time
+    left_out = counted.filter(F.col(time).isNull()).select(group, F.col("_m").alias("n_excluded"))
+    g = counted.filter(F.col(time).isNotNull()).withColumn("n_censor", F.col("_m") - F.col("n_event"))
     d, n = F.col("n_event"), F.col("n_risk")
-    g = g.withColumns(
-        {
-            "surv": F.product(F.lit(1.0) - d / n).over(upto),
-            "_zero": F.max((d == n).cast("int")).over(upto),
-            "_h": F.sum(F.when(d < n, d / (n * (n - d))).otherwise(F.lit(0.0))).over(upto),
-        }
-    )
+    step = {
+        "surv": ("product", F.lit(1.0) - d / n),
+        "_zero": ("max", (d == n).cast("int")),
+        "_h": ("sum", F.when(d < n, d / (n * (n - d))).otherwise(F.lit(0.0))),
+    }
+    if continuous:
+        how = dict(ranges=ranges, store=store)
+        g = ordered_scan(g, [group], [time], {"n_risk": ("sum_from", F.col("_m"))}, **how)
+        g = drop_block(ordered_scan(g.withColumn("n_risk", n.cast("long")), [group], [time], step, **how))
+    else:
+        from_top = W.partitionBy(group).orderBy(F.desc(time)).rowsBetween(W.unboundedPreceding, W.currentRow)
+        g = g.withColumn("n_risk", F.sum("_m").over(from_top).cast("long"))
+        upto = W.partitionBy(group).orderBy(time).rowsBetween(W.unboundedPreceding, W.currentRow)
+        over = {"product": F.product, "max": F.max, "sum": F.sum}
+        g = g.withColumns({name: over[kind](value).over(upto) for name, (kind, value) in step.items()})
     se = F.when(F.col("_zero") == 0, F.sqrt("_h"))
-    g = g.withColumn("se_log_surv", se)
+    g = g.withColumn("se_log_surv", se).join(left_out, group, "left")
     log_s = F.log(F.col("surv"))
     return g.select(
         group,
@@ -64,6 +92,7 @@ def km_table(df: DataFrame, group: str, time: str = "time_to_next", event: str =
         F.when(
             F.col("se_log_surv").isNotNull(), F.least(F.lit(1.0), F.exp(log_s + Z975 * F.col("se_log_surv")))
         ).alias("upper"),
+        F.coalesce("n_excluded", F.lit(0)).cast("long").alias("n_excluded"),
     )
 
 
@@ -112,23 +141,32 @@ def report_times(start: int = 0, stop: int = 1000, step: int = 200) -> list[int]
 
 
 def logrank_parts(df: DataFrame, group: str, levels: Sequence[str], time: str = "time_to_next",
-                  event: str = "event") -> DataFrame:
+                  event: str = "event", *, ranges: int | None = None, store: StageStore | None = None) -> DataFrame:
     """SRV-3: per group: ``observed, expected`` and the row of the variance matrix
     (``v_0 .. v_{k-1}`` in the order of ``levels``).
 
     One row per distinct time with a column pair per group (the levels are given, so the
-    conditional sums are one aggregation); numbers at risk are sums over later times.
+    conditional sums are one aggregation); numbers at risk are sums over later times, taken in
+    ranges of the times (operators/scan.py), so no task holds all of them.
+
+    What takes no part is counted in the same pass: ``n_excluded``, the level's subjects without
+    a usable time or event, and ``n_unlisted`` (the same in every row), the subjects whose group is
+    none of the levels, or missing.
     """
     k = len(levels)
-    s = _subjects(df, group, time, event)
     g = F.col(group)
-    per_time = s.groupBy(time).agg(
+    listed = F.coalesce(g.isin(list(levels)), F.lit(False))
+    # the excluded are a row without a time
+    counted = df.groupBy(F.when(_usable(time, event) & listed, F.col(time)).alias(time)).agg(
         *[F.count_if(g == lv).cast("long").alias(f"_m{i}") for i, lv in enumerate(levels)],
         *[F.sum(F.when(g == lv, F.col(event)).otherwise(0)).cast("long").alias(f"_d{i}") for i, lv in enumerate(levels)],
+        F.count_if(~listed).cast("long").alias("_u"),
+    )
+    out = counted.filter(F.col(time).isNull()).agg(
+        *[F.coalesce(F.sum(f"_m{i}"), F.lit(0)).alias(f"X{i}") for i in range(k)], F.coalesce(F.sum("_u"), F.lit(0)).alias("U")
     )
-    # One row per distinct time: a window over these (not over subjects) is small.
-    later = W.partitionBy(F.lit(0)).orderBy(F.desc(time)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    per_time = per_time.withColumns({f"_n{i}": F.sum(f"_m{i}").over(later) for i in range(k)})
+    per_time = counted.filter(F.col(time).isNotNull()).drop("_u")
+    per_time = ordered_scan(per_time, [], [time], {f"_n{i}": ("sum_from", F.col(f"_m{i}")) for i in range(k)}, ranges=ranges, store=store)
     d = sum((F.col(f"_d{i}") for i in range(k)), F.lit(0))
     n = sum((F.col(f"_n{i}") for i in range(k)), F.lit(0))
     per_time = per_time.withColumns({"_d": d, "_n": n}).filter(F.col("_d") > 0)
@@ -142,13 +180,15 @@ def logrank_parts(df: DataFrame, group: str, levels: Sequence[str], time: str =
             sums.append(
                 F.sum(w * (F.col(f"_n{i}") / n) * (F.lit(delta) - F.col(f"_n{j}") / n)).alias(f"V{i}_{j}")
             )
-    tot = per_time.agg(*sums)
+    tot = per_time.agg(*sums).crossJoin(F.broadcast(out))  # two rows of one
     rows = [
         F.struct(
             F.lit(lv).alias(group),
             F.col(f"O{i}").cast("double").alias("observed"),
             F.col(f"E{i}").alias("expected"),
             *[F.col(f"V{i}_{j}").alias(f"v_{j}") for j in range(k)],
+            F.col(f"X{i}").cast("long").alias("n_excluded"),
+            F.col("U").cast("long").alias("n_unlisted"),
         )
         for i, lv in enumerate(levels)
     ]

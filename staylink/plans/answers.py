@@ -25,7 +25,9 @@ from staylink.operators.cohort import cohort_size, first_by_year
 from staylink.operators.comorbidity import GROUP_LABELS
 from staylink.operators.deaths import dropped_persons, multi_records
 from staylink.operators.readmission import negative_times, outcome_table
-from staylink.operators.survival import km_at_times, km_median, km_table, logrank_parts, logrank_test, report_times
+from staylink.operators.asof import next_admissions
+from staylink.operators.quality import violations
+from staylink.operators.survival import excluded_subjects, km_at_times, km_median, km_table, logrank_parts, logrank_test, report_times
 from staylink.plans.pipeline import Analysis
 
 Answer = Callable[[Analysis], DataFrame]
@@ -40,6 +42,8 @@ def _logrank(a: Analysis) -> DataFrame:
     return a.spark.createDataFrame([(t["chi2"], t["df"], t["p"])], "chi2 double, df int, p double")
 
 
+REJECTS = "table string, file string, line string, n_fields int, reason string"
+
 ANSWERS: dict[str, Answer] = {
     # Q1: cohort and first hip admissions by year
     "q1_cohort_size": lambda a: cohort_size(a.cohort, a.cols),
@@ -84,6 +88,11 @@ ANSWERS: dict[str, Answer] = {
     "q6_km_at_times": lambda a: km_at_times(km_table(a.scored, "cci_label"), "cci_label", report_times()),
     "q6_km_median": lambda a: km_median(km_table(a.scored, "cci_label"), "cci_label"),
     "q6_logrank": _logrank,
+    "q6_excluded_subjects": lambda a: excluded_subjects(a.scored, "cci_label"),
+    "q6_next_admissions": lambda a: next_admissions(a.stays, a.cols.person, a.cols.start, ranges=a.ranges, store=a.store),
+    # checks
+    "rejected_lines": lambda a: a.rejects if a.rejects is not None else a.spark.createDataFrame([], REJECTS),
+    "violations": lambda a: violations(a.stays, a.cols),
 }
 
 
@@ -106,6 +115,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--cols", help="EpisodeCols fields, e.g. person=NOF_PPN,start=episode_start_date")
     p.add_argument("--dcols", help="DeathCols fields, e.g. person=NOF_ppn,age=age_recode")
     p.add_argument("--episode-columns", help="the episode file's columns in order, comma-separated")
+    p.add_argument("--death-columns", help="the death file's columns in order, comma-separated")
+    p.add_argument("--run", help="name of the run: a later call of the same name continues from its stages")
     p.add_argument("--period", default="1996-01-01:2000-12-31")
     p.add_argument("--age", type=int, default=65)
     p.add_argument("--pattern", default=r"^[12]-")
@@ -119,10 +130,14 @@ def main(argv: list[str] | None = None) -> None:
     cols, dcols = EpisodeCols(**_pairs(args.cols)), DeathCols(**_pairs(args.dcols))
     dx = spark.read.parquet(args.diagnoses) if args.diagnoses else None
     ecols = args.episode_columns.split(",") if args.episode_columns else None
-    a = Analysis.from_csv(spark, args.episodes, args.deaths, study, cols, dcols, episode_columns=ecols, diagnoses=dx)
+    died = args.death_columns.split(",") if args.death_columns else None
+    a = Analysis.from_csv(
+        spark, args.episodes, args.deaths, study, cols, dcols, episode_columns=ecols, death_columns=died, diagnoses=dx, run=args.run
+    )
     for name, df in answers(a).items():
         df.write.mode("overwrite").option("header", True).csv(f"{args.out.rstrip('/')}/{name}")
         print(name)
+    a.close()
 
 
 if __name__ == "__main__":

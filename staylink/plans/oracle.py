@@ -245,6 +245,20 @@ hot2 AS (
               THEN 1 ELSE 0 END) OVER (PARTITION BY person_id ORDER BY {ORDER}
               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS stay_seq
   FROM hot1),
+gap0 AS (
+  SELECT event_id, event_type, epoch_us(ts) AS t_us,
+         epoch_us((SELECT min(n.ts) FROM events n WHERE n.user_id = e.user_id AND n.ts > e.ts)) AS next_at FROM events e),
+gaps AS (
+  SELECT event_id, event_type, CAST(next_at IS NOT NULL AS INTEGER) AS event,
+         coalesce(next_at, (SELECT max(t_us) FROM gap0)) - t_us AS gap FROM gap0),
+gkm1 AS (
+  SELECT *, CAST(sum(m) OVER (PARTITION BY event_type ORDER BY gap DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS n_risk
+  FROM (SELECT event_type, gap, CAST(sum(event) AS BIGINT) AS n_event, CAST(count(*) AS BIGINT) AS m FROM gaps WHERE event_type IS NOT NULL GROUP BY ALL)),
+gkm2 AS (
+  SELECT *, product(1.0 - n_event / n_risk) OVER w AS surv,
+         max(CASE WHEN n_event = n_risk THEN 1 ELSE 0 END) OVER w AS zero,
+         sum(CASE WHEN n_event < n_risk THEN n_event / (n_risk * (n_risk - n_event)) ELSE 0.0 END) OVER w AS h
+  FROM gkm1 WINDOW w AS (PARTITION BY event_type ORDER BY gap ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 hot_stays AS (
   SELECT person_id, episode_id, start_date, end_date, mode, stay_seq,
          CAST(row_number() OVER (PARTITION BY person_id, stay_seq ORDER BY {ORDER}) - 1 AS INTEGER) AS trans_seq,
@@ -333,9 +347,14 @@ ASOF LEFT JOIN (SELECT *, max(CASE WHEN surv = 0 THEN 1 ELSE 0 END) OVER (PARTIT
   ON g.cci_label = b.cci_label AND g.time_to_next >= b.time_to_next
 ASOF LEFT JOIN km f ON g.cci_label = f.cci_label AND g.time_to_next <= f.time_to_next"""
 
+_UNUSED = "NOT coalesce(time_to_next >= 0 AND event IS NOT NULL, false)"
+_LEVELS = "'CCI 0', 'CCI 1–2', 'CCI 3+'"
+
 _LOGRANK = " UNION ALL ".join(
     f"SELECT '{lab}' AS cci_label, {_r(f'o{i}', 'observed')}, {_r(f'e{i}', 'expected')}, "
     + ", ".join(_r(f"v{i}{j}", f"v_{j}") for j in range(3))
+    + f", CAST((SELECT count(*) FROM scored WHERE cci_label = '{lab}' AND {_UNUSED}) AS BIGINT) AS n_excluded"
+    + f", CAST((SELECT count(*) FROM scored WHERE cci_label IS NULL OR cci_label NOT IN ({_LEVELS})) AS BIGINT) AS n_unlisted"
     + " FROM lr"
     for i, lab in enumerate(["CCI 0", "CCI 1–2", "CCI 3+"])
 )
@@ -384,7 +403,71 @@ FROM fx_episode e LEFT JOIN (
 
 _EXCLUDED = ", ".join(map(str, range(20, 2000, 60)))
 
+_STAY = "(SELECT person_id, stay_seq, count(*) AS n, max(trans_seq) AS t FROM stays GROUP BY ALL)"
+_PERSON = "(SELECT person_id, count(*) AS n, max(person_seq) AS m FROM stays GROUP BY ALL)"
+_RULES = [
+    ("person_seq_gap", _PERSON, "m <> n"),
+    ("hip_seq_gap", "(SELECT person_id, max(hip_seq) AS m, count(*) FILTER (WHERE hip_flag = 1) AS n FROM stays GROUP BY ALL)", "m <> n"),
+    ("stay_seq_gap", "(SELECT person_id, max(stay_seq) AS m, count(DISTINCT stay_seq) AS n FROM stays GROUP BY ALL)", "m <> n"),
+    ("trans_seq_gap", _STAY, "t <> n - 1"),
+    ("stay_totals", "(SELECT person_id, stay_seq, min(stay_size) AS m, count(*) AS n FROM stays GROUP BY ALL)", "m <> n"),
+    ("negative_stay", "(SELECT person_id, stay_seq, max(end_date) < min(start_date) AS bad FROM stays GROUP BY ALL)", "bad"),
+    ("overlapping_stays", "(SELECT *, lag(sep) OVER (PARTITION BY person_id ORDER BY stay_seq) AS before FROM (SELECT person_id, "
+     "stay_seq, min(start_date) AS adm, max(end_date) AS sep FROM stays GROUP BY ALL))", "adm < before"),
+]
+
 FINAL: dict[str, str] = {
+    "ingest_rejects": """
+SELECT reason, CAST(n_fields AS INTEGER) AS n_fields, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(DISTINCT line) AS BIGINT) AS n_distinct
+FROM (
+  -- a repeated episode stands twice, its dates in two layouts
+  SELECT 'too few fields' AS reason, 6 AS n_fields, episode_id || c AS line FROM (SELECT DISTINCT episode_id FROM dirty) JOIN (VALUES ('a'), ('b')) t(c)
+    ON c = 'a' OR episode_id % 17 = 0 WHERE episode_id % 19 = 0
+  UNION ALL
+  SELECT 'too many fields', 8, episode_id || c FROM (SELECT DISTINCT episode_id FROM dirty) JOIN (VALUES ('a'), ('b')) t(c)
+    ON c = 'a' OR episode_id % 17 = 0 WHERE episode_id % 23 = 0)
+GROUP BY ALL""",
+    "stay_violations": " UNION ALL ".join(
+        f"SELECT '{rule}' AS rule, CAST(count(*) AS BIGINT) AS n_checked, CAST(count(*) FILTER (WHERE {bad}) AS BIGINT) AS n_violations FROM {units}"
+        for rule, units, bad in _RULES
+    ),
+    "price_quantiles": f"""
+SELECT l_returnflag, CAST(count(l_extendedprice) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE l_extendedprice IS NULL) AS BIGINT) AS n_missing,
+       {_r('avg(l_extendedprice)', 'mean')}, {_r('stddev_samp(l_extendedprice)', 'sd')}, {_r('min(l_extendedprice)', 'min')},
+       {_r('quantile_cont(l_extendedprice, 0.25)', 'q1')}, {_r('quantile_cont(l_extendedprice, 0.5)', 'median')},
+       {_r('quantile_cont(l_extendedprice, 0.75)', 'q3')}, {_r('max(l_extendedprice)', 'max')}
+FROM lineitem GROUP BY l_returnflag""",
+    "price_box": f"""
+SELECT l_returnflag, n, {_r('q1', 'q1')}, {_r('median', 'median')}, {_r('q3', 'q3')},
+       {_r('min(x) FILTER (WHERE x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))', 'whisker_low')},
+       {_r('max(x) FILTER (WHERE x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))', 'whisker_high')},
+       CAST(count(*) FILTER (WHERE NOT (x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))) AS BIGINT) AS n_outliers
+FROM (SELECT l_returnflag, l_extendedprice AS x FROM lineitem WHERE l_extendedprice IS NOT NULL) JOIN (
+  SELECT l_returnflag, CAST(count(l_extendedprice) AS BIGINT) AS n, quantile_cont(l_extendedprice, 0.25) AS q1,
+         quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY l_returnflag) q USING (l_returnflag)
+GROUP BY l_returnflag, n, q1, median, q3""",
+    "persons_by_span": """
+SELECT f.y AS from_year, t.y AS to_year, age_flag, CAST(count(DISTINCT person_id) AS BIGINT) AS n_persons, true AS within
+FROM (SELECT CAST(unnest(range(1996, 2001)) AS INTEGER) AS y) f JOIN (SELECT CAST(unnest(range(1996, 2001)) AS INTEGER) AS y) t ON f.y <= t.y
+JOIN flagged ON year(start_date) BETWEEN f.y AND t.y GROUP BY ALL""",
+    "next_admission_each_stay": """
+SELECT s.person_id, s.stay_seq, s.sepdate_last, a.start_date AS next_admission_date,
+       CAST(date_diff('day', s.sepdate_last, a.start_date) AS INTEGER) AS days_to_next
+FROM (SELECT person_id, stay_seq, sepdate_last FROM stays WHERE trans_seq = 0) s
+ASOF LEFT JOIN (SELECT DISTINCT person_id, start_date FROM stays) a ON a.person_id = s.person_id AND a.start_date > s.sepdate_last""",
+    "event_gaps": "SELECT event_id, event_type, event, gap FROM gaps",
+    "km_event_gaps": f"""
+SELECT event_type, gap, n_risk, n_event, CAST(m - n_event AS BIGINT) AS n_censor, {_r('surv', 'surv')},
+       {_r('CASE WHEN zero = 0 THEN sqrt(h) END', 'se_log_surv')},
+       {_r('CASE WHEN zero = 0 THEN exp(ln(surv) - 1.959963984540054 * sqrt(h)) END', 'lower')},
+       {_r('CASE WHEN zero = 0 THEN least(1.0, exp(ln(surv) + 1.959963984540054 * sqrt(h))) END', 'upper')}, CAST(0 AS BIGINT) AS n_excluded
+FROM gkm2""",
+    "survival_excluded": """
+SELECT cci_label, CAST(count(*) AS BIGINT) AS n_subjects, CAST(count(*) FILTER (WHERE time_to_next IS NULL) AS BIGINT) AS n_missing_time,
+       CAST(count(*) FILTER (WHERE time_to_next < 0) AS BIGINT) AS n_negative_time,
+       CAST(count(*) FILTER (WHERE time_to_next >= 0 AND event IS NULL) AS BIGINT) AS n_missing_event,
+       CAST(count(*) FILTER (WHERE cci_label IS NULL OR time_to_next IS NULL OR time_to_next < 0 OR event IS NULL) AS BIGINT) AS n_excluded
+FROM scored GROUP BY cci_label""",
     "ingest_csv_dirty": "SELECT * REPLACE (CAST(person_id AS VARCHAR) AS person_id, CAST(episode_id AS VARCHAR) AS episode_id) "
     "FROM dirty_ep",
     "ingest_report_dirty": f"""
@@ -513,7 +596,8 @@ SELECT cci_group, CAST(count(*) AS BIGINT) AS total_patients,
 FROM scored GROUP BY cci_group""",
     "km_curve": f"""
 SELECT cci_label, time_to_next, n_risk, n_event, n_censor, {_r('surv', 'surv')}, {_r('se_log_surv', 'se_log_surv')},
-       {_r('lower', 'lower')}, {_r('upper', 'upper')}
+       {_r('lower', 'lower')}, {_r('upper', 'upper')},
+       CAST((SELECT count(*) FROM scored s WHERE s.cci_label = km.cci_label AND {_UNUSED}) AS BIGINT) AS n_excluded
 FROM km""",
     "km_at_times": _KM_AT,
     "km_median": "SELECT cci_label, min(time_to_next) FILTER (WHERE surv <= 0.5 + 1e-9) AS median_time "

@@ -5,34 +5,38 @@ linked -> transfer stays (the table part two starts from). Part two: hip stays,
 length of stay, next admission, censoring, comorbidity, survival.
 
 Each stage is a DataFrame built on the previous one. Five stages are written
-once to the shared checkpoint folder and read back (SRC-4): the cleaned
+once to the shared checkpoint folder and read back (SRC-4, sources/stages.py): the cleaned
 episodes, the sequenced episodes, the linked episodes (end of part one), the
 stays table (start of part two, the file the reference hands from one script to
 the other) and the scored index episodes (one row per person, the input of every
-survival step). That cuts
-the lineage, so a lost executor recomputes from those files rather than from the
-raw tables, and keeps the plans of the later stages small: an ordered scan refers
-to its input twice (rows and block table), so unmaterialised chains of scans would
-grow their plans geometrically.
+survival step). That cuts the lineage, so a lost executor recomputes from those files
+rather than from the raw tables, and a lost driver from the last committed stage.
+
+The order of the episodes is made once: the cleaned episodes are written in ranges of
+(person, start, end, id), and every later stage keeps the range number. Sequences, stays and hip
+stays are windows inside the ranges, so none of them shuffles or sorts by person again.
 """
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staylink.config import DeathCols, EpisodeCols, Study
+from staylink.functions.dates import parse_dmy, parse_ymd
 from staylink.operators.cohort import select_cohort
 from staylink.operators.comorbidity import charlson_map, charlson_prefix_lengths, comorbidity_score, long_diagnoses, score_groups
 from staylink.operators.deaths import link_deaths, resolve_deaths, type_deaths
 from staylink.operators.episodes import add_flags, clean_episodes, sequence_episodes, type_episodes, with_episode_id
 from staylink.operators.readmission import censor_times, index_episodes, next_admission
+from staylink.operators.scan import BLOCK, drop_block, range_count, ranged
 from staylink.operators.stays import hip_stays, transfer_stays
 from staylink.sources import fixtures
-from staylink.sources.csv import read_text_csv
-from staylink.sources.sink import write_stage
+from staylink.sources.csv import read_with_rejects
+from staylink.sources.stages import StageStore, file_versions, input_version
 
 
 class Analysis:
@@ -41,6 +45,10 @@ class Analysis:
     Inputs are typed DataFrames (``episodes``, ``deaths``, a long ``diagnoses`` table and a
     ``code_map``); any left out come from the fixture views of ``sf_dir``. Use
     :meth:`from_csv` for text extracts with the course's own column names.
+
+    ``run`` names the run: an analysis of the same inputs and parameters that is opened under
+    that name later, by another driver, continues from the stages committed before.
+    :meth:`close` deletes them.
     """
 
     def __init__(
@@ -59,10 +67,14 @@ class Analysis:
         hierarchy: dict[str, str] | None = None,
         prefix_lengths: list[int] | None = None,
         materialize_stages: bool = True,
+        run: str | None = None,
     ):
         self.spark, self.sf_dir, self.study, self.cols, self.dcols = spark, sf_dir, study, cols, dcols
+        #: lines of text extracts that have not the columns' number of fields (SRC-1); null without extracts
+        self.rejects: DataFrame | None = None
+        #: the episodes are the linked table of part one already (:meth:`from_linked_csv`)
+        self.part_two = False
         self.materialize = materialize_stages
-        self.stage_paths: list[str] = []
         if sf_dir is None and (episodes is None or deaths is None):
             raise ValueError("give sf_dir or both episodes and deaths")
         self._episodes = episodes if episodes is not None else fixtures.fx_episode(spark, sf_dir)
@@ -80,6 +92,18 @@ class Analysis:
             self._code_map = code_map if code_map is not None else charlson_map(spark)
             self._hierarchy = hierarchy
             self._lengths = prefix_lengths or (charlson_prefix_lengths() if code_map is None else None)
+        #: ranges of the order that all scans share
+        self.ranges = range_count(self._episodes, study.ranges)
+        #: the written stages; a run with a name survives its driver (see sources/stages.py)
+        self.store = StageStore(spark, run, self._version() if run else "")
+
+    def _version(self) -> str:
+        """What the stages depend on: the files of every input with length and time, how they are
+        read (the plan's text, without its expression numbers), and the parameters."""
+        inputs = [d for d in (self._episodes, self._deaths, self._diagnoses, self._code_map) if d is not None]
+        plans = [re.sub(r"#\d+L?", "", d._jdf.queryExecution().analyzed().toString()) for d in inputs]
+        files = [file_versions(self.spark, d.inputFiles()) for d in inputs]
+        return input_version(plans, files, self.study, self.cols, self.dcols, self.ranges, self._diagnosis_columns, self._hierarchy, self._lengths)
 
     @classmethod
     def from_csv(
@@ -103,46 +127,91 @@ class Analysis:
         """
         ecols = episode_columns or [cols.person, cols.episode, cols.start, cols.end, cols.age, cols.code, cols.mode]
         dcols_list = death_columns or [dcols.person, dcols.date, dcols.age]
-        raw = read_text_csv(spark, episodes_path, ecols)
+        raw, bad_episodes = read_with_rejects(spark, episodes_path, ecols)
         episodes = type_episodes(raw, cols)
         if cols.episode not in ecols:
             episodes = with_episode_id(episodes, cols)
-        deaths = type_deaths(read_text_csv(spark, deaths_path, dcols_list), dcols)
-        return cls(spark, None, study, cols, dcols, episodes=episodes, deaths=deaths, diagnoses=diagnoses, **kw)
+        raw_deaths, bad_deaths = read_with_rejects(spark, deaths_path, dcols_list)
+        out = cls(spark, None, study, cols, dcols, episodes=episodes, deaths=type_deaths(raw_deaths, dcols), diagnoses=diagnoses, **kw)
+        out.rejects = bad_episodes.select(F.lit("episodes").alias("table"), "*").unionByName(bad_deaths.select(F.lit("deaths").alias("table"), "*"))
+        return out
+
+    @classmethod
+    def from_linked_csv(
+        cls, spark: SparkSession, path: str, columns: list[str], study: Study = Study(), cols: EpisodeCols = EpisodeCols(), dcols: DeathCols = DeathCols(), **kw
+    ) -> Analysis:
+        """SRC-2: part two on its own, from the linked table that part one wrote as text (episodes with
+        the death columns beside them, ISO or day-month-year dates, ``NA`` for missing).
+
+        ``columns`` are the file's in order. The persons are the cohort already: sequences are
+        made anew from the rows, nothing is selected or linked, and :attr:`deaths` are the file's.
+        """
+        raw, rejects = read_with_rejects(spark, path, columns)
+
+        def date(c: str):
+            return F.coalesce(parse_ymd(c), parse_dmy(c))
+
+        episodes = type_episodes(raw, cols, date_parser=date).withColumns({dcols.date: date(dcols.date), dcols.age: F.col(dcols.age).try_cast("double").cast("int")})
+        if cols.episode not in columns:
+            episodes = with_episode_id(episodes, cols)
+        died = episodes.filter(F.col(dcols.date).isNotNull()).select(F.col(cols.person).alias(dcols.person), dcols.date, dcols.age).distinct()
+        out = cls(spark, None, study, cols, dcols, episodes=episodes, deaths=died, **kw)
+        out.part_two, out.rejects = True, rejects.select(F.lit("linked").alias("table"), "*")
+        return out
 
-    def _stage(self, df: DataFrame, name: str) -> DataFrame:
+    @property
+    def stage_paths(self) -> list[str]:
+        """The folders of the stages committed so far."""
+        return [e["path"] for e in self.store.committed().values()]
+
+    def _stage(self, name: str, make, *, in_ranges: bool = False, dealt: bool = False) -> DataFrame:
+        """The committed stage of that name, or the one that make() gives, written and committed."""
         if not self.materialize:
-            return df
-        path = write_stage(df, name)
-        self.stage_paths.append(path)
-        return self.spark.read.parquet(path)
+            return make()
+        layout = dict(buckets=self.ranges, by=BLOCK, dealt=dealt) if in_ranges else {}
+        return self.store.stage(name, make, **layout)
 
     def close(self) -> None:
-        """Delete the stages that this analysis wrote (and nothing else), wherever they are."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for path in self.stage_paths:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-        self.stage_paths.clear()
+        """Delete everything that this analysis wrote (and nothing else), wherever it is."""
+        self.store.close()
 
     # ---- part one -------------------------------------------------------------------
+    @cached_property
+    def _episodes_in_order(self) -> DataFrame:
+        """The cleaned episodes in their ranges: the one shuffle into the order of the scans."""
+        clean = add_flags(clean_episodes(self._episodes, self.cols, self.study), self.cols, self.study)
+        if not self.materialize:
+            return clean
+        order = ranged(clean, [self.cols.person], self.cols.order(), self.ranges)
+        return self._stage("episodes", lambda: order, in_ranges=True, dealt=True)
+
     @cached_property
     def episodes(self) -> DataFrame:
         """DOM-1 + DOM-2: distinct episodes inside the study period, with both flags."""
-        clean = add_flags(clean_episodes(self._episodes, self.cols, self.study), self.cols, self.study)
-        # Written once: the whole-row distinct is a full shuffle, and both the hot-person
-        # probe and the sequencing scan read this table.
-        return self._stage(clean, "episodes")
+        return drop_block(self._episodes_in_order)
+
+    @cached_property
+    def _sequenced(self) -> DataFrame:
+        def make() -> DataFrame:
+            return sequence_episodes(self._episodes_in_order, self.cols, self.study, keep_block=True, store=self.store)
+
+        return self._stage("sequenced", make, in_ranges=True)
 
     @cached_property
     def sequenced(self) -> DataFrame:
         """DOM-3 (before the cohort filter, as in the reference)."""
-        return self._stage(sequence_episodes(self.episodes, self.cols, self.study), "sequenced")
+        return drop_block(self._sequenced)
+
+    @cached_property
+    def _cohort(self) -> DataFrame:
+        if self.part_two:
+            return self._sequenced
+        return select_cohort(self._sequenced, self.cols)
 
     @cached_property
     def cohort(self) -> DataFrame:
         """DOM-5."""
-        return select_cohort(self.sequenced, self.cols)
+        return drop_block(self._cohort)
 
     @cached_property
     def deaths(self) -> DataFrame:
@@ -153,21 +222,34 @@ class Analysis:
         """DQ-6: one row per person with a death record: the record kept, or why the person goes."""
         return resolve_deaths(self.deaths, self.cohort, self.cols, self.dcols, self.study.exclude_persons)
 
+    @cached_property
+    def _linked(self) -> DataFrame:
+        if self.part_two:
+            return self._sequenced
+        return self._stage("linked", lambda: link_deaths(self._cohort, self.resolution, self.cols, self.dcols), in_ranges=True)
+
     @cached_property
     def linked(self) -> DataFrame:
         """JN-1."""
-        return self._stage(link_deaths(self.cohort, self.resolution, self.cols, self.dcols), "linked")
+        return drop_block(self._linked)
+
+    @cached_property
+    def _stays(self) -> DataFrame:
+        def make() -> DataFrame:
+            return transfer_stays(self._linked, self.cols, self.study, keep_block=True, store=self.store)
+
+        return self._stage("stays", make, in_ranges=True)
 
     @cached_property
     def stays(self) -> DataFrame:
         """DOM-4: the linked table with transfer stays (part two's input)."""
-        return self._stage(transfer_stays(self.linked, self.cols, self.study), "stays")
+        return drop_block(self._stays)
 
     # ---- part two -------------------------------------------------------------------
     @cached_property
     def hip_stays(self) -> DataFrame:
         """DOM-7."""
-        return hip_stays(self.stays, self.cols, self.study)
+        return hip_stays(self._stays, self.cols, self.study, store=self.store)
 
     @cached_property
     def index(self) -> DataFrame:
@@ -184,6 +266,9 @@ class Analysis:
         """DOM-10 on the index episodes, with groups and labels: the analysis table of
         part two (one row per person), written once for the survival steps. Without a
         long diagnosis table, the episodes' own diagnosis columns are scored."""
+        return self._stage("scored", self._score)
+
+    def _score(self) -> DataFrame:
         diagnoses = self._diagnoses
         if diagnoses is None:
             diagnoses = long_diagnoses(self.stays, self._diagnosis_columns, episode_col=self.cols.episode)
@@ -195,4 +280,4 @@ class Analysis:
             hierarchy=self._hierarchy,
             prefix_lengths=self._lengths,
         )
-        return self._stage(score_groups(scored), "scored")
+        return score_groups(scored)

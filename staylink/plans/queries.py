@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from staylink.config import EpisodeCols, scratch_dir
 from staylink.functions.dates import parse_dmy, parse_ymd
-from staylink.operators import quality, report
+from staylink.operators import quality, report, sketches
+from staylink.operators.asof import next_admissions, next_after
 from staylink.operators.cohort import cohort_size, first_by_year
 from staylink.operators.comorbidity import GROUP_LABELS, charlson_map, charlson_prefix_lengths, comorbidity_score
 from staylink.operators.deaths import death_vs_episodes, kept_records, multi_records, resolve_deaths
@@ -24,6 +25,7 @@ from staylink.operators.deaths import dropped_persons as removed_persons
 from staylink.operators.episodes import add_flags, clean_episodes, file_sequence, sequence_episodes, type_episodes
 from staylink.operators.readmission import negative_times, outcome_table
 from staylink.operators.survival import (
+    excluded_subjects,
     km_at_times,
     km_median,
     km_table,
@@ -34,7 +36,7 @@ from staylink.operators.survival import (
 from staylink.operators.stays import transfer_stays
 from staylink.plans.pipeline import Analysis
 from staylink.sources import fixtures
-from staylink.sources.csv import read_text_csv, write_text_csv
+from staylink.sources.csv import read_with_rejects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -111,12 +113,22 @@ def _dirty_clean(spark, sf_dir) -> DataFrame:
 
 
 def ingest_csv_dirty(spark, sf_dir):
-    """SRC-1 / DOM-1 / SET-1: the dirty view written as CSV text, read back, typed, cleaned. Ids
-    keep their type (text)."""
+    """SRC-1 / DOM-1 / SET-1: the dirty view written as CSV text with malformed lines in it, read
+    back, typed, cleaned. Ids keep their type (text); a malformed line is no row."""
+    rows, _ = _broken_csv(spark, sf_dir)
+    return clean_episodes(type_episodes(rows))
+
+
+def ingest_rejects(spark, sf_dir):
+    """SRC-1: the malformed lines of the same files, counted by reason."""
+    _, rejects = _broken_csv(spark, sf_dir)
+    return rejects.groupBy("reason", "n_fields").agg(F.count(F.lit(1)).cast("long").alias("n_lines"), F.countDistinct("line").cast("long").alias("n_distinct"))
+
+
+def _broken_csv(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     path = scratch_dir(spark, f"csv-{uuid.uuid4().hex}")
-    write_text_csv(fixtures.fx_episode_dirty_text(spark, sf_dir), path)
-    raw = read_text_csv(spark, path, EpisodeCols().all())
-    return clean_episodes(type_episodes(raw))
+    fixtures.write_broken_csv(spark, sf_dir, path)
+    return read_with_rejects(spark, path, EpisodeCols().all())
 
 
 def ingest_report_dirty(spark, sf_dir):
@@ -265,6 +277,11 @@ def longest_chain(spark, sf_dir):
     return first.join(F.broadcast(top), "trans_seq").select("person_id", "trans_seq", "stay_size")
 
 
+def stay_violations(spark, sf_dir):
+    """DQ-8: the invariants of the stays table, over the whole table."""
+    return quality.violations(_a(spark, sf_dir)._stays)
+
+
 def flagged_stays(spark, sf_dir):
     """WIN-7 / JN-2 / SCL-9 / DOM-7."""
     return _a(spark, sf_dir).hip_stays.select(
@@ -339,6 +356,65 @@ def longest_stays(spark, sf_dir):
     return report.top_k(_first_los(spark, sf_dir), "totlos", 5, tiebreak=["person_id"])
 
 
+# ---- a measure of very many distinct values ------------------------------------------------
+def _prices(spark, sf_dir) -> DataFrame:
+    """The price of each order line: nearly as many distinct values as lines."""
+    return fixtures.load_tables(spark, sf_dir, ["lineitem"])["lineitem"].select("l_returnflag", "l_extendedprice")
+
+
+def price_quantiles(spark, sf_dir):
+    """AGG-3 / AGG-4 by exact ranks: quartiles of a measure whose values no task could hold."""
+    return _round(report.describe(_prices(spark, sf_dir), "l_extendedprice", by=["l_returnflag"], few_values=False))
+
+
+def price_box(spark, sf_dir):
+    """AGG-14 on the same measure."""
+    return _round(report.box_stats(_prices(spark, sf_dir), "l_extendedprice", by=["l_returnflag"], few_values=False))
+
+
+# ---- distinct persons of any span of years -------------------------------------------------
+SPANS = [(y, z) for y in range(1996, 2001) for z in range(y, 2001)]
+
+
+def persons_by_span(spark, sf_dir):
+    """AGG-1: persons of every span of years and age group, exact beside the estimate of united
+    yearly sketches; ``within`` says whether the estimate keeps the stated error."""
+    episodes = _a(spark, sf_dir).episodes
+    exact = sketches.exact_in_spans(episodes, "person_id", "start_date", SPANS, ["age_flag"])
+    made = sketches.person_sketches(episodes, "person_id", "start_date", ["age_flag"])
+    estimate = sketches.persons_in_spans(made, SPANS, ["age_flag"])
+    both = exact.join(estimate, ["from_year", "to_year", "age_flag"])
+    error = F.abs(F.col("n_estimate") - F.col("n_persons")) <= F.greatest(F.lit(1.0), F.col("n_persons") * sketches.relative_error())
+    return both.select("from_year", "to_year", "age_flag", "n_persons", error.alias("within"))
+
+
+# ---- every next event ------------------------------------------------------------------------
+def next_admission_each_stay(spark, sf_dir):
+    """JN-7 / DOM-8: the next admission after every discharge of every person."""
+    a = _a(spark, sf_dir)
+    return next_admissions(a.stays, "person_id", "start_date", ranges=a.ranges)
+
+
+def event_gaps(spark, sf_dir) -> DataFrame:
+    """JN-7: each event's time to the user's next event in microseconds; the last of a user is
+    censored at the end of the table."""
+    e = fixtures.load_tables(spark, sf_dir, ["events"])["events"].select("event_id", "event_type", "user_id", F.unix_micros(F.col("ts").cast("timestamp_ltz")).alias("at"))
+    end = e.agg(F.max("at").alias("end"))
+    gaps = next_after(e, e, ["user_id"], "at", "at", names=["next_at"]).crossJoin(F.broadcast(end))  # one row
+    event = F.col("next_at").isNotNull().cast("int")
+    return gaps.select("event_id", "event_type", event.alias("event"), (F.coalesce("next_at", "end") - F.col("at")).alias("gap"))
+
+
+def km_event_gaps(spark, sf_dir):
+    """SRV-1 on times of microseconds: as many distinct times as events, in ranges."""
+    return _round(km_table(event_gaps(spark, sf_dir), "event_type", "gap", "event", continuous=True))
+
+
+def survival_excluded(spark, sf_dir):
+    """SRV-1 / SRV-3: the subjects that take no part, by group and reason."""
+    return excluded_subjects(_a(spark, sf_dir).scored, "cci_label")
+
+
 # ---- readmission ------------------------------------------------------------------------
 def next_admission_q(spark, sf_dir):
     """DOM-8 / JN-3 / JN-4 / JN-6 / JN-7 / SRT-3."""
@@ -412,7 +488,16 @@ EXCLUDED = tuple(range(20, 2000, 60))
 
 QUERIES: dict[str, Query] = {
     "ingest_csv_dirty": ingest_csv_dirty,
+    "ingest_rejects": ingest_rejects,
     "ingest_report_dirty": ingest_report_dirty,
+    "stay_violations": stay_violations,
+    "price_quantiles": price_quantiles,
+    "price_box": price_box,
+    "persons_by_span": persons_by_span,
+    "next_admission_each_stay": next_admission_each_stay,
+    "event_gaps": event_gaps,
+    "km_event_gaps": km_event_gaps,
+    "survival_excluded": survival_excluded,
     "profile_dirty": profile_dirty,
     "duplicate_report_dirty": duplicate_report_dirty,
     "flag_table_dirty": flag_table_dirty,

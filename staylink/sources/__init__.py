@@ -9,17 +9,17 @@ from staylink.sources.fixtures import (
     fx_episode_text,
     load_tables,
 )
-from staylink.sources.sink import materialize, write_stage
+from staylink.sources.stages import StageStore, scratch_store
 
 __all__ = [
+    "StageStore",
     "fx_code_map",
     "fx_death",
     "fx_diagnosis",
     "fx_episode",
     "fx_episode_text",
     "load_tables",
-    "materialize",
     "read_text_csv",
-    "write_stage",
+    "scratch_store",
     "write_text_csv",
 ]

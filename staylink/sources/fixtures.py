@@ -89,6 +89,20 @@ def fx_episode_dirty_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text(e.distinct(), "d/M/yyyy").unionByName(text(copies, "ddMMMyyyy"))
 
 
+def write_broken_csv(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The dirty text view as CSV, with malformed lines among the others: every 19th episode once more
+    without its last field, every 23rd with a field too many."""
+    t = fx_episode_dirty_text(spark, sf_dir)
+    k = F.col("episode_id").cast("long")
+    fields = [F.coalesce(F.col(c), F.lit("NA")) for c in t.columns]
+    whole = t.select(F.concat_ws(",", *fields).alias("line"))
+    short = t.filter(k % 19 == 0).select(F.concat_ws(",", *fields[:-1]).alias("line"))
+    wide = t.filter(k % 23 == 0).select(F.concat_ws(",", *fields, F.lit("extra")).alias("line"))
+    lines = whole.unionByName(short).unionByName(wide).withColumnRenamed("line", ",".join(t.columns))
+    # one text column whose name is the header; a separator that no line holds
+    lines.write.option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
+
+
 def fx_episode_hot(episodes: DataFrame) -> DataFrame:
     """Flagged episodes with a third of them moved to person 0, and a seventh to person -1 on
     one single day."""

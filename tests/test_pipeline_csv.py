@@ -57,6 +57,7 @@ def test_answers_on_the_fixture(spark):
 
     out = answers(Analysis(spark, SF001))
     counts = {k: v.count() for k, v in out.items()}
+    assert counts.pop("rejected_lines") == 0  # the fixture views are no text
     assert all(c > 0 for c in counts.values()), counts
     lr = out["q6_logrank"].first()
     assert lr.df == 2 and 0 <= lr.p <= 1
@@ -139,3 +140,50 @@ def test_written_stages_equal_the_lazy_plan(spark):
     assert sorted(lazy.stays.select(*cols).collect()) == sorted(written.stays.select(*cols).collect())
     s = ["person_id", "event", "time_to_next", "cci_group"]
     assert sorted(lazy.scored.select(*s).collect()) == sorted(written.scored.select(*s).collect())
+
+
+def test_malformed_lines_are_rejected_and_counted(spark, tmp_path):
+    """Neither padded nor cut: a line with too few or too many fields is a reject with its file and text."""
+    from staylink.sources.csv import read_with_rejects
+
+    (tmp_path / "a.csv").write_text('x,y,z\n1,2,3\n4,5\n"6,6",7,8\n9,10,11,12\n,,\nNA,NA,NA\n13\n')
+    rows, rejects = read_with_rejects(spark, str(tmp_path), ["x", "y", "z"])
+    assert sorted(map(tuple, rows.collect()), key=repr) == sorted([("1", "2", "3"), ("6,6", "7", "8"), (None, None, None), (None, None, None)], key=repr)
+    got = sorted((r.line, r.n_fields, r.reason) for r in rejects.collect())
+    assert got == [("13", 1, "too few fields"), ("4,5", 2, "too few fields"), ("9,10,11,12", 4, "too many fields")]
+    assert {r.file.rsplit("/", 1)[1] for r in rejects.collect()} == {"a.csv"}
+    # whatever a query asks for, the same lines count
+    assert rows.count() == 4 and rejects.count() == 3 and rows.select("x").filter("x is not null").count() == 2
+
+
+def test_rejects_of_an_analysis(spark, tmp_path):
+    (tmp_path / "ep").mkdir()
+    (tmp_path / "d").mkdir()
+    (tmp_path / "ep" / "e.csv").write_text(",".join(EP_COLS) + "\nP1,02/02/2009,12/02/2009,80,S72.10,9\nP1,05/02/2009,12/02/2009,80\n")
+    (tmp_path / "d" / "d.csv").write_text("NOF_ppn,death_date,age_recode\nP1,01/01/2010,70,9,9\n")
+    a = Analysis.from_csv(spark, str(tmp_path / "ep"), str(tmp_path / "d"), STUDY, COLS, DCOLS, episode_columns=EP_COLS)
+    assert sorted((r.table, r.n_fields) for r in a.rejects.collect()) == [("deaths", 5), ("episodes", 4)]
+    assert a.sequenced.count() == 1 and a.deaths.count() == 0
+    a.close()
+
+
+def test_part_two_from_the_linked_table(spark, tmp_path):
+    """SRC-2: the linked table written as text is an entry point: part two gives the same stays and times."""
+    from staylink.config import DeathCols, EpisodeCols, Study
+
+    from .conftest import SF001
+
+    whole = Analysis(spark, SF001)
+    names = [*EpisodeCols().all(), DeathCols().date, DeathCols().age]
+    write_text_csv(whole.linked.select(*names).na.fill("NA"), str(tmp_path / "linked"))
+    a = Analysis.from_linked_csv(spark, str(tmp_path / "linked"), names, Study())
+    cols = ["stay_seq", "trans_seq", "sepdate_last", "totlos", "hip_seq", "death_date"]
+    got = sorted((int(r.episode_id), *r[1:]) for r in a.stays.select("episode_id", *cols).collect())
+    assert got == sorted(map(tuple, whole.stays.select("episode_id", *cols).collect()))
+    times = ["event", "time_to_next"]
+    assert sorted((int(r.person_id), *r[1:]) for r in a.readmission.select("person_id", *times).collect()) == sorted(
+        map(tuple, whole.readmission.select("person_id", *times).collect())
+    )
+    assert a.rejects.count() == 0
+    a.close()
+    whole.close()
