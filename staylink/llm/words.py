@@ -154,7 +154,7 @@ def release() -> None:
     _trim()(0)
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of at most max_bytes of text each (one longer text stands alone).
 
     Bounds the working memory of the numpy passes; no text is cut.
