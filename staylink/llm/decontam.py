@@ -1,8 +1,9 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Benchmark items become a set of word windows (k words; a shorter item is one window).
-The hash of every document window of every occurring length is looked up in the broadcast
-set inside the scan, and verified on the words; only hits leave it. The hit spans then
+Every document is tokenised once; the hash of the first words of a window is looked up at every
+place in the broadcast set inside the scan, and the whole window verified on the words; only hits,
+and one row with the size of each document, leave it. The hit spans then
 give the words to remove, or the documents.
 """
 
@@ -21,6 +22,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: a larger benchmark meet the documents' windows in a shuffle instead.
 BROADCAST_WINDOWS = 200_000
 
+#: Words of a window that are looked up before the rest is compared.
+HEAD = 4
+
 
 def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
@@ -33,40 +37,65 @@ def windows_of(benchmark: DataFrame, k: int, item_col: str = "item_id", text_col
     return items.select("item_id", F.explode(F.transform(starts, lambda i: F.array_join(F.slice(F.col("w"), i, k), " "))).alias("words")).distinct().withColumn("n", F.size(F.split("words", " ")))
 
 
-def starts(w: Column, n: int) -> Column:
-    """Where the windows of n words start in w, from 1; none in shorter texts."""
-    return F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
-
-
 def row_key() -> Column:
     """Tells rows apart without numbering them: rows of equal id and text have equal results."""
     return F.struct("doc_id", F.xxhash64("text").alias("h"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, k: int = 10, item_col: str = "item_id", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """docs (doc_id, text) to (row, start, n, item_id): every occurrence of every window."""
-    windows = written(windows_of(benchmark, k, item_col), "windows")
-    sizes = [r.n for r in windows.select("n").distinct().orderBy("n").collect()]  # at most k numbers
-    w = F.col("w")
-
-    def scan(n: int) -> Column:
-        return F.transform(starts(w, n), lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.xxhash64(F.slice(w, i, n)).alias("h")))
-
-    none = F.array().cast("array<struct<start:int,n:int,h:bigint>>")
-    split = docs.select(row_key().alias("row"), words_of(F.col("text")).alias("w"))
-    # the word array goes along by reference up to the hash join, within one generated loop
-    each = split.select("row", "w", F.explode(F.concat(none, *map(scan, sizes))).alias("x"))
-    keys = windows.select(F.xxhash64(F.split("words", " ")).alias("key"), "words", "item_id")
-    words = F.array_join(F.slice(w, F.col("x.start"), F.col("x.n")), " ")
-    if windows.count() <= broadcast_windows:
-        # verified on the words; written so that they are formed only where the hashes meet
-        same = (F.length(words) == F.length("words")) & (F.instr(F.col("words"), words) == 1)
-        met = each.join(F.broadcast(keys), (F.col("x.h") == F.col("key")) & same)
+def head_hash(words: Column, start: Column, m: int) -> Column:
+    """Hash of the m words from start (from 1) of an array of words."""
+    return F.xxhash64(F.lit(m), *[F.get(words, start - 1 + j) for j in range(m)])
+
+
+def found(docs: DataFrame, benchmark: DataFrame, k: int = 10, item_col: str = "item_id", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """docs (doc_id, text) to (row, size, start, n, item_id), texts tokenised once: a row of start 0 with
+    the number of words for every document, and one for every occurrence of every window.
+
+    Each word position is looked up by the hash of a window's first HEAD words (or of all, if it has
+    fewer); where one can start, the whole window is compared, word for word.
+    """
+    windows = written(windows_of(benchmark, k, item_col).withColumn("m", F.least("n", F.lit(HEAD))), "windows")
+    heads = [r.m for r in windows.select("m").distinct().orderBy("m").collect()] or [HEAD]  # at most HEAD numbers
+    w, i, m = F.col("w"), F.col("i"), F.col("m")
+    each = docs.select(row_key().alias("row"), words_of(F.col("text")).alias("w"))
+    each = each.select("row", "w", F.explode(F.sequence(F.lit(0), F.size("w"))).alias("i"))
+    # place 0 stands for the document; the words go along by reference, within one generated loop
+    if len(heads) > 1:
+        each = each.select("*", F.explode(F.array(*[F.lit(h) for h in heads])).alias("m")).filter((i > 0) | (m == heads[0]))
     else:
-        # without a broadcast, a second hash of the words stands for them in the shuffle
-        again = F.xxhash64(F.lit(1), words).alias("again")
-        met = each.select("row", "x", again).join(keys.withColumn("again2", F.xxhash64(F.lit(1), "words")), (F.col("x.h") == F.col("key")) & (F.col("again") == F.col("again2")))
-    return met.select("row", "x.start", "x.n", "item_id")
+        each = each.withColumn("m", F.lit(heads[0]))
+
+    def by_head(words: Column, start: Column) -> Column:
+        out = F.when(m == heads[0], head_hash(words, start, heads[0]))
+        for h in heads[1:]:
+            out = out.when(m == h, head_hash(words, start, h))
+        return out
+
+    each = each.withColumn("h", F.when(i == 0, F.lit(0).cast("long")).otherwise(by_head(w, i)))
+    keys = windows.select(by_head(F.split("words", " "), F.lit(1)).alias("key"), "words", "n", "item_id")
+    document = docs.sparkSession.createDataFrame([(0, None, 0, None)], keys.schema)  # lets the documents' own rows pass
+    keys = keys.unionByName(document)
+
+    def same(words: Column, start: Column) -> Column:
+        return F.array_join(F.slice(words, start, F.greatest(F.col("n"), F.lit(1))), " ") == F.col("words")
+
+    at_place = (F.col("h") == F.col("key")) & ((i == 0) == F.col("words").isNull())
+    out = [F.col("row"), F.when(i == 0, F.size("w")).alias("size"), i.alias("start"), "n", "item_id"]
+    if windows.count() <= broadcast_windows:
+        return each.join(F.broadcast(keys), at_place & ((i == 0) | same(w, F.greatest(i, F.lit(1))))).select(*out)
+    # without a broadcast only the places travel; texts come back for those where a window can start
+    own = each.filter("i = 0").select(F.col("row"), F.size("w").alias("size"), i.alias("start"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("item_id"))
+    places = each.filter("i > 0").select("row", "i", "h").join(keys.filter("words is not null"), F.col("h") == F.col("key"))
+    places = places.groupBy(F.col("row").alias("at")).agg(F.collect_set(F.struct("i", "n", "words", "item_id")).alias("c"))
+    texts = docs.select(row_key().alias("row"), "text").dropDuplicates(["row"])
+    texts = texts.join(places, texts["row"].eqNullSafe(places["at"])).select("row", words_of(F.col("text")).alias("w"), F.explode("c").alias("c")).select("row", "w", "c.*")
+    met = texts.filter(same(w, i)).select("row", F.lit(None).cast("int").alias("size"), i.alias("start"), "n", "item_id")
+    return own.unionByName(met)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, k: int = 10, item_col: str = "item_id") -> DataFrame:
+    """docs (doc_id, text) to (row, start, n, item_id): every occurrence of every window."""
+    return found(docs, benchmark, k, item_col).filter("start > 0").select("row", "start", "n", "item_id")
 
 
 def covered(spans: Column) -> Column:
@@ -90,27 +119,29 @@ def report(docs: DataFrame, benchmark: DataFrame, k: int = 10, id_col: str = "do
     rows and null ids are judged one by one; an empty benchmark hits nothing.
     """
     own = columns(docs, doc_id=id_col, text=text_col)
-    found = hits(own, benchmark, k, item_col)
+    hit = F.col("start") > 0
     # sets of spans and items are partial aggregates, bounded by one document's words
-    each = found.groupBy(F.col("row").alias("hit")).agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
-    sizes = own.select("doc_id", row_key().alias("row"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    joined = sizes.join(each, sizes["row"].eqNullSafe(each["hit"]), "left")
-    spans = F.coalesce("spans", F.array().cast("array<struct<start:int,n:int>>"))
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    return joined.select(
-        "doc_id", "n_words", covered(spans).alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size(spans) > 0).alias("contaminated"), spans.alias("spans"),
+    each = found(own, benchmark, k, item_col).groupBy("row").agg(
+        F.max("size").cast("long").alias("n_words"),
+        F.count_if(~hit).alias("copies"),
+        F.sort_array(F.collect_set(F.when(hit, F.struct("start", "n")))).alias("spans"),
+        F.sort_array(F.collect_set(F.when(hit, F.col("item_id")))).alias("items"),
+    )
+    each = each.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))  # equal rows each have theirs
+    return each.select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", covered(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "spans",
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of docs, all columns, without those that hold a benchmark window. Rows with
     null texts stay."""
-    found = hits(columns(docs, doc_id=id_col, text=text_col), benchmark, k, item_col).select(F.col("row").alias("hit")).distinct()
+    bad = hits(columns(docs, doc_id=id_col, text=text_col), benchmark, k, item_col).select(F.col("row").alias("hit")).distinct()
     whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("whole")
     key = F.struct(docs[f"`{id_col}`"].alias("doc_id"), F.xxhash64(docs[f"`{text_col}`"]).alias("h")).alias("key")
     keyed = docs.select(whole, key)
-    return keyed.join(found, keyed["key"].eqNullSafe(found["hit"]), "left_anti").select("whole.*")
+    return keyed.join(bad, keyed["key"].eqNullSafe(bad["hit"]), "left_anti").select("whole.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

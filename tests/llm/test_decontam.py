@@ -40,7 +40,7 @@ def data(spark, rng):
 def test_equals_brute_force_on_both_paths(spark, rng, monkeypatch):
     items, rows, docs, benchmark = data(spark, rng)
     for limit in (decontam.BROADCAST_WINDOWS, 0):
-        monkeypatch.setattr(decontam.hits, "__defaults__", (10, "item_id", limit))
+        monkeypatch.setattr(decontam.found, "__defaults__", (10, "item_id", limit))
         got = decontam.report(docs, benchmark).drop("spans").collect()
         assert sorted(map(tuple, got), key=repr) == brute(rows, items, 10)
 
