@@ -31,11 +31,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component of documents linked at a Jaccard similarity of 0.8 or more of their
-    5-word shingles, the one of smallest id stays. Rows without an id all stay."""
-    groups = signature_join.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80)
-    leaders = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.select(*COLUMNS).filter("doc_id is null"))
+    5-word shingles, the one of smallest id stays (of two texts of one id, the one of smaller hash).
+    Rows of equal id and text are one document; rows without an id all stay, and so do texts
+    without words. Columns beyond those of documents are dropped."""
+    found = signature_join.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80, groups=True)
+    leaders = found.filter("group_id is not null").groupBy("group_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
+    leaders = leaders.select(F.col("one.doc_id").alias("doc_id"), F.col("one.text_hash").alias("text_hash"))
+    wordless = found.filter("group_id is null and doc_id is not null").select("doc_id", "text_hash").distinct()
+    keyed = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64("text"))
+    kept = keyed.join(leaders.unionByName(wordless), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return kept.select(*COLUMNS).unionByName(docs.select(*COLUMNS).filter("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

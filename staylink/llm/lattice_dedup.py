@@ -118,15 +118,18 @@ def links(vectors: DataFrame, threshold: float = 0.98, tables: int = TABLES, pro
     Rows compare only when their labels are equal and not null. Vectors that are null, empty,
     zero, or hold null or non-finite components link with nothing, as do rows with a null id
     (null component, kept). Equal vectors are one class: they link, without being paired.
-    Vectors of different lengths do not link. Each repeated row is a vector of its own.
+    Vectors of different lengths do not link. Each repeated row is a vector of its own, and so are
+    two rows of one id with different vectors: each has its own links and component, and
+    component_id is the smallest id among the rows that it reaches.
     """
     own = columns(vectors, vec_id=id_col, embedding=vector_col, label=label_col)
     v = F.col("embedding")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     valid = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
     keyed = own.withColumn("ok", F.coalesce(valid, F.lit(False))).select("vec_id", "ok", F.when(F.col("ok"), F.xxhash64("label", "embedding")).alias("h1"), F.when(F.col("ok"), F.xxhash64(F.lit(7), "embedding", "label")).alias("h2"), F.size(v).alias("dim"), F.xxhash64("label").alias("salt"), "embedding")
-    classes = keyed.filter("ok").groupBy("h1", "h2").agg(F.min("vec_id").alias("cls"), F.count("*").alias("size"), F.any_value("embedding").alias("embedding"), F.any_value("dim").alias("dim"), F.any_value("salt").alias("salt"))
-    classes = written(classes, "vectors")
+    classes = keyed.filter("ok").groupBy("h1", "h2").agg(F.min("vec_id").alias("low"), F.count("*").alias("size"), F.any_value("embedding").alias("embedding"), F.any_value("dim").alias("dim"), F.any_value("salt").alias("salt"))
+    # a class is named by its content: two vectors of one id are two classes
+    classes = written(classes.withColumn("cls", F.xxhash64("h1", "h2")), "vectors")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,6 +183,7 @@ def links(vectors: DataFrame, threshold: float = 0.98, tables: int = TABLES, pro
 
     edges = written(blocks.mapInArrow(compare, "a long, b long").distinct(), "links")
     comps = written(components(edges).select(F.col("node").alias("cls"), "component"), "components")
+    lowest = comps.join(classes.select("cls", "low"), "cls").groupBy("component").agg(F.min("low").alias("lowest"))
     # every component against itself, in blocks
     sizes = comps.groupBy("component").agg(F.ceil(F.count("*") / chunk).cast("int").alias("m"))
     members = classes.select("cls", "size", "embedding").join(comps, "cls").join(sizes, "component").withColumn("c", F.pmod(F.xxhash64("cls"), F.col("m")).cast("int"))
@@ -205,8 +209,8 @@ def links(vectors: DataFrame, threshold: float = 0.98, tables: int = TABLES, pro
             yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(n)], ["cls", "n"])
 
     linked = tiles.mapInArrow(count, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n"))
-    named = classes.select("h1", "h2", "cls", "size").join(comps, "cls", "left").join(linked, "cls", "left")
-    named = named.select("h1", "h2", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
+    named = classes.select("h1", "h2", "cls", "low", "size").join(comps, "cls", "left").join(lowest, "component", "left").join(linked, "cls", "left")
+    named = named.select("h1", "h2", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("lowest", "low").alias("component_id"))
     out = keyed.select("vec_id", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

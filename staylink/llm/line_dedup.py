@@ -24,6 +24,8 @@ from staylink.llm.words import _ODD, _ODD2, U64, _ranges_hash, mix, signed, slic
 
 #: Edits that still make two lines copies, and the characters of the shortest line that counts.
 TAU, MIN_CHARS = 2, 24
+#: Bytes of text that one numpy step takes; code points and their hashes need twelve times as many.
+SLICE = 1 << 20
 #: Lines of one segment that a task compares with as many others.
 CHUNK = 512
 
@@ -157,7 +159,7 @@ def _spread(rows: DataFrame, group: str, item: str, chunk: int) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, chunk: int = CHUNK, short: bool = False) -> DataFrame:
-    """docs (doc_id, text) to (doc_id, gone): the numbers (from 0) of the lines to remove.
+    """docs (doc_id, t, text), t a hash of the text, to (doc_id, t, gone): the numbers (from 0) of the lines to remove.
 
     short: non-empty lines of fewer than min_chars characters are grouped too, by equality alone.
     """
@@ -166,16 +168,16 @@ def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, c
     def mapped(schema: str, emit) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", SLICE):
                     lines = Lines(part.column("text").to_pylist())
-                    yield from emit(part.column("doc_id"), lines)
+                    yield from emit(part.select(["doc_id", "t"]), lines)
 
         return docs.mapInArrow(run, schema)
 
     def places(ids, lines):
         at = lines.long(1 if short else min_chars)
         where = pa.array(lines.doc[at])
-        yield pa.RecordBatch.from_arrays([ids.take(where), pa.array(lines.number[at].astype(np.int32)), pa.array(signed(lines.hashes(at))), pa.array(signed(lines.hashes(at, _ODD2)))], ["doc_id", "no", "h", "h2"])
+        yield pa.RecordBatch.from_arrays([*ids.take(where).columns, pa.array(lines.number[at].astype(np.int32)), pa.array(signed(lines.hashes(at))), pa.array(signed(lines.hashes(at, _ODD2)))], ["doc_id", "t", "no", "h", "h2"])
 
     def segments(probe: bool):
         def emit(ids, lines):
@@ -190,8 +192,8 @@ def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, c
         return emit
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    spots = written(mapped(f"doc_id {kind}, no int, h long, h2 long", places), "lines")
-    first = written(spots.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "no")).alias("first")), "first")
+    spots = written(mapped(f"doc_id {kind}, t long, no int, h long, h2 long", places), "lines")
+    first = written(spots.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "t", "no")).alias("first")), "first")
     filed = mapped("sig long, h long", segments(False))
     groups = written(filed.groupBy("sig").agg(F.min("h").alias("x"), F.max("h").alias("y")), "segments")
     probes = mapped("sig long, h long", segments(True)).join(groups.select("sig"), "sig", "left_semi").distinct()
@@ -201,24 +203,24 @@ def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, c
     met = written(met.groupBy("sig", "h").agg(F.max("filed").alias("filed")), "met")
     # the texts of the lines that met, each from its first place
     owners = first.groupBy("h").agg(F.min("first").alias("first")).join(met.select("h").distinct(), "h", "left_semi")
-    spots_of = owners.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.no", "h")).alias("own"))
-    texts = docs.join(spots_of, "doc_id").select("doc_id", "text", F.col("own.no").alias("no"), F.col("own.h").alias("h"))
+    spots_of = owners.groupBy("first.doc_id", "first.t").agg(F.collect_list(F.struct("first.no", "h")).alias("own"))
+    texts = docs.join(spots_of, ["doc_id", "t"]).select("doc_id", "t", "text", F.col("own.no").alias("no"), F.col("own.h").alias("h"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 rows: list[tuple] = []
                 for i, (text, numbers, hashes) in enumerate(zip(*(part.column(c).to_pylist() for c in ("text", "no", "h")), strict=True)):
                     split = text.split("\n")
                     rows += [(i, n, h, split[n]) for n, h in zip(numbers, hashes, strict=True) if n < len(split)]
                 if rows:
                     where, no, h, line = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(where)), pa.array(no, pa.int32()), pa.array(h, pa.int64()), pa.array(line, pa.string())], ["doc_id", "no", "h", "line"])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(where)), part.column("t").take(pa.array(where)), pa.array(no, pa.int32()), pa.array(h, pa.int64()), pa.array(line, pa.string())], ["doc_id", "t", "no", "h", "line"])
 
-    lines = written(texts.mapInArrow(read, f"doc_id {kind}, no int, h long, line string").dropDuplicates(["h"]), "texts")
+    lines = written(texts.mapInArrow(read, f"doc_id {kind}, t long, no int, h long, line string").dropDuplicates(["h"]), "texts")
     blocks = _spread(met, "sig", "h", chunk).join(lines, "h")
     order = ["sig", "i", "j"]
-    blocks = blocks.repartition(*order).sortWithinPartitions(*order, "doc_id", "no")
+    blocks = blocks.repartition(*order).sortWithinPartitions(*order, "doc_id", "t", "no")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, order):
@@ -236,8 +238,8 @@ def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, c
 
     near = written(blocks.mapInArrow(verify, "h long").distinct(), "near").withColumn("near", F.lit(True))
     judged = spots.join(first, ["h", "h2"]).join(near, "h", "left")
-    gone = judged.filter(F.col("near") | (F.struct("doc_id", "no") != F.col("first")))
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("no")).alias("gone"))
+    gone = judged.filter(F.col("near") | (F.struct("doc_id", "t", "no") != F.col("first")))
+    return gone.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("no")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -247,18 +249,20 @@ def dedup_lines(docs: DataFrame, carry: tuple[str, ...] = (), id_col: str = "doc
     Lines end at a line feed. Lines of fewer than min_chars characters stay; with short, those
     that equal an earlier line go too, and only empty lines always stay. Lines are
     judged on the input: a removed line still counts as earlier. Null texts stay null with no
-    lines; rows with a null id keep all lines and repeat nothing; rows of equal id count as
-    one document (equal places do not repeat each other).
+    lines; rows with a null id keep all lines and repeat nothing. Rows of equal id and text are
+    one document (equal places do not repeat each other); rows of one id with different texts
+    are different documents, in the order of a hash of the text.
     """
     own = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"), *[docs[f"`{c}`"].alias(f"c_{c}") for c in carry])
-    gone = removed_lines(own.select("doc_id", "text"), **options)
-    joined = own.join(gone, "doc_id", "left")
+    own = own.withColumn("t", F.xxhash64("text"))
+    gone = removed_lines(own.select("doc_id", "t", "text"), **options)
+    joined = own.join(gone, ["doc_id", "t"], "left")
     kept = [f"c_{c}" for c in carry]
     schema = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in ("doc_id", *kept))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 texts, n_lines, n_gone, digest = [], [], [], []
                 for text, numbers in zip(part.column("text").to_pylist(), part.column("gone").to_pylist(), strict=True):
                     n = 0 if text is None else text.count("\n") + 1

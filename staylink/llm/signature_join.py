@@ -205,13 +205,14 @@ def mapped(docs: DataFrame, k: int, schema: str, emit) -> DataFrame:
 
 
 def sizes_of(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, cls) of every row: the size of its set, and its class (null for the empty set)."""
+    """(doc_id, t, n, cls) of every row (t: its text's hash): the size of its set, and its class (null for the empty set)."""
 
     def emit(part, offsets, grams, digests):
         n = np.diff(offsets)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(signed(digests), mask=n == 0)], ["doc_id", "n", "cls"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), pa.array(n), pa.array(signed(digests), mask=n == 0)], ["doc_id", "t", "n", "cls"])
 
-    return mapped(docs, k, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, cls long", emit)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return mapped(docs.withColumn("t", F.xxhash64("text")), k, f"doc_id {kind}, t long, n long, cls long", emit)
 
 
 class Join:
@@ -219,7 +220,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK, frequent: int = FREQUENT):
         self.docs, self.k, self.percent, self.chunk = docs, k, percent, chunk
-        #: (doc_id, n, cls) of every row; cls is null for empty sets
+        #: (doc_id, t, n, cls) of every row; cls is null for empty sets
         self.all_rows = written(sizes_of(docs, k), "sets")
         self.rows = self.all_rows.filter("cls is not null")
         self.frequent = self._frequent(frequent)
@@ -399,24 +400,29 @@ class Join:
         return rows.mapInArrow(traverse, "a long, b long").filter("a < b").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", n_links: bool = False, **options) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", n_links: bool = False, groups: bool = False, **options) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; with n_links, also the number of other
     rows that it links with, copies included. (Join.every_link gives the pairs of classes.)
 
     Documents link when 100 * |x & y| >= percent * |x | y| on their sets of distinct k-word
     shingles. Null and empty texts, and texts without words, have no shingles and link with
-    nothing; a text of fewer words is one shingle. Rows with equal id get the smallest of their
-    components; rows with a null id link with nothing and have a null component. An empty table gives an
-    empty table.
+    nothing; a text of fewer words is one shingle. Each row has the component of its own text:
+    rows of one id with different texts are different documents, and component_id is the smallest
+    id among the rows that it reaches. Rows with a null id link with nothing and have a null component.
+    An empty table gives an empty table.
+
+    With groups, also text_hash (xxhash64 of the text) and group_id, a number that the rows of one
+    component share; it is null for rows without shingles or id, which are groups of their own.
     """
     own = columns(docs, doc_id=id_col, text=text_col)
     join = Join(own.filter("doc_id is not null"), k, percent, **options)
     links = join.links()
     nodes = components(links.selectExpr("a", "b"))
-    named = join.rows.join(nodes.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", F.coalesce("component", "cls").alias("c"))
-    smallest = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    of_id = named.join(smallest, "c").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    rows, counted = join.all_rows.join(of_id, "doc_id", "left"), []
+    low = join.rows.groupBy("cls").agg(F.min("doc_id").alias("low"))
+    named = low.join(nodes.withColumnRenamed("node", "cls"), "cls", "left").withColumn("c", F.coalesce("component", "cls"))
+    smallest = named.groupBy("c").agg(F.min("low").alias("component_id"))
+    of_class = named.select("cls", "c").join(smallest, "c")
+    rows, counted = join.all_rows.join(of_class, "cls", "left"), []
     if n_links:
         sizes = join.rows.groupBy("cls").agg(F.count("*").alias("size"))
         every = join.every_link(links, nodes)
@@ -424,8 +430,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, i
         others = both.join(sizes.withColumnRenamed("cls", "b"), "b").groupBy("a").agg(F.sum("size").alias("others"))
         per_class = sizes.join(others.withColumnRenamed("a", "cls"), "cls", "left").select("cls", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
         rows, counted = rows.join(per_class, "cls", "left"), [F.coalesce("links", F.lit(0)).alias("n_links")]
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *counted)
-    rest = sizes_of(own.filter("doc_id is null"), k).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias("n_links") for _ in counted])
+    own_group = [F.col("t").alias("text_hash"), F.col("c").alias("group_id")] if groups else []
+    no_group = [F.col("t").alias("text_hash"), F.lit(None).cast("long").alias("group_id")] if groups else []
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *counted, *own_group)
+    rest = sizes_of(own.filter("doc_id is null"), k).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias("n_links") for _ in counted], *no_group)
     return out.unionByName(rest)
 
 

@@ -74,3 +74,29 @@ def test_ids_are_the_library_s(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     assert WholeTokens(path).counts([f"a {t}" for t in texts]) == [len(library.encode(f"a {t}", add_special_tokens=False).ids) for t in texts]
+
+
+def test_two_texts_of_one_id_are_two_documents(spark, rng):
+    """Ordinary in merged crawls: an id with two contents loses no line, link or row."""
+    from staylink.llm.lattice_dedup import links
+
+    import corpus_pipeline as p
+
+    line, own = "a line of more than twenty-four characters", "found nowhere else in the whole of this corpus"
+    df = frame(spark, [(1, f"{line}\nx"), (2, f"{line}\ny"), (2, f"{own}\nz"), (2, f"{own}\nz")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text, r.n_removed) for r in dedup_lines(df).collect())
+    assert got == [(1, f"{line}\nx", 0), (2, f"{own}\nz", 0), (2, f"{own}\nz", 0), (2, "y", 1)]
+
+    vectors = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (2, [0.01, 1.0], "a"), (3, [1.0, 0.01], "a"), (4, [-1.0, 0.0], "a"), (4, [-1.0, 0.0], "a")]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in links(frame(spark, vectors, "vec_id long, embedding array<double>, label string")).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 4), (4, 1, 4)]
+
+    t, u = prose(rng, 60), prose(rng, 60)
+    rows = [(1, t), (2, t), (2, u), (3, u), (4, None), (4, "")]
+    df = frame(spark, rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in near_duplicates(df).collect()), key=repr)
+    assert got == [(1, 1), (2, 1), (2, 2), (3, 2), (4, 4), (4, 4)]
+
+    docs = df.selectExpr("doc_id", "text", "'en' lang", "'s' source", "cast(length(text) as long) n_chars")
+    kept = p.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, t), (2, u), (4, None), (4, "")], key=repr)
