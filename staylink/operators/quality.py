@@ -128,18 +128,19 @@ def violations(stays: DataFrame, cols: EpisodeCols = EpisodeCols()) -> DataFrame
     return table(per_person, by_person).unionByName(table(per_stay, by_stay)).unionByName(table(firsts, overlap))
 
 
-def ingest_report(typed: DataFrame, cols: EpisodeCols = EpisodeCols(), study: Study = Study()) -> DataFrame:
+def ingest_report(typed: DataFrame, cols: EpisodeCols = EpisodeCols(), study: Study = Study(), rejects: DataFrame | None = None) -> DataFrame:
     """What DOM-1 drops, counted (survey rule: rejected rows are counted, not lost silently).
 
     One row: ``n_rows, n_duplicate`` (copies beyond the first), then among distinct rows
     ``n_missing_person, n_missing_start, n_missing_end, n_outside_period`` (dates present
     but not inside the period) and ``n_kept``. One aggregation on all columns, then one
-    over its groups.
+    over its groups. With the ``rejects`` of the extract (SRC-1) also ``n_rejected``, its malformed
+    lines.
     """
     g = typed.groupBy(*typed.columns).agg(F.count(F.lit(1)).alias("_c"))
     start, end, person = F.col(cols.start), F.col(cols.end), F.col(cols.person)
     inside = (start >= F.lit(study.start)) & (end <= F.lit(study.end))
-    return g.agg(
+    out = g.agg(
         F.sum("_c").cast("long").alias("n_rows"),
         F.sum(F.col("_c") - 1).cast("long").alias("n_duplicate"),
         F.count_if(person.isNull()).cast("long").alias("n_missing_person"),
@@ -148,3 +149,6 @@ def ingest_report(typed: DataFrame, cols: EpisodeCols = EpisodeCols(), study: St
         F.count_if(start.isNotNull() & end.isNotNull() & ~inside).cast("long").alias("n_outside_period"),
         F.count_if(inside & person.isNotNull()).cast("long").alias("n_kept"),
     )
+    if rejects is None:
+        return out
+    return out.crossJoin(F.broadcast(rejects.agg(F.count(F.lit(1)).cast("long").alias("n_rejected"))))  # one row each

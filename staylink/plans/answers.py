@@ -26,7 +26,7 @@ from staylink.operators.comorbidity import GROUP_LABELS
 from staylink.operators.deaths import dropped_persons, multi_records
 from staylink.operators.readmission import negative_times, outcome_table
 from staylink.operators.asof import next_admissions
-from staylink.operators.quality import violations
+from staylink.operators.quality import ingest_report, violations
 from staylink.operators.survival import excluded_subjects, km_at_times, km_median, km_table, logrank_parts, logrank_test, report_times
 from staylink.plans.pipeline import Analysis
 
@@ -45,6 +45,8 @@ def _logrank(a: Analysis) -> DataFrame:
 REJECTS = "table string, file string, line string, n_fields int, reason string"
 
 ANSWERS: dict[str, Answer] = {
+    # what the extracts hold and what the clean step drops
+    "ingest_report": lambda a: ingest_report(a._episodes, a.cols, a.study, None if a.rejects is None else a.rejects.filter("table <> 'deaths'")),
     # Q1: cohort and first hip admissions by year
     "q1_cohort_size": lambda a: cohort_size(a.cohort, a.cols),
     "q1_first_by_year": lambda a: first_by_year(a.cohort, a.cols),

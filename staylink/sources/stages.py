@@ -210,8 +210,9 @@ class StageStore:
 
     def close(self) -> None:
         """Delete everything of the run: folders, manifest, catalog entries."""
-        for table in self._tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        if self.spark.sparkContext._jsc is not None:  # a stopped session has no catalog any more
+            for table in self._tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         self._tables.clear()
         if self._opened or self.named:
             self.files.delete(self.root)

@@ -157,6 +157,8 @@ def test_malformed_lines_are_rejected_and_counted(spark, tmp_path):
 
 
 def test_rejects_of_an_analysis(spark, tmp_path):
+    from staylink.plans.answers import ANSWERS
+
     (tmp_path / "ep").mkdir()
     (tmp_path / "d").mkdir()
     (tmp_path / "ep" / "e.csv").write_text(",".join(EP_COLS) + "\nP1,02/02/2009,12/02/2009,80,S72.10,9\nP1,05/02/2009,12/02/2009,80\n")
@@ -164,6 +166,8 @@ def test_rejects_of_an_analysis(spark, tmp_path):
     a = Analysis.from_csv(spark, str(tmp_path / "ep"), str(tmp_path / "d"), STUDY, COLS, DCOLS, episode_columns=EP_COLS)
     assert sorted((r.table, r.n_fields) for r in a.rejects.collect()) == [("deaths", 5), ("episodes", 4)]
     assert a.sequenced.count() == 1 and a.deaths.count() == 0
+    report = ANSWERS["ingest_report"](a).first()
+    assert (report.n_rows, report.n_kept, report.n_rejected) == (1, 1, 1)
     a.close()
 
 

@@ -108,6 +108,14 @@ def test_a_killed_analysis_resumes(spark, folder):
     assert len(paths) == 4 and os.listdir(folder / "runs") == []
 
 
+def test_an_unnamed_run_goes_with_its_driver(folder):
+    script = KILLED.replace(', run="study")', ")").replace("os._exit(9)", "assert os.listdir(sys.argv[1].removeprefix('file://') + '/runs'); spark.stop()")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", script, f"file://{folder}", SF001], env=os.environ | {"PYTHONPATH": root}, capture_output=True, timeout=300)
+    assert done.returncode == 0, done.stderr.decode()[-2000:]
+    assert os.listdir(folder / "runs") == []
+
+
 def test_an_analysis_leaves_nothing_behind(spark, folder):
     known = tables(spark)
     a = Analysis(spark, SF001)
