@@ -28,8 +28,8 @@ from staylink.llm.token_count import ByteLetters, Cutter, special_pattern
 from staylink.llm.words import Words, slices
 
 #: Runs (and half as many words) whose ids one worker remembers; emptied when full. Longer ones
-#: than CACHED_BYTES are not kept: about 60 MB at most.
-CACHE, CACHED_BYTES = 250_000, 64
+#: than CACHED_BYTES are not kept: about 150 MB at most.
+CACHE, CACHED_BYTES = 600_000, 64
 
 
 class WordIds:
