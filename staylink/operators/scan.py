@@ -145,8 +145,11 @@ def ordered_scan(
     w_in = W.partitionBy(BLOCK, *keys).orderBy(*order_cols)
     upto = w_in.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = w_in.rowsBetween(W.unboundedPreceding, -1)
-    onward = w_in.rowsBetween(W.currentRow, W.unboundedFollowing)
-    after = w_in.rowsBetween(1, W.unboundedFollowing)
+    # the rows behind, as those ahead in the opposite order: a frame that ends at the last row is
+    # made anew for every row, which costs the square of a key's rows in a range
+    w_back = W.partitionBy(BLOCK, *keys).orderBy(F.desc("_rn"))
+    onward = w_back.rowsBetween(W.unboundedPreceding, W.currentRow)
+    after = w_back.rowsBetween(W.unboundedPreceding, -1)
 
     vals = {f"_v_{n}": e for n, (k, e) in specs.items() if e is not None}
     rn = "_rn"
@@ -166,7 +169,7 @@ def ordered_scan(
             "last_pos": lambda v=v: F.max(F.when(v, F.col(rn))).over(upto),
             "sum_from": lambda v=v: F.sum(v).over(onward),
             "min_after": lambda v=v: F.min(v).over(after),
-            "next": lambda v=v: F.first(v, ignorenulls=True).over(after),
+            "next": lambda v=v: F.last(v, ignorenulls=True).over(after),
         }.get(kind)
         if made:
             inside[f"_i_{n}"] = made()

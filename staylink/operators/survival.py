@@ -59,8 +59,7 @@ def km_table(df: DataFrame, group: str, time: str = "time_to_next", event: str =
         .agg(F.sum(F.col(event)).cast("long").alias("n_event"), F.count(F.lit(1)).cast("long").alias("_m"))
     )
     # the one pass counts the excluded too, as a row without a time
-    left_out = counted.filter(F.col(time).isNull()).select(group, F.col("_m").alias("n_excluded"))
-    g = counted.filter(F.col(time).isNotNull()).withColumn("n_censor", F.col("_m") - F.col("n_event"))
+    timed = F.col(time).isNotNull()
     d, n = F.col("n_event"), F.col("n_risk")
     step = {
         "surv": ("product", F.lit(1.0) - d / n),
@@ -68,24 +67,27 @@ def km_table(df: DataFrame, group: str, time: str = "time_to_next", event: str =
         "_h": ("sum", F.when(d < n, d / (n * (n - d))).otherwise(F.lit(0.0))),
     }
     if continuous:
-        how = dict(ranges=ranges, store=store)
-        g = ordered_scan(g, [group], [time], {"n_risk": ("sum_from", F.col("_m"))}, **how)
-        g = drop_block(ordered_scan(g.withColumn("n_risk", n.cast("long")), [group], [time], step, **how))
+        # that row is its group's last: the sums from behind bring it to every time, without a join
+        behind = {"n_risk": ("sum_from", F.when(timed, F.col("_m"))), "n_excluded": ("sum_from", F.when(~timed, F.col("_m")))}
+        g = ordered_scan(counted, [group], [time], behind, ranges=ranges, store=store).filter(timed)
+        g = drop_block(ordered_scan(g.withColumn("n_risk", n.cast("long")), [group], [time], step))
     else:
+        left_out = counted.filter(~timed).select(group, F.col("_m").alias("n_excluded"))
+        g = counted.filter(timed).join(left_out, group, "left")
         from_top = W.partitionBy(group).orderBy(F.desc(time)).rowsBetween(W.unboundedPreceding, W.currentRow)
         g = g.withColumn("n_risk", F.sum("_m").over(from_top).cast("long"))
         upto = W.partitionBy(group).orderBy(time).rowsBetween(W.unboundedPreceding, W.currentRow)
         over = {"product": F.product, "max": F.max, "sum": F.sum}
         g = g.withColumns({name: over[kind](value).over(upto) for name, (kind, value) in step.items()})
     se = F.when(F.col("_zero") == 0, F.sqrt("_h"))
-    g = g.withColumn("se_log_surv", se).join(left_out, group, "left")
+    g = g.withColumn("se_log_surv", se)
     log_s = F.log(F.col("surv"))
     return g.select(
         group,
         time,
         "n_risk",
         "n_event",
-        "n_censor",
+        (F.col("_m") - d).alias("n_censor"),
         "surv",
         "se_log_surv",
         F.exp(log_s - Z975 * F.col("se_log_surv")).alias("lower"),

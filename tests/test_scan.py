@@ -82,3 +82,13 @@ def test_an_empty_table(spark):
     assert out.collect() == []
     with pytest.raises(ValueError):
         ordered_scan(spark.createDataFrame([], SCHEMA), ["k"], ["t"], {"x": ("median", F.col("v"))})
+
+
+def test_rows_behind_cost_what_rows_ahead_cost(spark):
+    """No frame ends at the last row: such a frame is made anew for every row of a key in a range."""
+    v = F.col("v")
+    df = spark.createDataFrame([("a", i, i, i) for i in range(20)], SCHEMA)
+    out = ordered_scan(df, ["k"], ["t", "id"], {k: (k, v) for k in ("sum_from", "min_after", "next")}, ranges=2)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "rowframe, unboundedpreceding" in plan.replace("specifiedwindowframe(", "") and "unboundedfollowing" not in plan
+    assert sorted((r.id, r.sum_from, r.min_after, r.next) for r in out.collect()) == [(i, sum(range(i, 20)), *[i + 1 if i < 19 else None] * 2) for i in range(20)]
