@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylink.llm.shared import runs, written
-from staylink.llm.words import _ODD, _ODD2, U64, _ranges_hash, mix, signed, slices, spans_hash
+from staylink.llm.words import _ODD, _ODD2, U64, RangeHashes, mix, signed, slices, spans_hash
 
 #: Edits that still make two lines copies, and the characters of the shortest line that counts.
 TAU, MIN_CHARS = 2, 24
@@ -28,6 +28,11 @@ TAU, MIN_CHARS = 2, 24
 SLICE = 1 << 20
 #: Lines of one segment that a task compares with as many others.
 CHUNK = 512
+#: Lines of a group whose pairs are all collected, and code points of the pairs that one step compares.
+SMALL, STEP = 16, 1 << 18
+
+#: mix(c + 1) of the code points of the basic plane (512 KB).
+_POINT = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 
 
 class Lines:
@@ -43,7 +48,10 @@ class Lines:
         self.first = np.concatenate(([0], np.cumsum(counts)))
         self.doc = np.repeat(np.arange(len(texts)), counts)
         self.number = np.arange(len(self.starts)) - self.first[self.doc]
-        self.values = mix(self.points.astype(np.uint64) + U64(1))
+        if len(self.points) and self.points.max() >> 16:
+            self.values = mix(self.points.astype(np.uint64) + U64(1))
+        else:
+            self.values = _POINT[self.points]
 
     def long(self, least: int) -> np.ndarray:
         return np.flatnonzero(self.ends - self.starts >= least)
@@ -62,23 +70,24 @@ def segment(length: np.ndarray, i: int, tau: int) -> tuple[np.ndarray, np.ndarra
     return i * size + np.maximum(0, i - short), size + (i >= short)
 
 
-def signatures(lines: Lines, at: np.ndarray, tau: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(rows of at, key, is probe): the filed segments, then the probes of equal and shorter lengths.
+def signatures(lines: Lines, at: np.ndarray, tau: int, probe: bool | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(rows of at, key, is probe): the filed segments, then the probes of equal and shorter
+    lengths; with probe, only those or only the others.
 
     A probe at a segment's own place in a line of equal length is the filed key itself, so
     it is left out. Probe positions follow the multi-match-aware selection of segment joins.
     """
     start, length = lines.starts[at], lines.ends[at] - lines.starts[at]
+    ranges = RangeHashes(lines.values, _ODD)
 
-    def key(where: np.ndarray, begin: np.ndarray, size: np.ndarray, indexed: np.ndarray, i: int) -> np.ndarray:
-        h = _ranges_hash(lines.values, start[where] + begin, start[where] + begin + size, _ODD)
-        return mix(h ^ (indexed * (tau + 1) + i).astype(np.uint64) * _ODD2)
+    def key(begin: np.ndarray, size: np.ndarray, indexed: np.ndarray, i: int) -> np.ndarray:
+        return mix(ranges.of(begin, begin + size) ^ (indexed * (tau + 1) + i).astype(np.uint64) * _ODD2)
 
     every = np.arange(len(at))
-    for i in range(tau + 1):
+    for i in range(tau + 1) if not probe else ():
         p, size = segment(length, i, tau)
-        yield every, key(every, p, size, length, i), False
-    for delta in range(tau + 1):
+        yield every, key(start + p, size, length, i), False
+    for delta in range(tau + 1) if probe in (None, True) else ():
         indexed = length - delta
         for i in range(tau + 1):
             p, size = segment(indexed, i, tau)
@@ -87,7 +96,7 @@ def signatures(lines: Lines, at: np.ndarray, tau: int) -> Iterator[tuple[np.ndar
                     continue
                 begin = p + shift
                 where = np.flatnonzero((begin >= 0) & (begin + size <= length) & (indexed > tau))
-                yield where, key(where, begin[where], size[where], indexed[where], i), True
+                yield where, key(start[where] + begin[where], size[where], indexed[where], i), True
 
 
 def within(a: list[np.ndarray], b: list[np.ndarray], tau: int) -> np.ndarray:
@@ -150,6 +159,41 @@ def repeated_later(lines: list[np.ndarray], rank: np.ndarray, filed: np.ndarray,
     return np.flatnonzero(found)
 
 
+class Pairs:
+    """Pairs of lines of many small groups, compared together."""
+
+    def __init__(self, tau: int):
+        self.tau, self.size = tau, 0
+        self.left: list[np.ndarray] = []
+        self.right: list[np.ndarray] = []
+        self.later: list[int] = []
+
+    def add(self, lines: list[np.ndarray], filed: list[bool], h: list[int]) -> None:
+        """All pairs of a group in order of rank of which a line is filed and the lengths are near."""
+        for j in range(1, len(lines)):
+            for i in range(j):
+                if (filed[i] or filed[j]) and abs(len(lines[i]) - len(lines[j])) <= self.tau:
+                    self.left.append(lines[i])
+                    self.right.append(lines[j])
+                    self.later.append(h[j])
+                    self.size += len(lines[i])
+
+    def found(self) -> np.ndarray:
+        """The later lines of the pairs within tau edits; the pairs are forgotten. Pairs of like
+        length go together, so that a step is hardly larger than its lines."""
+        size = np.array([len(x) for x in self.left], np.int64)
+        order, out, lo = np.argsort(size, kind="stable"), [], 0
+        while lo < len(order):
+            wide = size[order[lo:]] * np.arange(1, len(order) - lo + 1)  # this step's matrix, were each its last
+            hi = lo + max(1, int(np.searchsorted(wide, STEP, "right")))
+            part = order[lo:hi].tolist()
+            good = within([self.left[k] for k in part], [self.right[k] for k in part], self.tau)
+            out += [self.later[k] for k, g in zip(part, good.tolist(), strict=True) if g]
+            lo = hi
+        self.__init__(self.tau)
+        return np.unique(np.array(out, np.int64))
+
+
 def _spread(rows: DataFrame, group: str, item: str, chunk: int) -> DataFrame:
     """rows with i, j, side: every pair of chunks of a group's rows is a block of its own."""
     sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / chunk).cast("int").alias("m"))
@@ -174,29 +218,37 @@ def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, c
 
         return docs.mapInArrow(run, schema)
 
+    names = [f"s{i}" for i in range(tau + 1)]
+
     def places(ids, lines):
         at = lines.long(1 if short else min_chars)
-        where = pa.array(lines.doc[at])
-        yield pa.RecordBatch.from_arrays([*ids.take(where).columns, pa.array(lines.number[at].astype(np.int32)), pa.array(signed(lines.hashes(at))), pa.array(signed(lines.hashes(at, _ODD2)))], ["doc_id", "t", "no", "h", "h2"])
-
-    def segments(probe: bool):
-        def emit(ids, lines):
-            at = lines.long(min_chars)
-            h = lines.hashes(at)
-            _, one = np.unique(h, return_index=True)  # a line that repeats in the slice signs once
-            at, h = at[one], h[one]
-            for where, key, probing in signatures(lines, at, tau):
-                if probing == probe and len(where):
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(h[where]))], ["sig", "h"])
-
-        return emit
+        where, h = pa.array(lines.doc[at]), lines.hashes(at)
+        enough = np.flatnonzero(lines.ends[at] - lines.starts[at] >= min_chars)
+        one = enough[np.unique(h[enough], return_index=True)[1]]  # a line that repeats in the slice signs once
+        unsigned = np.ones(len(at), bool)
+        unsigned[one] = False
+        filed = []
+        for _, key, _ in signatures(lines, at[one], tau, probe=False):
+            column = np.zeros(len(at), np.uint64)
+            column[one] = key
+            filed.append(pa.array(signed(column), mask=unsigned))
+        yield pa.RecordBatch.from_arrays([*ids.take(where).columns, pa.array(lines.number[at].astype(np.int32)), pa.array(signed(h)), pa.array(signed(lines.hashes(at, _ODD2))), *filed], ["doc_id", "t", "no", "h", "h2", *names])
+
+    def probing(ids, lines):
+        at = lines.long(min_chars)
+        h = lines.hashes(at)
+        _, one = np.unique(h, return_index=True)
+        at, h = at[one], h[one]
+        for where, key, _ in signatures(lines, at, tau, probe=True):
+            if len(where):
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(h[where]))], ["sig", "h"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    spots = written(mapped(f"doc_id {kind}, t long, no int, h long, h2 long", places), "lines")
+    spots = written(mapped(f"doc_id {kind}, t long, no int, h long, h2 long, " + ", ".join(f"{n} long" for n in names), places), "lines")
     first = written(spots.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "t", "no")).alias("first")), "first")
-    filed = mapped("sig long, h long", segments(False))
+    filed = spots.filter("s0 is not null").select(F.explode(F.array(*names)).alias("sig"), "h")
     groups = written(filed.groupBy("sig").agg(F.min("h").alias("x"), F.max("h").alias("y")), "segments")
-    probes = mapped("sig long, h long", segments(True)).join(groups.select("sig"), "sig", "left_semi").distinct()
+    probes = mapped("sig long, h long", probing).join(groups.select("sig"), "sig", "left_semi").distinct()
     probes = written(probes, "probes")
     wanted = groups.filter("x < y").select("sig").union(probes.select("sig")).distinct()
     met = filed.join(wanted, "sig", "left_semi").distinct().select("sig", "h", F.lit(True).alias("filed")).unionByName(probes.select("sig", "h", F.lit(False).alias("filed")))
@@ -223,21 +275,28 @@ def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, c
     blocks = blocks.repartition(*order).sortWithinPartitions(*order, "doc_id", "t", "no")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = Pairs(tau)
         for table in runs(batches, order):
             if len(table) < 2:
                 continue
             points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in table.column("line").to_pylist()]
-            side, filed_ = np.asarray(table.column("side")), np.asarray(table.column("filed"))
             whole = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+            # rows come in order of their first places
+            if whole and len(points) <= SMALL:
+                pairs.add(points, table.column("filed").to_pylist(), table.column("h").to_pylist())
+                if len(pairs.later) >= 4096 or pairs.size >= 8 * STEP:
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs.found())], ["h"])
+                continue
+            side, filed_ = np.asarray(table.column("side")), np.asarray(table.column("filed"))
             every = np.arange(len(points))
             left, right = (every, every) if whole else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-            # rows come in order of their first places
             later = repeated_later(points, every, filed_, left, right, tau)
             if len(later):
                 yield pa.RecordBatch.from_arrays([table.column("h").combine_chunks().take(pa.array(later))], ["h"])
+        yield pa.RecordBatch.from_arrays([pa.array(pairs.found())], ["h"])
 
     near = written(blocks.mapInArrow(verify, "h long").distinct(), "near").withColumn("near", F.lit(True))
-    judged = spots.join(first, ["h", "h2"]).join(near, "h", "left")
+    judged = spots.drop(*names).join(first, ["h", "h2"]).join(near, "h", "left")
     gone = judged.filter(F.col("near") | (F.struct("doc_id", "t", "no") != F.col("first")))
     return gone.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("no")).alias("gone"))
 

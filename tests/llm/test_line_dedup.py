@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from staylink.llm import line_dedup, words
 from staylink.llm.line_dedup import Lines, dedup_lines, signatures, within
 
 from .conftest import frame, prose
@@ -80,3 +81,27 @@ def test_equal_short_lines(spark):
 
 def test_empty_table(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_running_sums_are_made_once_a_slice(rng, monkeypatch):
+    """Each power table costs a pass over the slice; the keys of all segments share them."""
+    made = []
+    plain = words._powers
+    monkeypatch.setattr(words, "_powers", lambda base, n: made.append(n) or plain(base, n))
+    lines = Lines([prose(rng, 40) for _ in range(5)])
+    assert sum(len(rows) for rows, _, _ in signatures(lines, np.arange(5), 2)) > 15
+    assert len(made) == 2
+
+
+def test_pairs_of_many_groups_are_compared_together(rng, monkeypatch):
+    calls, pairs, want = [], line_dedup.Pairs(2), set()
+    monkeypatch.setattr(line_dedup, "within", lambda a, b, tau: calls.append(len(a)) or within(a, b, tau))
+    for g in range(300):
+        base = prose(rng, 6 if g else 300)
+        texts = [base, edited(rng, base, rng.randrange(5)), *([prose(rng, 6)] if g % 3 == 0 else [])]
+        filed = [rng.random() < 0.7 for _ in texts]
+        pairs.add([np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts], filed, [10 * g + i for i in range(len(texts))])
+        want |= {10 * g + j for j in range(len(texts)) for i in range(j) if (filed[i] or filed[j]) and distance(texts[i], texts[j]) <= 2}
+    assert set(pairs.found().tolist()) == want and want
+    assert len(calls) < 30 and sum(calls) > 100
+    assert not len(pairs.found())
