@@ -16,6 +16,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack as pack_numbers
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +59,8 @@ class WordIds:
     def _word(self, word: str) -> bytes:
         if len(self.table) >= CACHE // 2:
             self.table.clear()
-        found = self.tokenizer.model.tokenize(self.letters(word))
-        out = np.array([t.id for t in found], "<u4").tobytes()
+        found = [t.id for t in self.tokenizer.model.tokenize(self.letters(word))]
+        out = pack_numbers(f"<{len(found)}I", *found)
         if len(word) <= CACHED_BYTES:
             self.table[word] = out
         return out
@@ -90,16 +91,14 @@ class WordIds:
         return b"".join([*out, self._cut(self._folded(text[at:]))])
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """encode of every text: equal runs of a slice are looked up once, ids gathered in numpy."""
+        """encode of every text: equal runs of a slice (by their bytes) are looked up once, ids gathered in numpy."""
         folded = [self._folded(t) for t in texts]
         alone = [i for i, t in enumerate(folded) if self.cut.odd(t) or any(token in texts[i] for token in self.ids)]
         rest = dict.fromkeys(alone)
         words = Words(pa.array(["" if i in rest else t for i, t in enumerate(folded)], pa.large_string()))
-        _, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        # equal hashes are not yet equal runs: texts with a run unlike its group's first are encoded alone
-        rest |= dict.fromkeys((np.searchsorted(words.first, np.flatnonzero(words.strangers(first, which)), "right") - 1).tolist())
-        raw, known = words.raw.tobytes(), self.runs.get
-        ids = [known(r) or self._run(r) for s, e in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True) if (r := raw[s:e])]
+        which, runs = words.distinct()
+        known = self.runs.get
+        ids = [known(r) or self._run(r) for r in runs]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
         total = np.concatenate(([0], np.cumsum(sizes[which])))

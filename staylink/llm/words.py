@@ -204,6 +204,19 @@ class Words:
         """One 64-bit hash for each word, a function of its bytes alone."""
         return spans_hash(self.raw, self.starts, self.ends, salt=salt)
 
+    def distinct(self) -> tuple[np.ndarray, list[bytes]]:
+        """(which, values): the number of every word's value, and the different values, equal by their bytes."""
+        size = self.ends - self.starts
+        at = np.concatenate(([0], np.cumsum(size)))
+        cover = np.zeros(len(self.raw) + 1, np.int8)
+        cover[self.starts] += 1
+        cover[self.ends] -= 1
+        body = self.raw[np.cumsum(cover[:-1], dtype=np.int8).view(bool)]
+        coded = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(body)]).dictionary_encode()
+        raw, at = buffers(coded.dictionary)
+        raw = raw.tobytes()
+        return np.asarray(coded.indices), [raw[s:e] for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
     def strangers(self, first: np.ndarray, which: np.ndarray) -> np.ndarray:
         """Words whose bytes differ from those of the word first[which], their group's first."""
         size = self.ends - self.starts

@@ -100,3 +100,27 @@ def test_two_texts_of_one_id_are_two_documents(spark, rng):
     docs = df.selectExpr("doc_id", "text", "'en' lang", "'s' source", "cast(length(text) as long) n_chars")
     kept = p.drop_near_duplicates(spark, docs, "").collect()
     assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, t), (2, u), (4, None), (4, "")], key=repr)
+
+
+def test_distinct_words_are_told_apart_by_their_bytes():
+    texts = ["aa bb aa\tbé", None, "", " cc bbb aa ", "x" * 70_000 + " " + "x" * 69_999 + "y", "\x00 \x00\x00"]
+    words = w.Words(pa.array(texts))
+    which, values = words.distinct()
+    want = [x.encode() for t in texts if t for x in t.replace("\t", " ").split(" ") if x]
+    assert [values[k] for k in which.tolist()] == want and len(values) == len(set(want))
+    assert w.Words(pa.array(["", None])).distinct()[1] == []
+
+
+def test_packing_takes_equal_runs_by_bytes_and_hashes_no_words(monkeypatch):
+    import public_tokenizers
+
+    from staylink.llm.packing import WordIds
+
+    def refuse(*_, **__):
+        raise AssertionError("a hash of every word")
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["one two one", "", "two  three\none", "Ünïcode two"]
+    want = [WordIds(path).encode(t) for t in texts]
+    monkeypatch.setattr(w.Words, "hashes", refuse)
+    assert list(WordIds(path).encode_all(texts)) == want
