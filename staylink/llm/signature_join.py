@@ -327,21 +327,26 @@ class Join:
     def links(self) -> DataFrame:
         """(a, b): verified links between classes that connect every pair of linked classes."""
         percent = self.percent
-        prefixes = self._prefixes()
+        # dealt once by shingle, at every size: the groups and their rows come from the same shuffle
+        # (which needs both to read the same columns)
+        prefixes = self._prefixes().repartition("g")
         bitmaps = self.bitmaps = written(self._bitmaps().dropDuplicates(["cls"]), "bitmaps")
-        groups = prefixes.groupBy("g").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high")
+        one = F.struct("cls", "n")
+        groups = prefixes.groupBy("g").agg(F.min(one).alias("low"), F.max(one).alias("high")).filter("low.cls < high.cls")
         shared = self.shared = written(prefixes.join(groups, "g").distinct(), "shared")
         # a copy's own changes are shared with no one, so the class that meets most others is the
         # one nearest to all: the hub of its groups
         sizes = shared.groupBy("g").agg(F.count("*").alias("size")).filter("size > 3")
-        sized = shared.select("g", "cls").join(sizes, "g")
+        sized = shared.select("g", "cls", "n").join(sizes, "g")
         weight = sized.groupBy("cls").agg(F.sum("size").alias("w"))
-        hubs = sized.join(weight, "cls").groupBy("g").agg(F.max_by("cls", F.struct("w", "cls")).alias("hub"))
-        star = shared.select(F.explode(F.array("low", "high")).alias("a"), F.col("cls").alias("b"))
-        star = star.unionByName(shared.select("g", F.col("cls").alias("b")).join(hubs, "g").select(F.col("hub").alias("a"), "b"))
-        star = star.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        hubs = sized.join(weight, "cls").groupBy("g").agg(F.max_by(one, F.struct("w", "cls")).alias("hub"))
+        star = shared.select(F.explode(F.array("low", "high")).alias("a"), one.alias("b"))
+        star = star.unionByName(shared.select("g", one.alias("b")).join(hubs, "g").select(F.col("hub").alias("a"), "b"))
+        # sizes first: most pairs go before they are given their bitmaps
+        star = star.filter(f"a.cls <> b.cls and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)")
+        star = star.select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b")).distinct()
         left, right = (bitmaps.select(F.col("cls").alias(c), F.col("n").alias("n" + c), F.col("bits").alias("bits" + c)) for c in "ab")
-        star = star.join(left, "a").join(right, "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+        star = star.join(left, "a").join(right, "b")
 
         def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

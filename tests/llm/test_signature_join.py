@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 
+from staylink.llm import signature_join
 from staylink.llm.signature_join import Tree, dual, near_duplicates
 
 from .conftest import frame, groups, prose
@@ -75,3 +76,24 @@ def test_traversal_loses_no_pair():
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_prefixes_are_made_and_dealt_once(spark, rng, monkeypatch):
+    """Groups and their rows come from one shuffle of the prefixes, whatever the joins turn into."""
+    plans, plain = {}, signature_join.written
+
+    def spied(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(signature_join, "written", spied)
+    base = [prose(rng, 40) for _ in range(3)]
+    docs = frame(spark, [(i, changed(rng, base[i % 3], i % 4)) for i in range(12)], "doc_id long, text string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the reuse shows in the plan before it runs
+    try:
+        join = signature_join.Join(docs.select("doc_id", "text"))
+        join.links()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert plans["shared"].count("MapInArrow") == 1 and "ReusedExchange" in plans["shared"]
