@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,14 +13,30 @@ from staylink.llm.shared import written
 
 #: Columns that every stage but the last returns, in this order.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Most that Spark hands to a Python worker at once. Its 10,000 rows are 20 MB and more of whole texts,
+#: held by the JVM and by the worker, of every task, at the same time.
+BATCH = "4m"
+
+
+def small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage in a session of small Arrow batches; the setting stays, since stages are lazy."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar rejects (score of 0.5 or more) go; all others stay unchanged."""
     model = toxicity.learned(spark, docs, sf_dir)
     return toxicity.featured(docs.select(*COLUMNS), model, list(COLUMNS)).filter("score < 0.5").select(*COLUMNS)
 
 
+@small_batches
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line go, equal ones at any length, and documents that consisted of such lines alone.
 
@@ -29,6 +48,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return kept.withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
+@small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component of documents linked at a Jaccard similarity of 0.8 or more of their
     5-word shingles, the one of smallest id stays (of two texts of one id, the one of smaller hash).
@@ -43,12 +63,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.select(*COLUMNS).unionByName(docs.select(*COLUMNS).filter("doc_id is null"))
 
 
+@small_batches
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a 10-word window of a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontam.decontaminate(docs.select(*COLUMNS), benchmark)
 
 
+@small_batches
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in the packed sequences."""
     import public_tokenizers

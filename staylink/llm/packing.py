@@ -26,11 +26,53 @@ from pyspark.sql import functions as F
 
 from staylink.llm.shared import columns, written
 from staylink.llm.token_count import ByteLetters, Cutter, special_pattern
-from staylink.llm.words import Words, slices
+from staylink.llm.words import Words, same_bytes, slices
+
+#: Runs and words whose ids one worker remembers; emptied when full. Longer ones than CACHED_BYTES
+#: are not kept: some 45 bytes a run and 150 a word, about 40 MB in all.
+CACHE, CACHED_WORDS, CACHED_BYTES = 600_000, 60_000, 64
+
+
+class RunIds:
+    """Ids of the runs met so far in numpy arrays, found by hash and then by their bytes: a dictionary
+    of bytes objects takes five times the memory, in every worker."""
+
+    def __init__(self):
+        self.hash = np.zeros(0, np.int64)  # sorted; of runs with equal hashes the first met is kept
+        #: rows start, size (of the run's bytes in `raw`), first, n (of its ids in `ids`)
+        self.place = np.zeros((4, 0), np.int32)
+        self.raw, self.ids = np.zeros(0, np.uint8), np.zeros(0, "<u4")
+
+    def __len__(self) -> int:
+        return len(self.hash)
+
+    def find(self, hashes: np.ndarray, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The column of `place` of every run, -1 for those not kept."""
+        at = np.searchsorted(self.hash, hashes)
+        seen = np.flatnonzero(at < len(self))
+        seen = seen[(self.hash[at[seen]] == hashes[seen]) & (self.place[1, at[seen]] == sizes[seen])]
+        seen = seen[same_bytes(raw, starts[seen], self.raw, self.place[0, at[seen]].astype(np.int64), sizes[seen])]
+        out = np.full(len(hashes), -1)
+        out[seen] = at[seen]
+        return out
 
-#: Runs (and half as many words) whose ids one worker remembers; emptied when full. Longer ones
-#: than CACHED_BYTES are not kept: about 150 MB at most.
-CACHE, CACHED_BYTES = 600_000, 64
+    def keep(self, hashes: np.ndarray, runs: list[bytes], ids: list[bytes]) -> None:
+        """Adds runs; forgets all earlier ones when there would be more than CACHE."""
+        _, one = np.unique(hashes, return_index=True)
+        at = np.searchsorted(self.hash, hashes[one])
+        new = at == len(self)
+        new[~new] = self.hash[at[~new]] != hashes[one[~new]]
+        one = one[new]
+        if len(self) + len(one) > CACHE:
+            self.__init__()
+            one = np.unique(hashes, return_index=True)[1][:CACHE]
+        raw, flat = (np.frombuffer(b"".join([x[k] for k in one.tolist()]), kind) for x, kind in ((runs, np.uint8), (ids, "<u4")))
+        size, n = (np.fromiter((len(x[k]) for k in one.tolist()), np.int64, len(one)) for x in (runs, ids))
+        n //= 4
+        place = np.array([np.cumsum(size) - size + len(self.raw), size, np.cumsum(n) - n + len(self.ids), n]).astype(np.int32)
+        at = np.searchsorted(self.hash, hashes[one])
+        self.hash, self.place = np.insert(self.hash, at, hashes[one]), np.insert(self.place, at, place, axis=1)
+        self.raw, self.ids = np.concatenate((self.raw, raw)), np.concatenate((self.ids, flat))
 
 
 class WordIds:
@@ -54,10 +96,10 @@ class WordIds:
         self.ids = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
         #: ids of pre-tokens, and of whole runs between white space, which no pre-token crosses
         self.table: dict[str, bytes] = {}
-        self.runs: dict[bytes, bytes] = {}
+        self.runs = RunIds()
 
     def _word(self, word: str) -> bytes:
-        if len(self.table) >= CACHE // 2:
+        if len(self.table) >= CACHED_WORDS:
             self.table.clear()
         found = [t.id for t in self.tokenizer.model.tokenize(self.letters(word))]
         out = pack_numbers(f"<{len(found)}I", *found)
@@ -68,14 +110,6 @@ class WordIds:
     def _cut(self, text: str) -> bytes:
         return b"".join([self.table.get(w) or self._word(w) for w in self.cut(text)])
 
-    def _run(self, run: bytes) -> bytes:
-        if len(self.runs) >= CACHE:
-            self.runs.clear()
-        out = self._cut(run.decode())
-        if len(run) <= CACHED_BYTES:
-            self.runs[run] = out
-        return out
-
     def _folded(self, text: str) -> str:
         if not text.isascii():
             # the library lower-cases character by character: no final-sigma rule
@@ -97,10 +131,19 @@ class WordIds:
         rest = dict.fromkeys(alone)
         words = Words(pa.array(["" if i in rest else t for i, t in enumerate(folded)], pa.large_string()))
         which, runs = words.distinct()
-        known = self.runs.get
-        ids = [known(r) or self._run(r) for r in runs]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        raw, size = np.frombuffer(b"".join(runs), np.uint8), np.fromiter(map(len, runs), np.int64, len(runs))
+        hashes = np.fromiter(map(hash, runs), np.int64, len(runs))
+        known = self.runs.find(hashes, raw, np.cumsum(size) - size, size)
+        new = np.flatnonzero(known < 0)
+        made = [self._cut(runs[k].decode()) for k in new.tolist()]
+        sizes, begin = np.zeros(len(runs), np.int64), np.zeros(len(runs), np.int64)
+        old = np.flatnonzero(known >= 0)
+        begin[old], sizes[old] = self.runs.place[2:, known[old]]
+        sizes[new] = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        begin[new] = np.cumsum(sizes[new]) - sizes[new] + len(self.runs.ids)
+        flat = np.concatenate((self.runs.ids, np.frombuffer(b"".join(made), "<u4")))
+        short = np.flatnonzero(size[new] <= CACHED_BYTES)
+        self.runs.keep(hashes[new[short]], [runs[k] for k in new[short].tolist()], [made[k] for k in short.tolist()])
         total = np.concatenate(([0], np.cumsum(sizes[which])))
         bounds = total[words.first]
         for i in range(len(texts)):

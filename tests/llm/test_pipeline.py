@@ -49,3 +49,23 @@ def test_run_covers_what_the_stages_keep(spark):
     got = pipeline.run(spark, SF)
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert pipeline.ORACLE_SQL is None
+
+
+def test_stages_hand_small_batches_to_python(spark):
+    """Whole texts go to the workers some megabytes at a time, however many rows a batch may have."""
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id", "repeat('abcdefgh', 512) text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    try:
+        got = pipeline.small_batches(lambda _, d, __: d.mapInArrow(sizes, "n long"))(spark, docs, "")
+        assert max(r.n for r in got.collect()) < 5 << 20
+        assert all(hasattr(stage, "__wrapped__") for _, stage in pipeline.STAGES)
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)

@@ -86,3 +86,20 @@ def test_crossover_keeps_every_piece(rng):
         parents.append(one)
     child = packing.crossover(*parents, rng)
     assert sorted(i for items in child.items for i in items) == list(range(120)) and min(child.room) >= 0
+
+
+def test_run_cache_is_small_and_exact(rng, monkeypatch):
+    path = P.path("word_bpe_49k.json")
+    texts = [" ".join(f"w{rng.randrange(10**7)}é," for _ in range(900)) for _ in range(5)] + ["y" * 200 + " x", "", "x y"]
+    plain = packing.WordIds(path)
+    want = [plain.encode(t) for t in texts]
+    model = packing.WordIds(path)
+    assert list(model.encode_all(texts)) == want and list(model.encode_all(texts[::-1])) == want[::-1]
+    runs = model.runs
+    assert len(runs) > 4000 and sum(x.nbytes for x in (runs.hash, runs.place, runs.raw, runs.ids)) < 100 * len(runs)
+    monkeypatch.setattr(packing, "CACHE", 7)  # forgets all the time
+    model = packing.WordIds(path)
+    assert [x for t in texts for x in model.encode_all([t])] == want and len(model.runs) <= 7
+    monkeypatch.setattr(packing, "hash", lambda run: len(run) % 3, raising=False)  # runs that share a hash
+    model = packing.WordIds(path)
+    assert [x for t in texts for x in model.encode_all([t])] == want == list(model.encode_all(texts))
