@@ -29,7 +29,9 @@ SLICE = 1 << 20
 #: Lines of one segment that a task compares with as many others.
 CHUNK = 512
 #: Lines of a group whose pairs are all collected, and code points of the pairs that one step compares.
-SMALL, STEP = 16, 1 << 18
+SMALL, STEP = 96, 1 << 18
+#: Code points after which pairs that have grown too different drop out, and pairs of a round in larger groups.
+BLOCK, ROUND = 16, 4096
 
 #: mix(c + 1) of the code points of the basic plane (512 KB).
 _POINT = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
@@ -104,58 +106,69 @@ def within(a: list[np.ndarray], b: list[np.ndarray], tau: int) -> np.ndarray:
 
     Bit d of row e says: the first i points of a reach the first i + d - tau points of b
     with e errors. Only the band of 2 tau + 1 diagonals is kept, so a row is a small
-    integer, and all pairs step together.
+    integer, and all pairs step together. Pairs that can no longer be within tau edits
+    drop out after every block of BLOCK points, so unlike lines cost their beginnings only.
     """
     n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     out = np.abs(n - m) <= tau
     at = np.flatnonzero(out)
     if not len(at):
         return out
-    a, b, n, m = [a[i] for i in at], [b[i] for i in at], n[at], m[at]
-    wide = int(n.max())
-    left = np.zeros((len(a), wide), np.uint32)
-    right = np.full((len(a), wide + 2 * tau + 1), 0xFFFFFFFF, np.uint32)
-    for r, (x, y) in enumerate(zip(a, b, strict=True)):
-        left[r, : len(x)] = x
-        right[r, tau : tau + min(len(y), wide + tau + 1)] = y[: wide + tau + 1]
-    match = np.zeros((wide, len(a)), np.uint16)
-    for d in range(2 * tau + 1):
-        match |= (left == right[:, d : d + wide]).T.astype(np.uint16) << np.uint16(d)
+    n, m = n[at], m[at]
+    outside = np.full(1, 0xFFFFFFFF, np.uint32)  # equals no code point
+    left, right = np.concatenate([*(a[i] for i in at), outside]), np.concatenate([*(b[i] for i in at), outside])
+    left_at, right_at = np.cumsum(n) - n, np.cumsum(m) - m
     full = np.uint16((1 << (2 * tau + 1)) - 1)
-    rows = [np.full(len(a), ((1 << (e + 1)) - 1) << tau & int(full), np.uint16) for e in range(tau + 1)]
-    final = [np.where(n == 0, r, 0).astype(np.uint16) for r in rows]
-    for i in range(wide):
-        new = [rows[0] & match[i]]
-        for e in range(1, tau + 1):
-            before = rows[e - 1]
-            new.append(((rows[e] & match[i]) | before | (before >> np.uint16(1)) | (new[e - 1] << np.uint16(1))) & full)
-        rows = new
-        ends = n == i + 1
-        if ends.any():
-            for e in range(tau + 1):
-                final[e][ends] = rows[e][ends]
-        if not rows[tau].any():  # no pair of these can still be within tau edits
+    rows = np.array([[((1 << (e + 1)) - 1) << tau & int(full)] for e in range(tau + 1)], np.uint16).repeat(len(at), axis=1)
+    good, open_, lo = np.zeros(len(at), bool), np.arange(len(at)), 0
+    while True:
+        ended = n[open_] == lo
+        now = open_[ended]
+        good[now] = (rows[tau][ended] >> (m[now] - lo + tau).astype(np.uint16)) & np.uint16(1)
+        stay = ~ended & (rows[tau] > 0)
+        open_, rows = open_[stay], rows[:, stay]
+        if not len(open_):
             break
-    good = (final[tau] >> (m - n + tau).astype(np.uint16)) & np.uint16(1)
-    out[at] = good.astype(bool)
+        hi = min(lo + BLOCK, int(n[open_].min()))
+        place = np.arange(lo - tau, hi + tau)
+        valid = (place >= 0) & (place < m[open_][:, None])
+        other = right[np.where(valid, right_at[open_][:, None] + place, len(right) - 1)]
+        own = left[left_at[open_][:, None] + np.arange(lo, hi)]
+        match = np.zeros((hi - lo, len(open_)), np.uint16)
+        for d in range(2 * tau + 1):
+            match |= (own == other[:, d : d + hi - lo]).T.astype(np.uint16) << np.uint16(d)
+        rows = list(rows)
+        for step in match:
+            new = [rows[0] & step]
+            for e in range(1, tau + 1):
+                before = rows[e - 1]
+                new.append(((rows[e] & step) | before | (before >> np.uint16(1)) | (new[e - 1] << np.uint16(1))) & full)
+            rows = new
+        rows, lo = np.array(rows), hi
+    out[at] = good
     return out
 
 
 def repeated_later(lines: list[np.ndarray], rank: np.ndarray, filed: np.ndarray, left: np.ndarray, right: np.ndarray, tau: int) -> np.ndarray:
     """Positions of `right` lines that an earlier line of `left`, or of `left` lines that an
-    earlier line of `right`, repeats. Lines found drop out, so a large family costs few rounds."""
+    earlier line of `right`, repeats. The earliest lines are compared first, in rounds of twice as
+    many up to ROUND pairs; lines found drop out, so a large family costs few rounds."""
     found = np.zeros(len(lines), bool)
     order = np.argsort(rank)
     for side, other in ((left, right), (right, left)) if not np.array_equal(left, right) else ((left, left),):
         is_side, is_other = np.zeros(len(lines), bool), np.zeros(len(lines), bool)
         is_side[side], is_other[other] = True, True
-        waiting = order[is_side[order]]
-        for a in order[is_other[order]].tolist():  # earliest first
-            waiting = waiting[~found[waiting]]
-            later = waiting[(rank[waiting] > rank[a]) & (filed[waiting] | filed[a])]
-            for lo in range(0, len(later), 256):
-                part = later[lo : lo + 256]
-                found[part] = within([lines[a]] * len(part), [lines[k] for k in part.tolist()], tau)
+        waiting, earlier = order[is_side[order]], order[is_other[order]]
+        lo, many = 0, 1
+        while lo < len(earlier):
+            waiting, some = waiting[~found[waiting]], earlier[lo : lo + many]
+            a, b = np.nonzero((rank[waiting] > rank[some][:, None]) & (filed[waiting] | filed[some][:, None]))
+            pairs = Pairs(tau)
+            for i, j in zip(some[a].tolist(), waiting[b].tolist(), strict=True):
+                pairs.put(lines[i], lines[j], j)
+            found[pairs.found()] = True
+            lo += many
+            many = max(1, min(2 * many, ROUND // max(1, len(waiting))))
     return np.flatnonzero(found)
 
 
@@ -172,11 +185,16 @@ class Pairs:
         """All pairs of a group in order of rank of which a line is filed and the lengths are near."""
         for j in range(1, len(lines)):
             for i in range(j):
-                if (filed[i] or filed[j]) and abs(len(lines[i]) - len(lines[j])) <= self.tau:
-                    self.left.append(lines[i])
-                    self.right.append(lines[j])
-                    self.later.append(h[j])
-                    self.size += len(lines[i])
+                if filed[i] or filed[j]:
+                    self.put(lines[i], lines[j], h[j])
+
+    def put(self, left: np.ndarray, right: np.ndarray, later: int) -> None:
+        """A pair, if the lengths are near."""
+        if abs(len(left) - len(right)) <= self.tau:
+            self.left.append(left)
+            self.right.append(right)
+            self.later.append(later)
+            self.size += len(left)
 
     def found(self) -> np.ndarray:
         """The later lines of the pairs within tau edits; the pairs are forgotten. Pairs of like

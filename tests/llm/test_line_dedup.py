@@ -105,3 +105,19 @@ def test_pairs_of_many_groups_are_compared_together(rng, monkeypatch):
     assert set(pairs.found().tolist()) == want and want
     assert len(calls) < 30 and sum(calls) > 100
     assert not len(pairs.found())
+
+
+def test_a_large_group_costs_few_rounds(rng, monkeypatch):
+    """Lines that no earlier one repeats are compared many at a time, not one after another."""
+    calls = []
+    monkeypatch.setattr(line_dedup, "within", lambda a, b, tau: calls.append(len(a)) or within(a, b, tau))
+    base = [prose(rng, 7)[:30] for _ in range(70)]
+    texts = [edited(rng, rng.choice(base), rng.randrange(5)) if rng.random() < 0.5 else rng.choice(base) + str(i) for i in range(150)]
+    lines = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
+    rank, filed = np.array(rng.sample(range(150), 150)), np.array([rng.random() < 0.6 for _ in texts])
+    near = [(i, j) for i in range(150) for j in range(150) if rank[i] < rank[j] and (filed[i] or filed[j]) and distance(texts[i], texts[j]) <= 2]
+    every, odd = np.arange(150), np.arange(150) % 2 == 1
+    assert line_dedup.repeated_later(lines, rank, filed, every, every, 2).tolist() == sorted({j for _, j in near})
+    assert len(calls) < 20
+    left, right = np.flatnonzero(~odd), np.flatnonzero(odd)
+    assert line_dedup.repeated_later(lines, rank, filed, left, right, 2).tolist() == sorted({j for i, j in near if odd[i] != odd[j]})
