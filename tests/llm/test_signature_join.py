@@ -97,3 +97,16 @@ def test_prefixes_are_made_and_dealt_once(spark, rng, monkeypatch):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert plans["shared"].count("MapInArrow") == 1 and "ReusedExchange" in plans["shared"]
+
+
+def test_bitmaps_are_small_and_exclude_unlike_sets():
+    """Open groups ship a bitmap with every row: at most half a byte a shingle, and still a bound that tells."""
+    r = np.random.default_rng(11)
+    for n in (64, 100, 300, 1000, 2048, 5000):
+        sets = [np.unique(r.integers(0, 2**63, n, dtype=np.uint64)) for _ in range(2)]
+        alike = np.unique(np.concatenate((sets[0][n // 20 :], sets[1][: n // 20])))
+        maps = [signature_join.bitmap(s) for s in (*sets, alike)]
+        assert max(len(m) for m in maps) <= n // 2
+        size = np.array([len(s) for s in (*sets, alike)])
+        found = {tuple(sorted(p)) for i, j in signature_join.tree_pairs(np.arange(3), size, maps, np.arange(3), np.zeros(3, int), 85) for p in zip(i.tolist(), j.tolist(), strict=True)}
+        assert found == {(0, 2)}
