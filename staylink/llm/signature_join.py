@@ -12,10 +12,13 @@
    hold OR-combined token bitmaps and size ranges; a dual traversal from the roots drops
    every pair of nodes whose largest possible overlap is too small, whose sizes differ too
    much, or that are one component already. Large groups are cut into chunks, and each
-   pair of chunks is a task of its own.
-5. Pairs that survive are verified on the sets. Components follow from the verified links.
+   pair of chunks is a task of its own. The pairs that survive stay in their task, which only
+   tells the families of classes that they connect: a class at most once for each of its rows.
+5. A family found in many groups is one family. Its sets are brought together, its surviving
+   pairs are verified on them in place, and the links that join components come out, fewer than
+   the family has classes. Components follow from the verified links.
 6. Where the links themselves are wanted, the trees are traversed once more within every
-   component and group, without the component test, and what they add is verified too.
+   component and group, without the component test, and all links of a family come out.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ FREQUENT = 100_000
 #: Classes of one group that a task traverses together.
 CHUNK = 4096
 FAN = 8
+#: Shingles of one family (8 bytes each) that a task verifies with as many others.
+FAMILY = 1 << 20
 #: Rows of two numbers (16 MB) that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 
@@ -197,6 +202,54 @@ def tree_pairs(cls: np.ndarray, n: np.ndarray, maps: list[bytes], comp: np.ndarr
             yield from run(own, next_, w)
 
 
+def families(rows: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each of the rows the smallest one that the pairs of positions connect it with."""
+    low = np.arange(rows)
+    for i, j in pairs:
+        while len(i):
+            a, b = low[i], low[j]
+            apart = a != b
+            i, j = i[apart], j[apart]
+            np.minimum.at(low, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+            while (low[low] != low).any():
+                low = low[low]
+    return low
+
+
+def verified(sets: list[np.ndarray], comp: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], percent: int, every: bool) -> Iterator[tuple[int, int]]:
+    """The pairs of positions whose sets are similar enough; unless every, only those that join
+    two components not joined before."""
+    size = np.array([len(s) for s in sets])
+    start = np.cumsum(size) - size
+    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, comp = np.zeros(len(names), bool), comp.copy()
+    for i, j in pairs:
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        bounds = [0, *(np.flatnonzero(i[1:] != i[:-1]) + 1).tolist(), len(i)]
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            x, other = int(i[lo]), j[lo:hi]
+            if not every:
+                other = other[comp[other] != comp[x]]
+            if not len(other):
+                continue
+            own, n = ids[start[x] : start[x] + size[x]], size[other]
+            first = np.cumsum(n) - n
+            mark[own] = True
+            both = np.add.reduceat(mark[ids[np.repeat(start[other] - first, n) + np.arange(n.sum())]], first, dtype=np.int64)
+            mark[own] = False
+            for y in other[100 * both >= percent * (size[x] + n - both)].tolist():
+                if every or comp[y] != comp[x]:
+                    comp[comp == comp[y]] = comp[x]
+                    yield x, y
+
+
+def chunk_pairs(rows: DataFrame) -> DataFrame:
+    """rows in chunk c of m, with i, j, side: every pair of chunks (i <= j) is a block; a chunk goes to each pair it is in."""
+    rows = rows.select("*", F.explode(F.expr("sequence(0, m - 1)")).alias("other"))
+    return rows.select("*", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), (F.col("c") > F.col("other")).cast("int").alias("side")).drop("c", "m", "other")
+
+
 def mapped(docs: DataFrame, k: int, schema: str, emit) -> DataFrame:
     """emit(part, offsets, hashes, digests) over slices of docs (doc_id, text)."""
 
@@ -222,8 +275,8 @@ def sizes_of(docs: DataFrame, k: int) -> DataFrame:
 class Join:
     """The join over docs (doc_id, text) as written stages."""
 
-    def __init__(self, docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK, frequent: int = FREQUENT):
-        self.docs, self.k, self.percent, self.chunk = docs, k, percent, chunk
+    def __init__(self, docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK, frequent: int = FREQUENT, family: int = FAMILY):
+        self.docs, self.k, self.percent, self.chunk, self.family = docs, k, percent, chunk, family
         #: (doc_id, t, n, cls) of every row; cls is null for empty sets
         self.all_rows = written(sizes_of(docs, k), "sets")
         self.rows = self.all_rows.filter("cls is not null")
@@ -371,18 +424,18 @@ class Join:
         # linked classes share a prefix shingle and are one component; classes without a link are in none
         own = self.shared.join(comps.withColumnRenamed("node", "cls"), "cls").select(F.xxhash64("g", "component").alias("g"), "cls", "n", F.col("component").alias("comp"))
         groups = own.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1")
-        pairs = self._candidates(own, groups, self.bitmaps, apart=False)
-        return links.select("a", "b").unionByName(self._verified(pairs.join(links, ["a", "b"], "left_anti"), "within"))
+        within = self._linked(own, groups, self.bitmaps, "within", apart=False)
+        return links.select("a", "b").unionByName(within).distinct()
 
     def _tree_links(self, shared: DataFrame, bitmaps: DataFrame, comps: DataFrame) -> DataFrame:
         own = shared.select("g", "cls", "n").join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("g", "cls", "n", F.coalesce("component", "cls").alias("comp"))
         open_ = own.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"))
         # up to three classes, the star has compared every pair
         open_ = open_.filter("x <> y and size > 3")
-        return self._verified(self._candidates(own, open_, bitmaps, apart=True), "tree")
+        return self._linked(own, open_, bitmaps, "tree", apart=True)
 
-    def _candidates(self, own: DataFrame, open_: DataFrame, bitmaps: DataFrame, apart: bool) -> DataFrame:
-        """(a, b), a < b: pairs of the open groups that no bound of the trees excludes. apart: of two components only."""
+    def _linked(self, own: DataFrame, open_: DataFrame, bitmaps: DataFrame, name: str, apart: bool) -> DataFrame:
+        """(a, b), a < b: links within the open groups. apart: only links that connect what links of two components connect."""
         percent, chunk = self.percent, self.chunk
         chunks = F.ceil(F.col("size") / chunk).cast("int")
         # a class links with no one in the group if not even the next smaller or larger is near its size
@@ -392,21 +445,48 @@ class Join:
         rows = own.join(open_.select("g", chunks.alias("m")), "g")
         small = rows.filter("m = 1").withColumn("near", near).filter("near").drop("near")  # at most chunk rows in a window
         rows = small.unionByName(rows.filter("m > 1")).withColumn("c", F.pmod(F.xxhash64("cls"), F.col("m")).cast("int"))
-        # every pair of chunks (i <= j) of a group is a task; a chunk goes to each pair it is in
-        rows = rows.select("*", F.explode(F.expr("sequence(0, m - 1)")).alias("other"))
-        rows = rows.select("g", "cls", "comp", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), (F.col("c") > F.col("other")).cast("int").alias("side"))
+        rows = chunk_pairs(rows).select("g", "cls", "comp", "i", "j", "side")
         order = ["g", "i", "j"]
         rows = written(rows, "open").join(bitmaps, "cls").repartition(*order).sortWithinPartitions(*order)
 
+        def candidates(table: pa.Table, maps: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+            """(cls, n, comp, pairs of positions that no bound of the trees excludes)."""
+            n, cls, comp, side = (np.asarray(table.column(c), dtype=np.int64) for c in ("n", "cls", "comp", "side"))
+            # not apart: each class for itself, in order of size
+            near = comp if apart else np.argsort(np.lexsort((cls, n)))
+            return cls, n, comp, tree_pairs(np.arange(len(cls)), n, maps, near, side, percent)
+
         def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table in runs(batches, order):
-                n, cls, comp, side = (np.asarray(table.column(c), dtype=np.int64) for c in ("n", "cls", "comp", "side"))
-                if not apart:  # each class for itself, in order of size
-                    comp = np.argsort(np.lexsort((cls, n)))
-                for a, b in tree_pairs(cls, n, table.column("bits").to_pylist(), comp, side, percent):
+                cls, n, comp, pairs = candidates(table, table.column("bits").to_pylist())
+                low = families(len(cls), pairs)
+                met = np.flatnonzero(np.bincount(low, minlength=len(cls))[low] > 1)
+                if not len(met):
+                    continue
+                met = met[np.argsort(low[met], kind="stable")]
+                first = np.flatnonzero(np.diff(low[met], prepend=-1))
+                # a family is known by its classes, so it is the same in each group
+                family = mix(np.add.reduceat(mix(cls[met].view(np.uint64)), first))
+                family = np.repeat(family, np.diff(first, append=len(met)))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(family)), *(pa.array(x[met]) for x in (cls, n, comp))], ["family", "cls", "n", "comp"])
+
+        met = written(rows.mapInArrow(traverse, "family long, cls long, n long, comp long").distinct(), name)
+        sets = written(self._sets_of(met.select("cls").distinct()), name + "-sets")
+        parts = met.groupBy("family").agg(F.ceil(F.sum("n") / self.family).cast("int").alias("m"))
+        dealt = met.join(parts, "family").withColumn("c", F.pmod(F.xxhash64("cls"), F.col("m")).cast("int"))
+        of = ["family", "i", "j"]
+        blocks = chunk_pairs(dealt).join(sets, "cls").repartition(*of).sortWithinPartitions(*of)
+
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in runs(batches, of):
+                sets = [np.frombuffer(raw, np.uint64) for raw in table.column("grams").to_pylist()]
+                cls, _, comp, pairs = candidates(table, [bitmap(s) for s in sets])
+                found = np.array([*verified(sets, comp, pairs, percent, not apart)], np.int64).reshape(-1, 2)
+                if len(found):
+                    a, b = cls[found[:, 0]], cls[found[:, 1]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        return rows.mapInArrow(traverse, "a long, b long").filter("a < b").distinct()
+        return written(blocks.mapInArrow(verify, "a long, b long").filter("a < b").distinct(), name + "-links")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", n_links: bool = False, groups: bool = False, **options) -> DataFrame:

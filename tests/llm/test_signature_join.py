@@ -58,6 +58,48 @@ def test_counts_every_link(spark, rng):
     assert empty.columns == ["doc_id", "n_shingles", "component_id", "n_links"] and empty.count() == 0
 
 
+def test_candidates_of_a_large_family_stay_in_their_task(spark, rng, monkeypatch):
+    """Copies almost near enough to link, in one large group: their candidate pairs are no rows, only their classes are."""
+    base, used, rows = prose(rng, 240).split(), set(), []
+    while len(rows) < 160:  # three changed words each, of two texts at most one at the same place: 213 to 217 of 237 shingles in common
+        at = sorted(rng.sample(range(8, 232, 4), 3))
+        pairs = {(at[0], at[1]), (at[0], at[2]), (at[1], at[2])}
+        if not pairs & used:
+            used |= pairs
+            rows.append((len(rows), " ".join(f"new{len(rows)}" if i in at else w for i, w in enumerate(base))))
+    rows += [(500 + i, t) for i, t in rows[:5]] + [(600 + i, t + " end") for i, t in rows[3:9]]
+    sizes, plain = {}, signature_join.written
+
+    def spied(df, name):
+        out = plain(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(signature_join, "written", spied)
+    want = brute(rows, 4, 85)
+    assert len({c for _, _, c in want}) == 160
+    docs = frame(spark, rows, "doc_id long, text string")
+    for options in ({}, {"chunk": 16, "family": 2000}):
+        sizes.clear()
+        got = near_duplicates(docs, **options).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == want
+        tree = {name: n for name, n in sizes.items() if name.startswith("tree")}
+        assert len(tree) == 3 and sizes["open"] and max(tree.values()) <= sizes["open"], sizes
+
+
+def test_families_and_their_links():
+    """Families are what the pairs connect; verified pairs join each two components once, or all are told."""
+    r = np.random.default_rng(3)
+    i, j = r.integers(0, 200, (2, 120))
+    low = groups(list(zip(i.tolist(), j.tolist(), strict=True)), range(200))
+    assert signature_join.families(200, iter([(i[:50], j[:50]), (i[50:], j[50:])])).tolist() == [low[x] for x in range(200)]
+    sets = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 5, 10, 40, 45, 300)]
+    every = np.triu_indices(len(sets), 1)
+    linked = lambda every_, comp: [*signature_join.verified(sets, comp, iter([every]), 85, every_)]
+    assert set(linked(True, np.arange(6))) == {(0, 1), (1, 2), (3, 4)}
+    assert set(linked(False, np.array([7, 8, 7, 9, 10, 11]))) == {(0, 1), (3, 4)}
+
+
 def test_traversal_loses_no_pair():
     r = np.random.default_rng(5)
     centre = r.random((6, 512)) < 0.1
